@@ -214,9 +214,9 @@ SQL = r"""
 WITH lines AS (
     SELECT doc_id, row_number() OVER () AS row_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), each_line AS (
-    SELECT doc_id, row_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS at FROM lines
+    SELECT doc_id, row_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM lines
 ), keyed AS (
-    SELECT doc_id, row_id, at, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    SELECT doc_id, row_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM each_line
 ), common AS (
     SELECT k, max(doc_id) AS last_doc FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT row_id) >= 3
@@ -224,6 +224,6 @@ WITH lines AS (
     SELECT keyed.*, common.k IS NOT NULL AND doc_id <> last_doc AS gone FROM keyed LEFT JOIN common USING (k)
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM told GROUP BY doc_id, row_id
 """
