@@ -39,17 +39,34 @@ def shingle_sets(values: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(1, k):
         more = size > i
         found = np.where(more, mix(found, word[np.minimum(first + i, len(word) - 1)]), found) if len(found) else found
-    order = np.lexsort((found, owner))
-    owner, found = owner[order], found[order]
+    ends = np.searchsorted(owner, np.arange(len(n) + 1)).tolist()
+    for a, b in zip(ends, ends[1:]):
+        found[a:b].sort()
     fresh = np.ones(len(found), bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
     owner, found = owner[fresh], found[fresh]
     return np.searchsorted(owner, np.arange(len(n) + 1)), found.view(np.int64)
 
 
-def _prefix(n: int, percent: int) -> int:
-    """N-grams of a set of ``n`` one of which any set linked to it holds: n - ceil(t n) + 1."""
-    return n - -(-percent * n // 100) + 1
+def _spare(n: int, percent: int) -> int:
+    """N-grams of a set of ``n`` that a set linked to it may lack: n - ceil(t n)."""
+    return n - -(-percent * n // 100)
+
+
+def _shown(n: int, percent: int) -> int:
+    """N-grams that a set shows: twice as many as may be lacking, and one."""
+    return min(n, 2 * _spare(n, percent) + 1)
+
+
+def _least_shared(n: Column, percent: int) -> Column:
+    """How many shown n-grams linked sets have in common at least.
+
+    Of the first q n-grams in one order, a set shares all but its spare ones with a set
+    linked to it; the one whose q-th comes first shows them all. The smaller set may be
+    as small as ceil(t n).
+    """
+    small = F.ceil(n * percent / 100 - F.lit(1e-9))
+    return F.greatest(F.lit(1), F.least(small - F.ceil(small * percent / 100 - F.lit(1e-9)) + 1, F.ceil(small * percent / 100 - F.lit(1e-9))))
 
 
 def _summaries(k: int, percent: int):
@@ -57,10 +74,11 @@ def _summaries(k: int, percent: int):
         for batch in chunks(batches, "text"):
             offsets, found = shingle_sets(texts(batch, "text"), k)
             n = np.diff(offsets)
-            head = np.array([_prefix(x, percent) if x else 0 for x in n.tolist()], np.int64)
+            head = np.array([_shown(x, percent) if x else 0 for x in n.tolist()], np.int64)
             place = np.arange(len(found)) - offsets[:-1].repeat(n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(head)]), pa.int32()), pa.array(found[place < head.repeat(n)]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _set_ids(offsets, found), pa.array(n.astype(np.int64)), lists], names=["doc_id", "set_id", "n", "head"])
+            columns = [batch.column("doc_id"), batch.column("content"), _set_ids(offsets, found), pa.array(n.astype(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "set_id", "n", "head"])
 
     return run
 
@@ -146,14 +164,15 @@ def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS, fragment_bits: int = FRAGMENT_BITS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+    """(doc_id, content, n_shingles, root, component_id) for each row of ``docs`` (doc_id, text).
 
     Two rows link when 100 times the intersection of their sets of ``k``-word shingles
     is at least ``percent`` times the union; component_id is the smallest doc_id that
-    links reach. Equal sets are one class from the start. Then:
+    links reach, ``root`` a number of the component, and ``content`` a hash of the text. Equal sets are one class from the start. Then:
 
-    1. Each class shows the first n-grams of its set in the order of hashes, so many
-       that a linked one shares some. Classes that share none can't link and are done.
+    1. Each class shows the first n-grams of its set in the order of hashes, a fifth of
+       them where t is 0.9. A class of which other classes show fewer than any linked
+       one would can't link and is done; so shared passages alone don't go further.
     2. For the others, n-grams are ordered by how many of them hold them, rarest first,
        and the same is done with the rare ones, which copies of a passage don't share.
        Sizes and places of a shared n-gram rule out most pairs.
@@ -168,18 +187,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    about = materialise(rows.mapInArrow(_summaries(k, percent), "doc_id long, set_id long, n long, head array<long>"), "jaccard-sets")
-    classes = about.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("head").alias("head"))
-    heads = classes.select("set_id", F.explode("head").alias("gram"))
+    keyed = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit(""))))
+    about = materialise(keyed.mapInArrow(_summaries(k, percent), "doc_id long, content long, set_id long, n long, head array<long>"), "jaccard-sets")
+    classes = about.where("n > 0").groupBy("set_id", "n").agg(F.first("head").alias("head"))
+    heads = classes.select("set_id", "n", F.explode("head").alias("gram"))
     shared = heads.groupBy("gram").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo != hi").select("gram")
-    near = heads.join(shared, "gram", "left_semi").select("set_id").distinct()
+    near = heads.join(shared, "gram", "left_semi").groupBy("set_id", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("set_id")
     members = about.where("n > 0").groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id"))
     near = materialise(near.join(members, "set_id"), "jaccard-near")
     n_near = near.count()
     keyed = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("id", "text")
     picked = keyed.join(F.broadcast(near) if n_near <= broadcast_ids else near, "id").select("set_id", "text")
     parts = picked.mapInArrow(_fragments(k, fragment_bits), "set_id long, n long, fragment long, grams array<long>")
-    parts = materialise(parts.dropDuplicates(["set_id", "fragment"]), "jaccard-fragments")
+    parts = materialise(parts, "jaccard-fragments")
+    if not parts.groupBy("set_id", "fragment").count().where("count > 1").isEmpty():  # rows of one id and text
+        parts = materialise(parts.dropDuplicates(["set_id", "fragment"]), "jaccard-fragments")
     every = parts.select("set_id", "n", F.explode("grams").alias("gram"))
     common = every.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
     held = every.join(common, "gram").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("held"))
@@ -199,8 +221,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     joined = about.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = joined.drop("head").join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "content", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
+    found = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")

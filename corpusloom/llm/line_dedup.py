@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm._store import materialise
 from corpusloom.llm._text import chunks, texts
@@ -189,7 +190,7 @@ def dedup_lines(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept)
     index, shards = line_index(rows.select("doc_id", "text"), least, min_docs, shard_lines)
     size = index.select(F.sum(F.octet_length("fingerprints") * 3 + F.aggregate("levels", F.lit(0), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
-    schema = ", ".join(["doc_id long", "text string", "n_lines long", "n_dropped long", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)])
+    schema = T.StructType([*rows.select("doc_id", "text").schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *rows.select(*kept).schema])
     if size <= broadcast_bytes:
         arrays = spark.sparkContext.broadcast([r.asDict() for r in index.collect()])
         return rows.mapInArrow(_probe_all(arrays, shards, least, kept), schema)

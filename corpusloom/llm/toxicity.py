@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm._text import chunks, crc_mod, hash_strings, mix, texts
 
@@ -175,7 +176,7 @@ def score_toxicity(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame
     """
     rows = docs.drop("toxicity").withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "toxicity double"])
+    schema = T.StructType([*rows.schema, T.StructField("toxicity", T.DoubleType())])
     return rows.mapInArrow(_score(shared, bits, rows.columns), schema)
 
 
