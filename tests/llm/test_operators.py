@@ -158,6 +158,18 @@ def test_base_spans(docs, rows, odd, odd_rows, empty):
     assert pii.find_personal_data(odd).count() == len(awkward())
 
 
+def test_personal_data_query(spark, sf_dir, rows):
+    want = {}
+    for i, t in rows:
+        base = brute.personal(t)
+        own = ",".join(f"{k}:{a}:{b}" for a, _, k, b in base)
+        want[i] = (*(sum(k == kind for _, _, k, _ in base) for kind in pii.KINDS), brute.sha(own), own)
+    for r in pii.op4_pii(spark, sf_dir).collect():
+        n_email, n_ip, n_card, n_phone, digest, own = want[r.doc_id]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == (n_email, n_ip, n_card, n_phone, digest)
+        assert set(own.split(",")) <= set(r.spans.split(",")) and len([x for x in r.spans.split(",") if x]) == sum(want[r.doc_id][:4]) + r.n_found
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rows = [(i, f"words and more, contact phone: +1 (98{i}) 555-248{i} end of it number {i}") for i in range(8)]
     rows += [(20, "here the contact phone: 555-1234-77 is short"), (21, "not 555-1234-99 here"), (22, "a phone of mine 555-1234-88")]
