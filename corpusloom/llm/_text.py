@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once inside a task.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def crc_mod(doc_id: str, mod: int) -> Column:
@@ -32,6 +32,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             end = max(start + 1, int(np.searchsorted(total, base + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+            pa.default_memory_pool().release_unused()  # else the pool keeps what the last part took
 
 
 def texts(batch: pa.RecordBatch, column: str) -> pa.Array:

@@ -19,6 +19,8 @@ from corpusloom.llm.components import components
 STAR_ROUNDS = 2
 #: The order of n-grams is cut into 2**FRAGMENT_BITS fragments.
 FRAGMENT_BITS = 3
+#: Bytes of text whose n-grams a task holds at once.
+CHUNK = 4 << 20
 #: Sets that may be broadcast as a list of ids.
 BROADCAST_IDS = 500_000
 
@@ -71,7 +73,7 @@ def _least_shared(n: Column, percent: int) -> Column:
 
 def _summaries(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             offsets, found = shingle_sets(texts(batch, "text"), k)
             n = np.diff(offsets)
             head = np.array([_shown(x, percent) if x else 0 for x in n.tolist()], np.int64)
@@ -94,7 +96,7 @@ def _fragments(k: int, bits: int):
     """Each wanted set, cut by its n-grams' first ``bits`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             offsets, found = shingle_sets(texts(batch, "text"), k)
             meant = pc.fill_null(pc.equal(_set_ids(offsets, found), batch.column("set_id")), False).to_numpy(zero_copy_only=False)
             n = np.diff(offsets)

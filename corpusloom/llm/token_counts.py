@@ -18,7 +18,7 @@ from corpusloom.llm._text import chunks, split_words, texts
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Distinct words that a Python worker remembers.
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 18
 
 
 @functools.cache
