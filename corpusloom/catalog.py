@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from corpusloom.registry import QUERIES, SQL
 
-def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, nulls and characters of documents for each source and language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source", "lang").agg(
-        F.count("*").alias("n_rows"), F.sum(F.col("text").isNull().cast("long")).alias("n_null"), F.sum(F.length("text")).alias("n_chars")
-    )
+#: Modules that register queries.
+MODULES = (
+    "operators.profile", "operators.projections", "operators.quality", "operators.joins", "operators.aggregates", "operators.ranking",
+    "operators.sets", "operators.leakage", "functions.text", "functions.hashing", "functions.dates", "operators.grading", "sources.files", "sources.generated", "streaming.sessions", "plans.artifacts",
+)
+
+for _name in MODULES:
+    importlib.import_module(f"corpusloom.{_name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"profile_documents": profile_documents}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "profile_documents": "SELECT source, lang, count(*) AS n_rows, CAST(count(*) - count(text) AS BIGINT) AS n_null, "
-        "CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang"
-    }
+    return dict(SQL)
