@@ -31,16 +31,22 @@ _NO_ID = -(1 << 63)
 
 
 def _bundled(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and all columns as they are in ``row``: no name can clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    """doc_id, text, and all columns but the text in ``row``: no name can clash."""
+    rest = F.struct(*(docs[c] for c in docs.columns if c != "text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("row"))
+
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in their order."""
+    return rows.select(*(F.col("text").cast(docs.schema[c].dataType).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and text aren't in ``gone`` (id, content)."""
     gone = materialise(gone, "dropped")
     small = gone.count() <= BROADCAST_ROWS
-    rows = _bundled(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), "row")
-    return rows.join(F.broadcast(gone) if small else gone, ["id", "content"], "left_anti").select("row.*")
+    rows = _bundled(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), "text", "row")
+    return _restored(rows.join(F.broadcast(gone) if small else gone, ["id", "content"], "left_anti"), docs)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     bias alone as its score. Repeated rows share a decision; a null doc_id is kept.
     """
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(_bundled(docs).select("text", "row"), model).where(F.col("toxicity") < THRESHOLD).select("row.*")
+    return _restored(score_toxicity(_bundled(docs).select("text", "row"), model).where(F.col("toxicity") < THRESHOLD), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +64,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that lose no line are returned as they are, null texts too.
     """
-    out = dedup_lines(_bundled(docs), carry=("row",))
+    bundled = _bundled(docs)
+    out = dedup_lines(bundled.withColumn("row", F.struct(F.col("text").isNull().alias("none"), F.col("row").alias("row"))), carry=("row",))
     changed = F.col("n_dropped") > 0
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*(F.when(changed, new[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    out = out.select(F.when(changed | ~F.col("row.none"), F.col("text")).alias("text"), F.col("row.row").alias("row"), changed.alias("changed"))
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+        out = out.withColumn("row", F.col("row").withField("n_chars", n_chars))
+    return _restored(out, docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +90,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         return out
     rows = _bundled(out).withColumn("content", F.xxhash64("text"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return rows.where(~worded).select("row.*").unionAll(rows.where(worded).dropDuplicates(["doc_id", "content"]).select("row.*"))
+    return _restored(rows.where(~worded).unionAll(rows.where(worded).dropDuplicates(["doc_id", "content"])), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
