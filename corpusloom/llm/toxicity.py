@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +19,8 @@ BITS = 20
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of the id.
 MAX_ROWS = 12_000
 THRESHOLD = 0.3
+#: Bytes of text whose features a task holds at once.
+CHUNK = 4 << 20
 #: Code points of a long word's stem, which is a word n-gram feature of its own.
 STEM = 5
 
@@ -81,7 +82,7 @@ def _distinct(rows: np.ndarray, found: np.ndarray, bits: int, n: int) -> tuple[n
 
 def _featurise(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             rows, found = _features(texts(batch, "text"), bits)
             offsets, index = _distinct(rows, found, bits, batch.num_rows)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(index, pa.int32()))
@@ -90,12 +91,13 @@ def _featurise(bits: int):
     return run
 
 
-def ftrl(features: list[np.ndarray], labels: np.ndarray, bits: int, how: Ftrl) -> Model:
+def ftrl(features: Iterable[pa.Array], labels: np.ndarray, bits: int, how: Ftrl) -> Model:
     """Fit on binary features, row by row; features of one row only have no weight."""
     count = np.zeros(1 << bits, np.int32)
-    for f in features:
+    rows = [f.to_numpy() for f in features]  # views, without copies
+    for f in rows:
         count[f] += 1
-    rows = [f[count[f] > 1] for f in features]
+    rows = [f[count[f] > 1] for f in rows]
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)) if len(labels) else 0.0
     bias_n = 0.0
@@ -120,10 +122,11 @@ def ftrl(features: list[np.ndarray], labels: np.ndarray, bits: int, how: Ftrl) -
 
 
 def _fit(bits: int, how: Ftrl):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rank", "label"], kind="stable")
-        model = ftrl([np.asarray(f, np.int64) for f in rows.features], rows.label.to_numpy(), bits, how)
-        return pd.DataFrame({"index": np.append(model.index, -1).astype(np.int32), "weight": np.append(model.weight, model.bias)})
+    def run(table: pa.Table) -> pa.Table:
+        table = table.select(["rank", "label", "features"]).sort_by([("rank", "ascending"), ("label", "ascending")])
+        lists = (x.values for chunk in table.column("features").chunks for x in chunk)
+        model = ftrl(lists, table.column("label").to_numpy(), bits, how)
+        return pa.table({"index": np.append(model.index, -1).astype(np.int32), "weight": np.append(model.weight, model.bias).astype(np.float32)})
 
     return run
 
@@ -145,7 +148,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     known = known.withColumn("rank", rank).where(F.col("rank") < int(share * (1 << 30)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     rows = rows.select(F.lit(1).alias("one"), "rank", "label", "text").mapInArrow(_featurise(bits), "one int, rank long, label double, features array<int>")
-    found = rows.groupBy("one").applyInPandas(_fit(bits, how), "index int, weight float").toPandas()
+    found = rows.groupBy("one").applyInArrow(_fit(bits, how), "index int, weight float").toPandas()
     bias = found.weight[found["index"] < 0]
     found = found[found["index"] >= 0]
     return Model(float(bias.iloc[0]) if len(bias) else 0.0, found["index"].to_numpy(np.int32), found.weight.to_numpy(np.float32))
@@ -156,7 +159,7 @@ def _score(shared, bits: int, carry: list[str]):
         model = shared.value
         dense = np.zeros(1 << bits, np.float32)
         dense[model.index] = model.weight
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             rows, found = _features(texts(batch, "text"), bits)
             used = dense[found] != 0
             offsets, index = _distinct(rows[used], found[used], bits, batch.num_rows)
