@@ -138,9 +138,9 @@ def letter_share(c: str | Column, letters: str, visible: str = r"[^\s]") -> Colu
 
 def labelled_values(c: str | Column, labels: list[str]) -> Column:
     """A map of label to the word after ``label:``."""
-    form = "(" + "|".join(labels) + r")[ \t]*[:：][ \t]*([^\s,;]+)"
     c = _col(c)
-    return F.map_from_arrays(F.array_distinct(F.regexp_extract_all(c, F.lit(form), F.lit(1))), F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit(form), F.lit(1))), lambda k: F.regexp_extract(c, F.concat(k, F.lit(r"[ \t]*[:：][ \t]*([^\s,;]+)")), 1)))
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.regexp_extract(c, k + r"[ \t]*[:：][ \t]*([^\s,;]+)", 1).alias("v")) for k in labels))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["v"] != ""))
 
 
 def iso_dates(c: str | Column) -> Column:

@@ -171,8 +171,12 @@ def replay(events: DataFrame) -> DataFrame:
     return fold_by_key(events.select("session", "ordinal", "kind", "field", "value", "expected"), "session", ["ordinal"], lambda: _BEGIN, lambda state, row: _take(row.session, state, row), _COLUMNS, _OUT)
 
 
-def intake_stream(events: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
-    """The same over a stream: state by session, which ends after ``ttl`` seconds without events."""
+def intake_stream(events: DataFrame, ttl: int | None = TTL_SECONDS) -> DataFrame:
+    """The same over a stream: state by session, which ends after ``ttl`` seconds without events, if given.
+
+    With a time limit Spark goes on making batches when no events come, to see which
+    sessions are over.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -185,10 +189,11 @@ def intake_stream(events: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
             now, result = _take(key[0], now, row)
             out.append(result)
         state.update(now)
-        state.setTimeoutDuration(ttl * 1000)
+        if ttl is not None:
+            state.setTimeoutDuration(ttl * 1000)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
-    return events.groupBy("session").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("session").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def resume(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
