@@ -27,13 +27,14 @@ STEM = 5
 
 @dataclass(frozen=True)
 class Ftrl:
-    """alpha, beta: rates of each coordinate; l1, l2: regularisation; epochs over the rows."""
+    """alpha, beta: rates of each coordinate; l1, l2: regularisation; epochs over the rows; rows that a feature needs."""
 
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.6
-    l2: float = 1.0
-    epochs: int = 4
+    l1: float = 5.0
+    l2: float = 0.0
+    epochs: int = 5
+    least_rows: int = 3
 
 
 @dataclass
@@ -92,12 +93,12 @@ def _featurise(bits: int):
 
 
 def ftrl(features: Iterable[pa.Array], labels: np.ndarray, bits: int, how: Ftrl) -> Model:
-    """Fit on binary features, row by row; features of one row only have no weight."""
+    """Fit on binary features, row by row; features of too few rows have no weight."""
     count = np.zeros(1 << bits, np.int32)
     rows = [f.to_numpy() for f in features]  # views, without copies
     for f in rows:
         count[f] += 1
-    rows = [f[count[f] > 1] for f in rows]
+    rows = [f[count[f] >= how.least_rows] for f in rows]
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)) if len(labels) else 0.0
     bias_n = 0.0
