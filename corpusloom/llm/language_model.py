@@ -19,7 +19,7 @@ BLOCK_BYTES = 12 << 20
 #: Bits of an n-gram's key inside its shard, for n of 2 or more; words have all 64.
 KEY_BITS = 40
 #: Weight of the shorter context's probability, in tokens.
-MU = 24.0
+MU = 400.0
 ORDER = 2
 
 _END, _BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" begin"))  # no word has a space
