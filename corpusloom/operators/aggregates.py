@@ -119,10 +119,10 @@ def _(t):
     return axes.agg(F.avg("m").alias("macro"), (F.sum("nll") / F.sum("tokens")).alias("micro"))
 
 
-@query("agg_21_grouping_sets", "SELECT o_orderstatus, o_orderpriority, CASE WHEN grouping(y) = 1 THEN 'all' ELSE y::VARCHAR END AS y, count(*) AS n, sum(o_totalprice) AS total FROM (SELECT *, year(o_orderdate) AS y FROM orders) GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus, o_orderpriority, y))")
+@query("agg_21_grouping_sets", "SELECT o_orderstatus, o_orderpriority, CASE WHEN grouping(y) = 1 THEN 'all' ELSE y::VARCHAR END AS y, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT *, year(o_orderdate) AS y FROM orders) GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus, o_orderpriority, y))")
 def _(t):
     rows = t.orders.withColumn("y", F.year("o_orderdate").cast("string"))
-    return with_totals(rows, ["o_orderstatus", "o_orderpriority"], "y", [F.count("*").alias("n"), F.sum("o_totalprice").alias("total")])
+    return with_totals(rows, ["o_orderstatus", "o_orderpriority"], "y", [F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")])
 
 
 _VERDICT = "CASE WHEN l_tax = 0 THEN NULL WHEN l_tax > 0.07 THEN 'UNSCORABLE' WHEN l_quantity > 25 THEN 'PASS' ELSE 'FAIL' END"
@@ -277,10 +277,10 @@ def _(t):
     return row.select("longest", F.array_min(F.filter(ladder, lambda x: x >= F.col("longest"))).alias("ladder"))
 
 
-@query("agg_48_axis_quantiles", "SELECT o_orderpriority, avg(o_totalprice) AS mean, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.99) AS p99, max(o_totalprice) AS most FROM orders GROUP BY 1")
+@query("agg_48_axis_quantiles", "SELECT o_orderpriority, round(avg(o_totalprice), 2) AS mean, round(quantile_cont(o_totalprice, 0.5), 2) AS p50, round(quantile_cont(o_totalprice, 0.99), 2) AS p99, max(o_totalprice) AS most FROM orders GROUP BY 1")
 def _(t):
     points = F.percentile("o_totalprice", F.array(F.lit(0.5), F.lit(0.99)))
-    return t.orders.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), points[0].alias("p50"), points[1].alias("p99"), F.max("o_totalprice").alias("most"))
+    return t.orders.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 2).alias("mean"), F.round(points[0], 2).alias("p50"), F.round(points[1], 2).alias("p99"), F.max("o_totalprice").alias("most"))
 
 
 @query("agg_49_metric_kinds", "SELECT CASE WHEN NOT isfinite(x) THEN 'non_finite' WHEN event_type = 'purchase' THEN 'eval' ELSE 'train' END AS kind, count(*) AS n FROM (SELECT event_type, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE WHEN event_id % 89 = 0 THEN 'inf'::DOUBLE ELSE value END AS x FROM events) GROUP BY 1")
