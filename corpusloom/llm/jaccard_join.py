@@ -93,7 +93,7 @@ def _set_ids(offsets: np.ndarray, found: np.ndarray) -> pa.Array:
 
 
 def _fragments(k: int, bits: int):
-    """Each wanted set, cut by its n-grams' first ``bits`` bits."""
+    """Each wanted set, cut by its n-grams' first ``bits`` bits; their next six say which bits of ``parity`` they turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
@@ -109,7 +109,11 @@ def _fragments(k: int, bits: int):
             ends = np.append(starts, len(grams)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams))
             ids = batch.column("set_id").take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n[rows].astype(np.int64)), pa.array(piece[starts]), lists], names=["set_id", "n", "fragment", "grams"])
+            turned = np.uint64(1) << (grams.view(np.uint64) >> np.uint64(58 - bits) & np.uint64(63))
+            parity = np.bitwise_xor.reduceat(turned, starts) if len(starts) else turned
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(n[rows].astype(np.int64)), pa.array(piece[starts]), pa.array(parity.view(np.int64)), lists], names=["set_id", "n", "fragment", "parity", "grams"]
+            )
 
     return run
 
@@ -126,6 +130,25 @@ def _could_link(x: str, y: str, percent: int) -> Column:
     return fits & (F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place")) >= _needed(n, m, percent))
 
 
+def _sketches(fragments: DataFrame, bits: int) -> DataFrame:
+    """(set_id, n, sketch): the parities of all fragments of a set."""
+    parts = [F.coalesce(F.max(F.when(F.col("fragment") == i, F.col("parity"))), F.lit(0).cast("long")) for i in range(1 << bits)]
+    return fragments.groupBy("set_id", "n").agg(F.array(*parts).alias("sketch"))
+
+
+def _similar_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) without those whose sketches differ in too many bits to link.
+
+    Only an n-gram that one of the sets lacks can turn a bit of one sketch alone, so
+    linked sets differ in at most n + m - 2 ceil(t (n + m) / (1 + t)) bits.
+    """
+    left = sketches.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    right = sketches.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    spare = F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), percent)
+    return pairs.join(left, "a").join(right, "b").where(differ <= spare).select("a", "b")
+
+
 def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link: overlaps are counted by fragment and summed."""
     left = fragments.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("grams").alias("grams_a"))
@@ -180,6 +203,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
        Sizes and places of a shared n-gram rule out most pairs.
     3. Candidate pairs are verified exactly: the order of n-grams is cut into
        2**fragment_bits fragments, a pair's overlap is counted in each apart, and the counts summed.
+       A set's sketch, one bit of parity for several n-grams, rules out pairs that
+       differ too much before their fragments meet.
        Pairs aren't listed within a group: every n-gram first links its sets to one of
        them, in ``star_rounds`` rounds, and then only pairs of different components are
        listed. So no link between components is lost.
@@ -200,7 +225,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     n_near = near.count()
     keyed = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("id", "text")
     picked = keyed.join(F.broadcast(near) if n_near <= broadcast_ids else near, "id").select("set_id", "text")
-    parts = picked.mapInArrow(_fragments(k, fragment_bits), "set_id long, n long, fragment long, grams array<long>")
+    parts = picked.mapInArrow(_fragments(k, fragment_bits), "set_id long, n long, fragment long, parity long, grams array<long>")
     parts = materialise(parts, "jaccard-fragments")
     if not parts.groupBy("set_id", "fragment").count().where("count > 1").isEmpty():  # rows of one id and text
         parts = materialise(parts.dropDuplicates(["set_id", "fragment"]), "jaccard-fragments")
@@ -213,10 +238,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     early = F.slice("held", F.lit(1), F.greatest(last - before + 1, F.lit(0)).cast("int"))
     placed = held.select("set_id", "n", weight.alias("weight"), before.alias("before"), F.posexplode(early).alias("i", "x"))
     rare = materialise(placed.select("set_id", "n", "weight", F.col("x.gram").alias("gram"), (F.col("before") + F.col("i")).cast("long").alias("place")), "jaccard-places")
+    sketches = materialise(_sketches(parts, fragment_bits), "jaccard-sketches")
     links = None
     for turn in range(star_rounds + 1):
         rooted = _rooted(rare, links)
         pairs = _stars(rooted, percent) if turn < star_rounds else _rest(rooted, percent)
+        pairs = _similar_sketches(pairs, sketches, percent)
         found = materialise(_linked(pairs, parts, percent), "jaccard-links")
         links = found if links is None else links.union(found)
     roots = components(links)
