@@ -112,8 +112,8 @@ def ngram_set(text: str | Column, width: int) -> Column:
     """Distinct character n-grams; a shorter text is one, an empty one none."""
     text = F.col(text) if isinstance(text, str) else text
     n = F.length(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(width)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1))  # one pass; substring would count from the start for each
+    return F.when(n == 0, F.array().cast("array<string>")).when(n < width, F.array(text)).otherwise(F.array_distinct(grams))
 
 
 def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, text: str, width: int, least: float) -> DataFrame:
@@ -291,8 +291,8 @@ def _(t):
 WITH s AS (SELECT doc_id, text, unnest(generate_series(1, greatest(length(text) - 4, 1))) AS i FROM documents WHERE n_chars BETWEEN 1 AND 600), g AS (SELECT DISTINCT doc_id, substring(text, i, 5) AS g FROM s), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
 SELECT a, b, c / (x.n + y.n - c) AS similarity FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM g p JOIN g q USING (g) WHERE p.doc_id < q.doc_id GROUP BY 1, 2) JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c / (x.n + y.n - c) >= 0.85""")
 def _(t):
-    short = t.documents.where("n_chars BETWEEN 1 AND 600")
-    pairs = similarity_join(short.withColumnRenamed("doc_id", "a"), short.withColumnRenamed("doc_id", "b"), "a", "b", "text", 5, 0.85)
+    docs = t.documents.where("text <> ''")
+    pairs = similarity_join(docs.withColumnRenamed("doc_id", "a"), docs.withColumnRenamed("doc_id", "b"), "a", "b", "text", 5, 0.85)
     return pairs.where("a < b")
 
 
