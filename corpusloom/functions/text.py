@@ -86,8 +86,7 @@ def repeated_word_ngrams(c: str | Column, width: int = 6) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(width)), " "))
 
         def ratio(g: Column) -> Column:
-            ordered = F.array_sort(g)
-            twin = F.transform(ordered, lambda x, i: F.coalesce(F.get(ordered, i - 1) == x, F.lit(False)) | F.coalesce(F.get(ordered, i + 1) == x, F.lit(False)))
+            twin = F.transform(g, lambda x, i: F.coalesce(F.get(g, i - 1) == x, F.lit(False)) | F.coalesce(F.get(g, i + 1) == x, F.lit(False)))
             return F.size(F.filter(twin, lambda x: x)) / F.size(g)
 
         return F.when(F.size(w) < width, 0.0).otherwise(let(grams, lambda g: let(F.array_sort(g), ratio)))
@@ -225,7 +224,7 @@ _W = "list_filter(string_split_regex(text, '[ \\n\\t\\r]+'), lambda w: w <> '')"
 WITH w AS (SELECT doc_id, {_W} AS w FROM documents WHERE n_chars < 20000), g AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 5), lambda i: array_to_string(w[i:i + 5], ' '))) AS g FROM w WHERE len(w) >= 6),
 c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL) SELECT doc_id, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 9) AS ratio FROM c GROUP BY doc_id""")
 def _(t):
-    return t.documents.where("n_chars < 20000").where(F.size(words("text")) >= 6).select("doc_id", F.round(repeated_word_ngrams("text"), 9).alias("ratio"))
+    return t.documents.where(F.size(words("text")) >= 6).select("doc_id", F.round(repeated_word_ngrams("text"), 9).alias("ratio"))
 
 
 _SENT = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '(^|\n)[ \t]*([0-9]+[.)]|[-*])[ \t]+', '\1', 'g'), '[.!?\n]+'), lambda s: trim(s)), lambda s: s <> '')"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import string
+from collections import Counter
 
 import pytest
 
@@ -34,3 +35,15 @@ def test_long_near_copies(spark, table):
                 want[i, j] = pytest.approx(share)
     assert (3, 9) in want and (4, 12) in want
     assert {(r.a, r.b): r.similarity for r in queries()["jon_18_similarity"](spark, path).collect()} == want
+
+
+def test_repeated_ngrams_of_long_texts(spark, table):
+    texts = ["a b c d e f " * 4000, " ".join(map(str, range(9000))), "a b c d e f a b c d e f", "too short", None]
+    path = table("documents", [(i, t, None if i == 2 else len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    want = {}
+    for i, t in enumerate(texts):
+        if len(w := (t or "").split()) >= 6:
+            n = Counter(tuple(w[j : j + 6]) for j in range(len(w) - 5))
+            want[i] = pytest.approx(sum(x for x in n.values() if x > 1) / sum(n.values()))
+    assert sorted(want) == [0, 1, 2]
+    assert {r.doc_id: r.ratio for r in queries()["str_09_repeated_ngrams"](spark, path).collect()} == want
