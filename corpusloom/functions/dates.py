@@ -290,6 +290,6 @@ def _(t):
     from corpusloom.operators.joins import as_of_bucketed
 
     noon = (F.date_trunc("day", F.col("o_orderdate")) + F.expr("INTERVAL 12 HOURS")).cast("timestamp_ntz")
-    marks = t.lineitem.where("l_orderkey % 100 = 0").select((F.date_trunc("day", F.col("l_shipdate")) + F.expr("INTERVAL 6 HOURS")).cast("timestamp_ntz").alias("at")).distinct()
+    marks = t.lineitem.select((F.date_trunc("day", F.col("l_shipdate")) + F.expr("INTERVAL 6 HOURS")).cast("timestamp_ntz").alias("at")).distinct()
     found = as_of_bucketed(t.orders.select("o_orderkey", noon.alias("noon")), marks, "noon", "at")
     return found.select("o_orderkey", "noon", F.col("at").isNotNull().alias("has_mark"))

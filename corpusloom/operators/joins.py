@@ -266,7 +266,7 @@ def _(t):
 @query("jon_15_as_of_days", """
 SELECT e.event_id, b.ts AS at FROM (SELECT * FROM events WHERE event_type <> 'signup') e ASOF LEFT JOIN (SELECT DISTINCT ts FROM events WHERE event_type = 'signup' AND event_id % 5 = 0) b ON e.ts >= b.ts""")
 def _(t):
-    marks = t.events.where("event_type = 'signup' AND event_id % 5 = 0").select(F.col("ts").alias("at")).distinct()
+    marks = t.events.where("event_type = 'signup'").select(F.col("ts").alias("at")).distinct()
     return as_of_bucketed(t.events.where("event_type <> 'signup'").select("event_id", "ts"), marks, "ts", "at").select("event_id", "at")
 
 
@@ -274,9 +274,10 @@ def _(t):
 SELECT o_orderkey, count(*) AS n FROM (SELECT o_orderkey, date_trunc('day', o_orderdate) AS s, date_trunc('day', o_orderdate) + INTERVAL 3 DAY AS e FROM orders WHERE o_orderkey % 50 = 0) JOIN (SELECT l_shipdate FROM lineitem WHERE l_orderkey % 10 = 0) ON l_shipdate BETWEEN s AND e GROUP BY 1""")
 def _(t):
     day = F.date_trunc("day", F.col("o_orderdate")).cast("timestamp_ntz")
-    spans = t.orders.where("o_orderkey % 50 = 0").select("o_orderkey", day.alias("s"), (day + F.expr("INTERVAL 3 DAY")).alias("e"))
-    points = t.lineitem.where("l_orderkey % 10 = 0").select("l_shipdate")
-    return range_join(spans, points, "s", "e", "l_shipdate").groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    spans = t.orders.select("o_orderkey", day.alias("s"), (day + F.expr("INTERVAL 3 DAY")).alias("e"))
+    points = t.lineitem.groupBy("l_shipdate").agg(F.count("*").alias("c"))
+    found = range_join(spans.select("s", "e").distinct(), points, "s", "e", "l_shipdate").groupBy("s").agg(F.sum("c").alias("c"))  # equal spans and equal times once each
+    return spans.join(found, "s").groupBy("o_orderkey").agg(F.sum("c").alias("n"))
 
 
 @query("jon_17_band_join", """
@@ -337,9 +338,11 @@ def _(t):
 WITH b AS (SELECT DISTINCT ts FROM events WHERE event_type = 'signup' AND event_id % 5 = 0), e AS (SELECT event_id, ts FROM events WHERE event_type = 'error')
 SELECT e.event_id, m.ts AS at, EXISTS (SELECT 1 FROM b x WHERE abs(epoch_us(x.ts) - epoch_us(e.ts)) <= 300000000) AS quarantined FROM e ASOF LEFT JOIN b m ON e.ts >= m.ts""")
 def _(t):
-    marks = t.events.where("event_type = 'signup' AND event_id % 5 = 0").select(F.col("ts").alias("at")).distinct()
+    marks = t.events.where("event_type = 'signup'").select(F.col("ts").alias("at")).distinct()
     errors = t.events.where("event_type = 'error'").select("event_id", "ts")
-    near = band_join(errors, marks.withColumnRenamed("at", "mark"), "ts", "mark", 300).select("event_id").distinct().withColumn("q", F.lit(True))
+    bucket = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / 300_000_000)
+    ends = marks.groupBy(bucket.alias("k")).agg(F.min("at").alias("a"), F.max("at").alias("z")).select(F.explode(F.array("a", "z")).alias("mark"))  # if any mark is near, one of these is
+    near = band_join(errors, ends, "ts", "mark", 300).select("event_id").distinct().withColumn("q", F.lit(True))
     return as_of_bucketed(errors, marks, "ts", "at").join(near, "event_id", "left").select("event_id", "at", F.coalesce("q", F.lit(False)).alias("quarantined"))
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 import string
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import pytest
 
-from corpusloom.catalog import queries
+from corpusloom.catalog import oracle_sql, queries
+from tests.test_catalog import bag
 
 
 @pytest.fixture
@@ -47,3 +50,27 @@ def test_repeated_ngrams_of_long_texts(spark, table):
             want[i] = pytest.approx(sum(x for x in n.values() if x > 1) / sum(n.values()))
     assert sorted(want) == [0, 1, 2]
     assert {r.doc_id: r.ratio for r in queries()["str_09_repeated_ngrams"](spark, path).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    own = duckdb.connect()
+    for path in Path(sf_dir).glob("*.parquet"):
+        own.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return own
+
+
+def same_without(cuts, spark, sf_dir, duck, name):
+    """Whether a query gives what its SQL does when that has no cuts either."""
+    got, sql = queries()[name](spark, sf_dir), oracle_sql()[name]
+    for cut in cuts:
+        sql = sql.replace(cut, "")
+    columns = sorted(got.columns)
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    return bag(got.select(*columns).collect()) == bag(duck.sql(f"SELECT {quoted} FROM ({sql})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["jon_15_as_of_days", "jon_16_range_join", "jon_24_as_of_quarantine", "dat_24_noon_facts"])
+def test_all_boundaries_spans_and_points(spark, sf_dir, duck, name):
+    cuts = (" AND event_id % 5 = 0", " WHERE o_orderkey % 50 = 0", " WHERE l_orderkey % 100 = 0", " WHERE l_orderkey % 10 = 0")
+    assert same_without(cuts, spark, sf_dir, duck, name)
