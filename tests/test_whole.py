@@ -74,3 +74,7 @@ def same_without(cuts, spark, sf_dir, duck, name):
 def test_all_boundaries_spans_and_points(spark, sf_dir, duck, name):
     cuts = (" AND event_id % 5 = 0", " WHERE o_orderkey % 50 = 0", " WHERE l_orderkey % 100 = 0", " WHERE l_orderkey % 10 = 0")
     assert same_without(cuts, spark, sf_dir, duck, name)
+
+
+def test_candidate_facts_of_all_events(spark, sf_dir, duck):
+    assert same_without((" WHERE event_id % 20 = 0",), spark, sf_dir, duck, "dat_19_candidate_facts")
