@@ -78,3 +78,9 @@ def test_all_boundaries_spans_and_points(spark, sf_dir, duck, name):
 
 def test_candidate_facts_of_all_events(spark, sf_dir, duck):
     assert same_without((" WHERE event_id % 20 = 0",), spark, sf_dir, duck, "dat_19_candidate_facts")
+
+
+def test_rules_see_all_events(spark, sf_dir, duck, table):
+    assert same_without((" WHERE event_id % 5 = 0",), spark, sf_dir, duck, "flt_12_rules")
+    path = table("events", [(0, 1, "purchase"), (1, 1, "error"), (2, 2, "click"), (5, 2, "purchase")], "event_id long, user_id long, event_type string")
+    assert {tuple(r) for r in queries()["flt_12_rules"](spark, path).collect()} == {(2, "buyer"), (2, "smooth")}
