@@ -70,6 +70,14 @@ def introduced(output: str, prompt: str, form: str) -> Column:
     return F.array_except(F.regexp_extract_all(F.col(output), F.lit(form), F.lit(0)), F.regexp_extract_all(F.col(prompt), F.lit(form), F.lit(0)))
 
 
+def ungrounded(output: str, before: str) -> Column:
+    """The distinct words of an output, without signs at their ends, that don't occur in the earlier text."""
+    from corpusloom.functions.text import words
+
+    bare = F.transform(words(output), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{M}\p{N}]++|(?<![^\p{L}\p{M}\p{N}])[^\p{L}\p{M}\p{N}]++$", ""))
+    return F.filter(F.array_distinct(bare), lambda w: ~F.col(before).contains(w))
+
+
 def validate_messages(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """Each conversation's structural faults, sorted."""
     from corpusloom.operators.projections import messages
@@ -257,4 +265,4 @@ def _(t):
 
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     rows = t.conversations.withColumn("before", F.array_join(F.collect_list("text").over(before), "\n"))
-    return rows.where("role = 'assistant'").select("conv_id", "turn", (~F.col("before").contains(F.substring("text", 1, 12))).alias("missing"))
+    return rows.where("role = 'assistant'").select("conv_id", "turn", (F.size(ungrounded("text", "before")) > 0).alias("missing"))

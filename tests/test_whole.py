@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 import string
+import unicodedata
 from collections import Counter
 from pathlib import Path
 
@@ -84,3 +87,27 @@ def test_rules_see_all_events(spark, sf_dir, duck, table):
     assert same_without((" WHERE event_id % 5 = 0",), spark, sf_dir, duck, "flt_12_rules")
     path = table("events", [(0, 1, "purchase"), (1, 1, "error"), (2, 2, "click"), (5, 2, "purchase")], "event_id long, user_id long, event_type string")
     assert {tuple(r) for r in queries()["flt_12_rules"](spark, path).collect()} == {(2, "buyer"), (2, "smooth")}
+
+
+def test_masks_whole_texts(spark, table):
+    texts = ["here src7 and " + "x" * 80 + " src7, src8", None]
+    path = table("documents", [(i, "src7", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    want = {0: "place: " + texts[0].replace("src7", "place"), 1: None}
+    assert {r.doc_id: r.masked for r in queries()["str_18_mask_place"](spark, path).collect()} == want
+
+
+def test_grounding_of_whole_replies(spark, table):
+    asked = "I was born on 1990-01-02 in Seoul (Mapo), at 10:30."
+    replies = ["born on 1990-01-02 in Busan", "born in \"Seoul\", Mapo: on 1990-01-02.", "born on 1990-01-03", "...", " -- Seoul\n10:30!", "born in 서울"]
+    rows = [x for i, reply in enumerate(replies) for x in ((i, 0, "user", asked), (i, 1, "assistant", reply))]
+    path = table("conversations", [*rows, (9, 0, "assistant", "hello")], "conv_id long, turn int, role string, text string")
+    out = {(r.conv_id, r.turn): r.missing for r in queries()["flt_19_grounding"](spark, path).collect()}
+    assert out == {(0, 1): True, (1, 1): False, (2, 1): True, (3, 1): False, (4, 1): False, (5, 1): True, (9, 0): True}
+
+
+def test_answer_keys_of_all_texts(spark, table):
+    texts = ["Plain, 12", "ＡＢ ﬁ Straße", "", None, "한국"]
+    path = table("documents", [(i, "de" if i % 2 else "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    fold = lambda x: re.sub("[^0-9a-z]", "", unicodedata.normalize("NFKC", x).casefold())
+    want = {i: None if t is None else hashlib.sha256(fold(t).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {r.doc_id: r.h for r in queries()["str_02_answer_key"](spark, path).collect()} == want
