@@ -111,3 +111,9 @@ def test_answer_keys_of_all_texts(spark, table):
     fold = lambda x: re.sub("[^0-9a-z]", "", unicodedata.normalize("NFKC", x).casefold())
     want = {i: None if t is None else hashlib.sha256(fold(t).encode()).hexdigest() for i, t in enumerate(texts)}
     assert {r.doc_id: r.h for r in queries()["str_02_answer_key"](spark, path).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["src_08_zip_members", "src_10_json_lines", "src_13_xml_days", "snk_12_sealed"])
+def test_all_ids(spark, sf_dir, duck, name):
+    cuts = (" WHERE page_id < 20", " WHERE event_id % 7 = 0", " WHERE o_orderkey % 5 = 0", " WHERE doc_id % 10 = 0")
+    assert same_without(cuts, spark, sf_dir, duck, name)
