@@ -22,6 +22,11 @@ _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "p
 
 #: Tokens that may be identifiers: five characters at least, one of them a digit.
 _CANDIDATE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._%+@-]{3,}[A-Za-z0-9]"
+#: Identifiers that aren't such tokens: words joined by @, dots or bracketed signs, and groups of digits with one separator or brackets between. None ends within a token.
+_JOINED = (
+    r"(?<![A-Za-z0-9._%+@-])(?:[A-Za-z0-9][A-Za-z0-9_%+-]*+(?:(?:[.@]|[(\[](?i:at|dot|@|\.)[)\]])[A-Za-z0-9_%+-]++)++(?<=[A-Za-z0-9])"
+    r"|\+?+(?:[(\[][0-9]++[)\]]|[0-9]++)(?:[./-]?+[(\[][0-9]++[)\]]|\x20[(\[][0-9]++[)\]]|[./-][0-9]++|(?<=[)\]])[0-9]++|\x20[0-9]{2,}+){1,12}+)(?![A-Za-z0-9._%+@-]*[A-Za-z0-9])"
+)
 #: Tokens of a context: words with the signs that lead to a value, without quotes and brackets.
 _TOKEN = r"[^\s=:\"'(\[<]++[=:]*+|[=:]++"
 #: Characters before a span that its context may come from.
@@ -81,9 +86,11 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Tokens that look like identifiers and lie outside the base spans."""
-    spans = F.when(text.rlike("[0-9]"), _spans(text, _CANDIDATE, None)).otherwise(_none())
-    return F.filter(spans, lambda c: ~F.exists(base, lambda b: (c["start"] < b["end"]) & (c["end"] > b["start"])))
+    """What looks like an identifier and lies outside the base spans; of two that overlap the joined one."""
+    apart = lambda spans, others: F.filter(spans, lambda c: ~F.exists(others, lambda b: (c["start"] < b["end"]) & (c["end"] > b["start"])))
+    tokens = F.when(text.rlike("[0-9]"), _spans(text, _CANDIDATE, None)).otherwise(_none())
+    joined = F.filter(_spans(text, _JOINED, None), lambda c: c["end"] - c["start"] >= 5)
+    return let(apart(joined, base), lambda j: F.concat(j, apart(apart(tokens, base), j)))
 
 
 def _plain(text: Column) -> Column:
@@ -145,7 +152,8 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, trust: float = T
     """(doc_id, base, found) for each row of ``docs`` (doc_id, text).
 
     ``base``: spans that match a kind's form, by start, then kind. ``found``: more
-    spans, of tokens that look like identifiers and follow a pattern of ``support``
+    spans, of what looks like an identifier (tokens with a digit, words joined by @ or
+    dots, groups of digits) and follows a pattern of ``support``
     values and a score of ``trust`` at least; their kind is the pattern's. Starts and
     ends count code points.
 
