@@ -72,10 +72,11 @@ def introduced(output: str, prompt: str, form: str) -> Column:
 
 def ungrounded(output: str, before: str) -> Column:
     """The distinct words of an output, without signs at their ends, that don't occur in the earlier text."""
+    from corpusloom.functions.columns import let
     from corpusloom.functions.text import words
 
     bare = F.transform(words(output), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{M}\p{N}]++|(?<![^\p{L}\p{M}\p{N}])[^\p{L}\p{M}\p{N}]++$", ""))
-    return F.filter(F.array_distinct(bare), lambda w: ~F.col(before).contains(w))
+    return let(F.col(before), lambda b: F.filter(F.array_distinct(bare), lambda w: ~b.contains(w)))
 
 
 def validate_messages(turns: DataFrame, key: str = "conv_id") -> DataFrame:
