@@ -36,8 +36,13 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 
 def texts(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """The texts as large strings, null as empty."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The texts as large strings, null as empty, in buffers of their own.
+
+    The cast of a slice keeps the values' offsets of the whole, which pc.ascii_lower
+    doesn't heed; ``take`` makes them begin at 0.
+    """
+    values = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return values.take(pa.array(np.arange(len(values))))
 
 
 def split_words(values: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
