@@ -117,10 +117,12 @@ def has_final_consonant(c: str | Column) -> Column:
     return F.when(code.between(0xAC00, 0xD7A3), F.pmod(code - 0xAC00, F.lit(28)) != 0)
 
 
-def repair_particle(c: str | Column, name: str, closed: str, open_: str) -> Column:
+def repair_particle(c: str | Column, name: str | Column, closed: str, open_: str) -> Column:
     """After ``name`` the particle that its last syllable asks for."""
-    right = F.when(has_final_consonant(F.lit(name)), F.lit(name + closed)).otherwise(F.lit(name + open_))
-    return F.replace(F.replace(_col(c), F.lit(name + closed), right), F.lit(name + open_), right)
+    name = F.lit(name) if isinstance(name, str) else name
+    forms = F.concat(name, F.lit(closed)), F.concat(name, F.lit(open_))
+    right = F.when(has_final_consonant(name), forms[0]).otherwise(forms[1])
+    return F.replace(F.replace(_col(c), forms[0], right), forms[1], right)
 
 
 def mask_names(c: str | Column, names: list[str], generic: str) -> Column:
@@ -174,7 +176,7 @@ def _(t):
     return t.documents.select("doc_id", F.sha2(normalize_lines("text"), 256).alias("h"))
 
 
-@query("str_02_answer_key", "SELECT doc_id, sha256(regexp_replace(lower(text), '[^0-9a-z]', '', 'g')) AS h FROM documents WHERE lang = 'en' AND length(text) = strlen(text)")
+@query("str_02_answer_key")
 def _(t):
     return t.documents.select("doc_id", F.sha2(answer_key("text"), 256).alias("h"))
 
@@ -221,7 +223,7 @@ _W = "list_filter(string_split_regex(text, '[ \\n\\t\\r]+'), lambda w: w <> '')"
 
 
 @query("str_09_repeated_ngrams", f"""
-WITH w AS (SELECT doc_id, {_W} AS w FROM documents WHERE n_chars < 20000), g AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 5), lambda i: array_to_string(w[i:i + 5], ' '))) AS g FROM w WHERE len(w) >= 6),
+WITH w AS (SELECT doc_id, {_W} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 5), lambda i: array_to_string(w[i:i + 5], ' '))) AS g FROM w WHERE len(w) >= 6),
 c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL) SELECT doc_id, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 9) AS ratio FROM c GROUP BY doc_id""")
 def _(t):
     return t.documents.where(F.size(words("text")) >= 6).select("doc_id", F.round(repeated_word_ngrams("text"), 9).alias("ratio"))
@@ -250,7 +252,7 @@ def _(t):
     return t.documents.select("doc_id", F.size(nonempty_lines("text")).alias("n"))
 
 
-@query("str_18_mask_place", "SELECT doc_id, replace(text, source, 'place') AS masked FROM (SELECT doc_id, source, source || ': ' || substring(text, 1, 50) AS text FROM documents)")
+@query("str_18_mask_place", "SELECT doc_id, replace(text, source, 'place') AS masked FROM (SELECT doc_id, source, source || ': ' || text AS text FROM documents)")
 def _(t):
     rows = t.documents.select("doc_id", "source", F.concat("source", F.lit(": "), "text").alias("text"))
     return rows.select("doc_id", F.replace("text", F.col("source"), F.lit("place")).alias("masked"))
