@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.spread import join_spread
 from corpusloom.registry import query
 
 
@@ -119,15 +120,18 @@ def ngram_set(text: str | Column, width: int) -> Column:
 def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, text: str, width: int, least: float) -> DataFrame:
     """(a, b, similarity) of pairs whose character n-gram sets have that Jaccard similarity.
 
-    Only n-grams that both sides hold are joined, and only the rarest ones of each set,
-    one of which two similar sets must share; then each pair's sets are compared.
+    Only the rarest n-grams of each set are joined, one of which two similar sets must
+    share; then each pair's sets are compared. Sets that hold a common n-gram are dealt
+    to several tasks. Equal texts are each paired: similar_classes takes them once.
     """
     sets = lambda df, key: df.select(F.col(key).alias("k"), ngram_set(text, width).alias("g")).withColumn("n", F.size("g"))
     x, y = sets(left, a), sets(right, b)
     held = x.select(F.explode("g").alias("gram")).union(y.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count("*").alias("holders"))
 
+    total = left.select(F.length(text).alias("n")).union(right.select(F.length(text))).agg(F.sum("n")).first()[0] or 0  # at least as many as n-grams
+
     def prefix(df):
-        rows = df.select("k", "n", F.explode("g").alias("gram")).join(held, "gram")
+        rows = join_spread(df.select("k", "n", F.explode("g").alias("gram")), held, "gram", "holders", total, "k")
         place = F.row_number().over(Window.partitionBy("k").orderBy("holders", "gram"))
         return rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("k", "n", "gram")
 
@@ -138,6 +142,21 @@ def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, text: str
     return both.select(F.col("k").alias(a), F.col("m").alias(b), (share / (F.size("ga") + F.size("gb") - share)).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def similar_classes(df: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
+    """(key, class_id, n_links): each text's class and how many other rows it is similar to.
+
+    Rows of equal text are a class, named by its smallest key; only classes are
+    compared, and a link of two classes counts the rows of the other one. Rows whose
+    text is null or empty are left out.
+    """
+    rows = df.where(F.col(text) != "").select(key, F.sha2(F.col(text), 256).alias("_h"), F.col(text).alias("_t"))
+    classes = rows.groupBy("_h").agg(F.min(key).alias("class_id"), F.count("*").alias("_n"), F.first("_t").alias("_t"))
+    pairs = similarity_join(classes.withColumnRenamed("class_id", "a"), classes.withColumnRenamed("class_id", "b"), "a", "b", "_t", width, least).where("a <> b")
+    others = pairs.join(classes.select(F.col("class_id").alias("b"), F.col("_n").alias("m")), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("m").alias("_links"))
+    told = classes.join(others, "class_id", "left").select("_h", "class_id", (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("n_links"), "_n")
+    return join_spread(rows.select(key, "_h"), told, "_h", "_n", df.count(), key).select(key, "class_id", "n_links")
+
+
 def pair_lookup(pairs: DataFrame, table: DataFrame, x: str, y: str) -> DataFrame:
     """Join on an unordered pair: ``table`` has (low, high, ...)."""
     return pairs.withColumns({"low": F.least(x, y), "high": F.greatest(x, y)}).join(table, ["low", "high"], "left").drop("low", "high")
@@ -155,10 +174,12 @@ def _(t):
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("c_nationkey") == F.col("n_nationkey")).alias("n_equal"))
 
 
-@query("jon_03_manifest_check", "SELECT count(*) AS n_matched, 0::BIGINT AS n_missing, count(*) FILTER (doc_id % 10 = 0) AS n_h FROM documents")
+@query("jon_03_manifest_check", """
+SELECT count(*) FILTER (length(text) >= 300) AS n_matched, count(*) FILTER (length(text) < 300) AS n_missing, count(*) FILTER (length(text) >= 300 AND contains(text, chr(10))) AS n_h FROM documents""")
 def _(t):
-    records = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
-    manifest = records.withColumn("h", F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.col("h")))
+    """A manifest of all texts against the records of those that aren't short, whose line ends have changed."""
+    manifest = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
+    records = t.documents.where(F.length("text") >= 300).select("doc_id", F.sha2(F.replace("text", F.lit("\n"), F.lit("\r\n")), 256).alias("h"))
     return field_conflicts(manifest, records, ["doc_id"], ["h"])
 
 
@@ -264,14 +285,14 @@ def _(t):
 
 
 @query("jon_15_as_of_days", """
-SELECT e.event_id, b.ts AS at FROM (SELECT * FROM events WHERE event_type <> 'signup') e ASOF LEFT JOIN (SELECT DISTINCT ts FROM events WHERE event_type = 'signup' AND event_id % 5 = 0) b ON e.ts >= b.ts""")
+SELECT e.event_id, b.ts AS at FROM (SELECT * FROM events WHERE event_type <> 'signup') e ASOF LEFT JOIN (SELECT DISTINCT ts FROM events WHERE event_type = 'signup') b ON e.ts >= b.ts""")
 def _(t):
     marks = t.events.where("event_type = 'signup'").select(F.col("ts").alias("at")).distinct()
     return as_of_bucketed(t.events.where("event_type <> 'signup'").select("event_id", "ts"), marks, "ts", "at").select("event_id", "at")
 
 
 @query("jon_16_range_join", """
-SELECT o_orderkey, count(*) AS n FROM (SELECT o_orderkey, date_trunc('day', o_orderdate) AS s, date_trunc('day', o_orderdate) + INTERVAL 3 DAY AS e FROM orders WHERE o_orderkey % 50 = 0) JOIN (SELECT l_shipdate FROM lineitem WHERE l_orderkey % 10 = 0) ON l_shipdate BETWEEN s AND e GROUP BY 1""")
+SELECT o_orderkey, count(*) AS n FROM (SELECT o_orderkey, date_trunc('day', o_orderdate) AS s, date_trunc('day', o_orderdate) + INTERVAL 3 DAY AS e FROM orders) JOIN (SELECT l_shipdate FROM lineitem) ON l_shipdate BETWEEN s AND e GROUP BY 1""")
 def _(t):
     day = F.date_trunc("day", F.col("o_orderdate")).cast("timestamp_ntz")
     spans = t.orders.select("o_orderkey", day.alias("s"), (day + F.expr("INTERVAL 3 DAY")).alias("e"))
@@ -288,13 +309,9 @@ def _(t):
     return band_join(a, b, "ts", "other", 600).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query("jon_18_similarity", """
-WITH s AS (SELECT doc_id, text, unnest(generate_series(1, greatest(length(text) - 4, 1))) AS i FROM documents WHERE n_chars BETWEEN 1 AND 600), g AS (SELECT DISTINCT doc_id, substring(text, i, 5) AS g FROM s), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
-SELECT a, b, c / (x.n + y.n - c) AS similarity FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM g p JOIN g q USING (g) WHERE p.doc_id < q.doc_id GROUP BY 1, 2) JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c / (x.n + y.n - c) >= 0.85""")
+@query("jon_18_similarity")
 def _(t):
-    docs = t.documents.where("text <> ''")
-    pairs = similarity_join(docs.withColumnRenamed("doc_id", "a"), docs.withColumnRenamed("doc_id", "b"), "a", "b", "text", 5, 0.85)
-    return pairs.where("a < b")
+    return similar_classes(t.documents, "doc_id", "text", 5, 0.85)
 
 
 @query("jon_19_small_product", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE length(r_name) = length(n_name)")
@@ -328,14 +345,17 @@ def _(t):
     return dev.join(texts, "h", "left").join(starts, "p", "left").select("doc_id", F.coalesce("x", F.lit(False)).alias("same_text"), F.coalesce("y", F.lit(False)).alias("same_start"))
 
 
-@query("jon_23_field_conflicts", "SELECT count(*) AS n_matched, 0::BIGINT AS n_missing, count(*) FILTER (length(text) > 3000) AS n_text, 0::BIGINT AS n_lang FROM documents")
+@query("jon_23_field_conflicts", """
+SELECT count(l.doc_id) AS n_matched, count(*) FILTER (l.doc_id IS NULL) AS n_missing, count(*) FILTER (length(text) > 3000 AND l.doc_id IS NOT NULL) AS n_text,
+    count(*) FILTER (l.quality = 0 AND lang IS DISTINCT FROM 'en') AS n_lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def _(t):
-    cut = t.documents.withColumn("text", F.substring("text", 1, 3000))
+    """Documents against a copy of the labelled ones, with long texts cut and those of low quality called English."""
+    cut = t.documents.join(t.labels, "doc_id").withColumns({"text": F.substring("text", 1, 3000), "lang": F.when(F.col("quality") == 0, "en").otherwise(F.col("lang"))})
     return field_conflicts(t.documents, cut, ["doc_id"], ["text", "lang"])
 
 
 @query("jon_24_as_of_quarantine", """
-WITH b AS (SELECT DISTINCT ts FROM events WHERE event_type = 'signup' AND event_id % 5 = 0), e AS (SELECT event_id, ts FROM events WHERE event_type = 'error')
+WITH b AS (SELECT DISTINCT ts FROM events WHERE event_type = 'signup'), e AS (SELECT event_id, ts FROM events WHERE event_type = 'error')
 SELECT e.event_id, m.ts AS at, EXISTS (SELECT 1 FROM b x WHERE abs(epoch_us(x.ts) - epoch_us(e.ts)) <= 300000000) AS quarantined FROM e ASOF LEFT JOIN b m ON e.ts >= m.ts""")
 def _(t):
     marks = t.events.where("event_type = 'signup'").select(F.col("ts").alias("at")).distinct()

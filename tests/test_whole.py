@@ -8,13 +8,10 @@ import re
 import string
 import unicodedata
 from collections import Counter
-from pathlib import Path
 
-import duckdb
 import pytest
 
-from corpusloom.catalog import oracle_sql, queries
-from tests.test_catalog import bag
+from corpusloom.catalog import queries
 
 
 @pytest.fixture
@@ -31,16 +28,16 @@ def table(spark, tmp_path):
 def test_long_near_copies(spark, table):
     rng = random.Random(1)
     texts = ["".join(rng.choice(string.ascii_lowercase + " é\U0001f600") for _ in range(n)) for n in (3, 5, 40, 900, 2000, 7000)]
-    texts += [t[:-1] + "#" for t in texts] + [texts[4][:1000] + "?" + texts[4][1000:], "", None, texts[5][:3000]]
+    texts += [t[:-1] + "#" for t in texts] + [texts[4][:1000] + "?" + texts[4][1000:], "", texts[4], None, texts[5][:3000]]
     path = table("documents", [(i, t, None if i % 2 else len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     grams = [{t[j : j + 5] for j in range(max(len(t) - 4, 1))} if t else set() for t in texts]
     want = {}
     for i, x in enumerate(grams):
-        for j in range(i + 1, len(grams)):
-            if x and grams[j] and (share := len(x & grams[j]) / len(x | grams[j])) >= 0.85:
-                want[i, j] = pytest.approx(share)
-    assert (3, 9) in want and (4, 12) in want
-    assert {(r.a, r.b): r.similarity for r in queries()["jon_18_similarity"](spark, path).collect()} == want
+        if x:
+            links = [j for j, y in enumerate(grams) if j != i and y and len(x & y) / len(x | y) >= 0.85]
+            want[i] = (min(j for j, t in enumerate(texts) if t == texts[i]), len(links))
+    assert want[3][1] == 1 and want[4] == want[14] == (4, 3)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in queries()["jon_18_similarity"](spark, path).collect()} == want
 
 
 def test_repeated_ngrams_of_long_texts(spark, table):
@@ -55,36 +52,7 @@ def test_repeated_ngrams_of_long_texts(spark, table):
     assert {r.doc_id: r.ratio for r in queries()["str_09_repeated_ngrams"](spark, path).collect()} == want
 
 
-@pytest.fixture(scope="module")
-def duck(sf_dir):
-    own = duckdb.connect()
-    for path in Path(sf_dir).glob("*.parquet"):
-        own.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
-    return own
-
-
-def same_without(cuts, spark, sf_dir, duck, name):
-    """Whether a query gives what its SQL does when that has no cuts either."""
-    got, sql = queries()[name](spark, sf_dir), oracle_sql()[name]
-    for cut in cuts:
-        sql = sql.replace(cut, "")
-    columns = sorted(got.columns)
-    quoted = ", ".join(f'"{c}"' for c in columns)
-    return bag(got.select(*columns).collect()) == bag(duck.sql(f"SELECT {quoted} FROM ({sql})").fetchall())
-
-
-@pytest.mark.parametrize("name", ["jon_15_as_of_days", "jon_16_range_join", "jon_24_as_of_quarantine", "dat_24_noon_facts"])
-def test_all_boundaries_spans_and_points(spark, sf_dir, duck, name):
-    cuts = (" AND event_id % 5 = 0", " WHERE o_orderkey % 50 = 0", " WHERE l_orderkey % 100 = 0", " WHERE l_orderkey % 10 = 0")
-    assert same_without(cuts, spark, sf_dir, duck, name)
-
-
-def test_candidate_facts_of_all_events(spark, sf_dir, duck):
-    assert same_without((" WHERE event_id % 20 = 0",), spark, sf_dir, duck, "dat_19_candidate_facts")
-
-
-def test_rules_see_all_events(spark, sf_dir, duck, table):
-    assert same_without((" WHERE event_id % 5 = 0",), spark, sf_dir, duck, "flt_12_rules")
+def test_rules_see_all_events(spark, table):
     path = table("events", [(0, 1, "purchase"), (1, 1, "error"), (2, 2, "click"), (5, 2, "purchase")], "event_id long, user_id long, event_type string")
     assert {tuple(r) for r in queries()["flt_12_rules"](spark, path).collect()} == {(2, "buyer"), (2, "smooth")}
 
@@ -111,9 +79,3 @@ def test_answer_keys_of_all_texts(spark, table):
     fold = lambda x: re.sub("[^0-9a-z]", "", unicodedata.normalize("NFKC", x).casefold())
     want = {i: None if t is None else hashlib.sha256(fold(t).encode()).hexdigest() for i, t in enumerate(texts)}
     assert {r.doc_id: r.h for r in queries()["str_02_answer_key"](spark, path).collect()} == want
-
-
-@pytest.mark.parametrize("name", ["src_08_zip_members", "src_10_json_lines", "src_13_xml_days", "snk_12_sealed"])
-def test_all_ids(spark, sf_dir, duck, name):
-    cuts = (" WHERE page_id < 20", " WHERE event_id % 7 = 0", " WHERE o_orderkey % 5 = 0", " WHERE doc_id % 10 = 0")
-    assert same_without(cuts, spark, sf_dir, duck, name)
