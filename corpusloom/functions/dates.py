@@ -250,7 +250,7 @@ def candidate_facts(df: DataFrame, key: str, start: str, end: str, minutes: int,
 
 
 @query("dat_19_candidate_facts", """
-WITH g AS (SELECT event_id, unnest(generate_series(ts, ts + INTERVAL 4 HOUR, INTERVAL 10 MINUTE)) AS x FROM events WHERE event_id % 20 = 0)
+WITH g AS (SELECT event_id, unnest(generate_series(ts, ts + INTERVAL 4 HOUR, INTERVAL 10 MINUTE)) AS x FROM events)
 SELECT event_id, ((hour(x) * 60 + minute(x) + 60) % 1440) // 120 AS fact, min(x) AS first, max(x) AS last, count(*) AS n FROM g GROUP BY 1, 2""")
 def _(t):
     rows = t.events.select("event_id", "ts", (F.col("ts") + F.expr("INTERVAL 4 HOURS")).alias("end"))
@@ -285,7 +285,7 @@ def _(t):
     return t.orders.select("o_orderkey", scope.alias("scope"))
 
 
-@query("dat_24_noon_facts", "SELECT o_orderkey, CAST(o_orderdate::DATE AS TIMESTAMP) + INTERVAL 12 HOUR AS noon, (b.ts IS NOT NULL) AS has_mark FROM orders o ASOF LEFT JOIN (SELECT DISTINCT l_shipdate::DATE + INTERVAL 6 HOUR AS ts FROM lineitem WHERE l_orderkey % 100 = 0) b ON CAST(o.o_orderdate::DATE AS TIMESTAMP) + INTERVAL 12 HOUR >= b.ts")
+@query("dat_24_noon_facts", "SELECT o_orderkey, CAST(o_orderdate::DATE AS TIMESTAMP) + INTERVAL 12 HOUR AS noon, (b.ts IS NOT NULL) AS has_mark FROM orders o ASOF LEFT JOIN (SELECT DISTINCT l_shipdate::DATE + INTERVAL 6 HOUR AS ts FROM lineitem) b ON CAST(o.o_orderdate::DATE AS TIMESTAMP) + INTERVAL 12 HOUR >= b.ts")
 def _(t):
     from corpusloom.operators.joins import as_of_bucketed
 

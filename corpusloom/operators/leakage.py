@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,13 +13,13 @@ from corpusloom.registry import query
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the cluster shares; a folder of the session's own where none is named."""
+    """Cut lineage in the folder that the cluster shares; only a local session that names none gets one of its own."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex}")
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -46,7 +46,11 @@ def key_components(rows: DataFrame, record: str, key: str) -> DataFrame:
 
 
 def component_ids(components: DataFrame, record: str) -> DataFrame:
-    """(root, component_id, size): SHA-256 of the sorted members, one to a line."""
+    """(root, component_id, size): SHA-256 of the sorted members, one to a line.
+
+    This digest needs a component's members together; where one may hold a great part of
+    all records, ``root`` names the component without that.
+    """
     members = F.array_sort(F.collect_list(F.col(record).cast("string")))
     return components.groupBy("root").agg(F.sha2(F.array_join(members, "\n"), 256).alias("component_id"), F.count("*").alias("size"))
 
@@ -92,14 +96,32 @@ def leakage_safe_split(docs: DataFrame, components: DataFrame, field: str, held:
     return rows.join(blocked, "root", "left").withColumn("split", split).drop("_held")
 
 
-@query("win_17_split_overlap", "SELECT 0::BIGINT AS n_crossing")
+@query("win_17_split_overlap", _COMPONENTS + """, c AS (SELECT root, bool_or(source = 'src4') AND bool_or(source <> 'src4') AS crosses, bool_and(source = 'src4') AS held FROM comp JOIN documents USING (doc_id) GROUP BY root)
+SELECT 0::BIGINT AS n_crossing, count(*) FILTER (crosses) AS n_crossing_by_source, count(*) FILTER (crosses OR held) AS n_held, count(*) FILTER (NOT crosses AND NOT held) AS n_train FROM c""")
 def _(t):
+    """Components whose documents two splits share: none of the safe split, and those of a split by source alone."""
     split = leakage_safe_split(t.documents, key_components(_keys(t), "doc_id", "k"), "source", ["src4"])
-    kinds = split.where("split <> 'blocked'").groupBy("root").agg(F.count_distinct("split").alias("n"))
-    return kinds.agg(F.count_if(F.col("n") > 1).alias("n_crossing"))
+    some = lambda name: F.max(F.when(F.col("split") == name, 1).otherwise(0)).cast("long")
+    kinds = split.groupBy("root").agg(some("holdout").alias("h"), some("train").alias("t"), some("blocked").alias("b"))
+    return kinds.agg(F.sum(F.col("h") * F.col("t")).alias("n_crossing"), F.sum(F.col("h") * F.greatest("t", "b")).alias("n_crossing_by_source"), F.sum("h").alias("n_held"), F.sum("t").alias("n_train"))
 
 
 @query("win_17_eval_components", _COMPONENTS + "SELECT doc_id FROM (SELECT doc_id, root FROM comp QUALIFY row_number() OVER (PARTITION BY root ORDER BY sha256('eval|' || doc_id)) = 1) ORDER BY sha256('pick|' || doc_id) LIMIT 40")
 def _(t):
     rows = key_components(_keys(t), "doc_id", "k").withColumn("h", stable_rank("eval", "doc_id"))
     return first_of_each(rows, ["root"], ["h"]).orderBy(stable_rank("pick", "doc_id")).limit(40).select("doc_id")
+
+
+def join_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) of every node of undirected pairs: the smallest node that they lead to. Each pair is a key of its two ends."""
+    ends = pairs.select(F.xxhash64(a, b).alias("k"), F.explode(F.array(a, b)).alias("node"))
+    return key_components(ends, "node", "k")
+
+
+@query("agg_36_union_find", """
+WITH RECURSIVE p AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM supplier JOIN customer ON s_suppkey = c_custkey WHERE s_acctbal > c_acctbal), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT a, a FROM p UNION SELECT b, b FROM p),
+reach(x, y) AS (SELECT a, b FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a) SELECT x AS node, min(y) AS root FROM reach GROUP BY x""")
+def _(t):
+    """Nations tied by a supplier and the customer of its number, where the supplier has more on its account."""
+    own = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).where("s_acctbal > c_acctbal")
+    return join_pairs(own.select("s_nationkey", "c_nationkey").distinct(), "s_nationkey", "c_nationkey")

@@ -189,7 +189,7 @@ def _(t):
 
 
 @query("flt_12_rules", """
-WITH w AS (SELECT user_id, bool_or(event_type = 'click') AS c, bool_or(event_type = 'purchase') AS p, bool_or(event_type = 'error') AS e, bool_or(event_type = 'signup') AS s FROM events WHERE event_id % 5 = 0 GROUP BY user_id)
+WITH w AS (SELECT user_id, bool_or(event_type = 'click') AS c, bool_or(event_type = 'purchase') AS p, bool_or(event_type = 'error') AS e, bool_or(event_type = 'signup') AS s FROM events GROUP BY user_id)
 SELECT user_id, 'buyer' AS rule FROM w WHERE c AND p UNION ALL SELECT user_id, 'smooth' FROM w WHERE p AND NOT e UNION ALL SELECT user_id, 'joined' FROM w WHERE s AND c AND NOT e""")
 def _(t):
     rules = t.spark.createDataFrame([("buyer", ["click", "purchase"], []), ("smooth", ["purchase"], ["error"]), ("joined", ["signup", "click"], ["error"])], "rule string, needs array<string>, bars array<string>")
@@ -259,8 +259,8 @@ def _(t):
 
 
 @query("flt_19_grounding", """
-WITH p AS (SELECT conv_id, turn, role, substring(text, 1, 12) AS claim, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM conversations)
-SELECT conv_id, turn, NOT contains(before, claim) AS missing FROM p WHERE role = 'assistant'""")
+WITH p AS (SELECT conv_id, turn, role, list_filter(string_split_regex(text, '[ \\n\\t\\r]+'), lambda w: w <> '') AS w, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM conversations)
+SELECT conv_id, turn, len(list_filter(w, lambda x: NOT contains(before, regexp_replace(regexp_replace(x, '^[^\\pL\\pM\\pN]+', ''), '[^\\pL\\pM\\pN]+$', '')))) > 0 AS missing FROM p WHERE role = 'assistant'""")
 def _(t):
     from pyspark.sql import Window
 

@@ -34,7 +34,7 @@ def ordinal(df: DataFrame, *order: Column | str, bucket: Column | None = None, n
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
     offsets = rows.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return rows.withColumn("_own", own).join(F.broadcast(offsets), "_bucket").withColumn(name, (F.col("_own") + F.col("_offset")).cast("int")).drop("_bucket", "_own", "_offset")
+    return rows.withColumn("_own", own).join(offsets, "_bucket").withColumn(name, (F.col("_own") + F.col("_offset")).cast("int")).drop("_bucket", "_own", "_offset")
 
 
 def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int = 1, name: str | None = None) -> DataFrame:
@@ -51,16 +51,18 @@ def quota_sample(df: DataFrame, stratum: str, quotas: Mapping[str, int], order:
     return df.where(F.col(stratum).isin(*quotas)).withColumn("_rank", rank).where(F.col("_rank") <= quota[F.col(stratum)]).drop("_rank")
 
 
-def ordered_variants(df: DataFrame, variant: str, quotas: Mapping[str, int], key: str, rank: str) -> DataFrame:
+def ordered_variants(df: DataFrame, variant: str, quotas: Mapping[str, int], key: str, rank: str, looks: int | None = None) -> DataFrame:
     """Variants in their order take their quotas of the lowest ranks, no key twice.
 
-    Of each variant only twice its quota of rows, those of the lowest ranks, are looked
-    at; of rows with equal keys the first counts; keys that earlier variants took are
-    passed over.
+    Of rows with equal keys the first counts; keys that earlier variants took are passed
+    over. With ``looks`` only so many times the quota of rows, those of the lowest
+    ranks, are looked at, so a variant of many repeated keys may get fewer than its
+    quota; None looks at all.
     """
     taken, out = None, None
     for name, quota in quotas.items():
-        rows = df.where(F.col(variant) == name).orderBy(rank).limit(2 * quota)
+        rows = df.where(F.col(variant) == name)
+        rows = rows.orderBy(rank).limit(looks * quota) if looks else rows
         rows = rows.join(taken, key, "left_anti") if taken is not None else rows
         own = first_of_each(rows, [key], [rank]).orderBy(rank).limit(quota)
         out = own if out is None else out.unionByName(own)
@@ -159,7 +161,7 @@ WITH r AS (SELECT doc_id, source, lang, {_H} AS h FROM documents), a2 AS (SELECT
 b2 AS (SELECT * FROM r WHERE lang = 'de' ORDER BY h LIMIT 16), b1 AS (SELECT * FROM b2 WHERE source NOT IN (SELECT source FROM a) QUALIFY row_number() OVER (PARTITION BY source ORDER BY h) = 1), b AS (SELECT * FROM b1 ORDER BY h LIMIT 8)
 SELECT doc_id, lang FROM a UNION ALL SELECT doc_id, lang FROM b""")
 def _(t):
-    return ordered_variants(_ranked(t), "lang", {"en": 10, "de": 8}, "source", "h").select("doc_id", "lang")
+    return ordered_variants(_ranked(t), "lang", {"en": 10, "de": 8}, "source", "h", looks=2).select("doc_id", "lang")
 
 
 @query("win_04_first_per_axis", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) <= 2")
@@ -432,3 +434,32 @@ def _(t):
 def _(t):
     span = F.datediff(F.lit("2049-12-31").cast("date"), F.lit("1950-01-01").cast("date"))
     return t.spark.range(100).select(F.col("id").cast("int").alias("i"), F.date_add(F.lit("1950-01-01").cast("date"), F.floor(F.col("id") * span / 99).cast("int")).alias("day"))
+
+
+@query("udf_04_order_key", "SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY abs(o_totalprice - 150000), o_orderkey) <= 4")
+def _(t):
+    """The caller's sort key is a column expression."""
+    nearest = F.abs(F.col("o_totalprice") - 150000)
+    return first_of_each(t.orders, ["o_orderpriority"], [nearest, "o_orderkey"], 4).select("o_orderkey", "o_orderpriority")
+
+
+@query("udf_05_group_selector", "SELECT conv_id, min(turn) FILTER (role = 'assistant' AND contains(text, chr(10))) AS first, max(turn) FILTER (role = 'assistant' AND contains(text, chr(10))) AS last FROM conversations GROUP BY conv_id HAVING last > first")
+def _(t):
+    """From each group the pair of rows that the caller's selector names."""
+    chosen = lambda f, test: f(F.when(test, F.col("turn")))
+    test = (F.col("role") == "assistant") & F.col("text").contains("\n")
+    return group_pairs(t.conversations, ["conv_id"], {"first": chosen(F.min, test), "last": chosen(F.max, test)}, F.col("last") > F.col("first"))
+
+
+def group_pairs(df: DataFrame, keys: Sequence[str], selector: Mapping[str, Column], valid: Column) -> DataFrame:
+    """What the caller's aggregate expressions select in each group, where that is valid."""
+    return df.groupBy(*keys).agg(*(c.alias(name) for name, c in selector.items())).where(valid)
+
+
+@query("udf_06_predicates", f"""
+WITH r AS (SELECT doc_id, lang, n_chars, {_H} AS h FROM documents), a AS (SELECT doc_id, h FROM r WHERE lang = 'en' AND n_chars > 500 ORDER BY h LIMIT 9), b AS (SELECT doc_id, h FROM r WHERE n_chars > 200 AND doc_id NOT IN (SELECT doc_id FROM a) ORDER BY h LIMIT 7)
+SELECT doc_id, 'long' AS queue FROM a UNION ALL SELECT doc_id, 'any' FROM b""")
+def _(t):
+    """Disjoint queues by the caller's predicates."""
+    queues = {"long": ((F.col("lang") == "en") & (F.col("n_chars") > 500), 9), "any": (F.col("n_chars") > 200, 7)}
+    return disjoint_queues(_ranked(t), queues, "doc_id", ["h"]).select("doc_id", "queue")

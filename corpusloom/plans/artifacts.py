@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranking import revision_chains
+from corpusloom.plans.scratch import new_path
 from corpusloom.registry import query
 
 
@@ -107,6 +109,11 @@ def append_decision(df: DataFrame, path: str) -> None:
     df.withColumn("part", F.pmod(F.xxhash64("review_id"), F.lit(16))).write.mode("append").partitionBy("part").parquet(path)
 
 
+def append_json_lines(df: DataFrame, path: str) -> None:
+    """Append rows as canonical JSON lines; the commit makes all of them appear at once."""
+    json_lines(df).write.mode("append").text(path)
+
+
 def seal(c: Column, key: Column, context: str) -> Column:
     """AES-GCM with a context that opening must repeat."""
     return F.base64(F.aes_encrypt(c, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(context)))
@@ -118,6 +125,74 @@ def open_sealed(c: Column, keys: list[Column], context: str) -> Column:
     return F.coalesce(*tries)
 
 
+@query("snk_01_atomic_json", "SELECT doc_id, lang, n_chars FROM documents")
+def _(t):
+    """Written as one table of JSON lines, which a second write can't replace, and read back."""
+    path = new_path(t.spark, "atomic")
+    rows = json_lines(t.documents.select("doc_id", "lang", "n_chars"))
+    rows.write.mode("errorifexists").text(path)
+    try:
+        rows.limit(1).write.mode("errorifexists").text(path)
+    except AnalysisException as e:
+        if "PATH_ALREADY_EXISTS" not in str(e):
+            raise
+    return t.spark.read.schema(t.documents.select("doc_id", "lang", "n_chars").schema).json(path)
+
+
+@query("snk_02_write_once", """
+SELECT 'first' AS step, TRUE AS written, FALSE AS conflict, count(*) AS n FROM documents UNION ALL SELECT 'again', FALSE, FALSE, count(*) FROM documents UNION ALL SELECT 'other', FALSE, TRUE, count(*) FROM documents""")
+def _(t):
+    path, rows = new_path(t.spark, "once"), t.documents.select("doc_id", "lang")
+    out = []
+    for step, own in (("first", rows), ("again", rows.orderBy("lang")), ("other", rows.where("lang <> 'en'").unionByName(rows.where("lang = 'en'").withColumn("lang", F.lit("xx"))))):
+        try:
+            out.append((step, write_once(own, path), False))
+        except ContentConflict:
+            out.append((step, False, True))
+    steps = t.spark.createDataFrame(out, "step string, written boolean, conflict boolean")
+    return steps.crossJoin(t.spark.read.parquet(path).agg(F.count("*").alias("n")))
+
+
+@query("snk_07_staged_promote", "SELECT 'public' AS side, lang, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'private', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'rolled back', 'yes', 1")
+def _(t):
+    """Two tables are moved together; a second promotion whose last target is taken takes its first one back."""
+    base = new_path(t.spark, "promote")
+    by = lambda c: t.documents.groupBy(F.col(c).alias("lang")).agg(F.count("*").alias("n"))
+    full = lambda place: not t.spark.read.parquet(place).isEmpty()
+    public, private, third = f"{base}/public", f"{base}/private", f"{base}/third"
+    staged_promote(t.spark, {public: by("lang").write.parquet, private: by("source").write.parquet}, f"{base}/stage", full)
+    rolled = "no"
+    try:
+        staged_promote(t.spark, {third: by("lang").write.parquet, public: by("lang").write.parquet}, f"{base}/stage2", full)
+    except FileExistsError:
+        try:
+            t.spark.read.parquet(third)
+        except AnalysisException as e:
+            rolled = "yes" if "PATH_NOT_FOUND" in str(e) else str(e)
+    sides = [t.spark.read.parquet(path).select(F.lit(name).alias("side"), "lang", "n") for name, path in (("public", public), ("private", private))]
+    return sides[0].union(sides[1]).union(t.spark.createDataFrame([("rolled back", rolled, 1)], "side string, lang string, n long"))
+
+
+@query("snk_10_decision_log", """
+SELECT doc_id AS review_id, CASE WHEN length(text) > 3000 THEN 'reject' ELSE 'accept' END AS decision, CASE WHEN length(text) > 3000 THEN 2 ELSE 1 END::BIGINT AS n_revisions, TRUE AS chain_ok FROM documents""")
+def _(t):
+    """A decision for each document, then another for long ones, appended; the latest counts."""
+    path = new_path(t.spark, "decisions")
+    first = t.documents.select(F.col("doc_id").alias("review_id"), F.lit(1).alias("revision"), F.lit("accept").alias("decision"), F.lit(None).cast("string").alias("supersedes"))
+    again = t.documents.where(F.length("text") > 3000).select(F.col("doc_id").alias("review_id"), F.lit(2).alias("revision"), F.lit("reject").alias("decision"), F.lit("accept").alias("supersedes"))
+    for rows in (first, again):
+        append_decision(rows, path)
+    return revision_chains(t.spark.read.parquet(path), "review_id", "revision", "decision", "supersedes")
+
+
+@query("snk_11_append_lines", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS part FROM conversations")
+def _(t):
+    path = new_path(t.spark, "lines")
+    for part, test in enumerate((F.col("role") == "user", F.col("role") != "user")):
+        append_json_lines(t.conversations.where(test).select("conv_id", "turn", F.lit(part).alias("part")), path)
+    return t.spark.read.schema("conv_id long, turn int, part int").json(path)
+
+
 @query("snk_03_json_lines", "SELECT doc_id, lang FROM documents")
 def _(t):
     lines = json_lines(t.documents.select("lang", "doc_id"))
@@ -142,8 +217,9 @@ def _(t):
     return verify_build(counts.where("lang <> 'es'"), counts)
 
 
-@query("snk_12_sealed", "SELECT doc_id, lang AS plain, TRUE AS wrong_key_fails FROM documents WHERE doc_id % 10 = 0")
+@query("snk_12_sealed", "SELECT doc_id, lang AS plain, lang <> 'en' AS new_key_fails, TRUE AS wrong_context_fails FROM documents")
 def _(t):
     new, old = (F.unhex(F.substring(F.sha2(F.lit(f"key {k} for tests"), 256), 1, 32)) for k in (1, 2))
-    rows = t.documents.select("doc_id", seal(F.col("lang"), old, "row").alias("sealed"))
-    return rows.select("doc_id", open_sealed(F.col("sealed"), [new, old], "row").alias("plain"), open_sealed(F.col("sealed"), [new], "row").isNull().alias("wrong_key_fails"))
+    rows = t.documents.select("doc_id", seal(F.col("lang"), F.when(F.col("lang") == "en", new).otherwise(old), "row").alias("sealed"))
+    tries = {"plain": open_sealed(F.col("sealed"), [new, old], "row"), "new_key_fails": open_sealed(F.col("sealed"), [new], "row").isNull(), "wrong_context_fails": open_sealed(F.col("sealed"), [new, old], "table").isNull()}
+    return rows.select("doc_id", *(c.alias(name) for name, c in tries.items()))

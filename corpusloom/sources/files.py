@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import warnings
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.plans.scratch import new_path
 from corpusloom.registry import query
 
 
@@ -24,11 +26,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with broken ones, such as a half-written last line, kept in ``_corrupt_record``."""
+    """JSON lines with broken ones, such as a half-written last line, kept in ``_corrupt_record``; blank lines go."""
     kind = T._parse_datatype_string(schema).add("_corrupt_record", "string")
-    return spark.read.schema(kind).option("mode", "PERMISSIVE").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
+def read_metrics_tail(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Whole metrics of files that are still written to, and one row: how many lines are broken or half-written."""
+    rows = read_jsonl_tolerant(spark, path, schema)
+    broken = F.col("_corrupt_record").isNotNull()
+    return rows.where(~broken).drop("_corrupt_record"), rows.agg(F.count_if(broken).alias("n_broken"))
 
 
 def unsafe_member(name: Column, mode: Column | None = None) -> Column:
@@ -85,11 +93,17 @@ def read_zip_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return members.select("archive", "member", F.explode(wrapped).alias("r")).select("archive", "member", "r.*")
 
 
-def read_xml_items(texts: DataFrame, column: str, row_tag: str, schema: str) -> DataFrame:
-    """A row for each ``row_tag`` element of XML texts, with typed fields."""
-    items = F.regexp_extract_all(F.col(column), F.lit(f"(?s)<{row_tag}>.*?</{row_tag}>"), F.lit(0))
-    rows = texts.select(*[c for c in texts.columns if c != column], F.explode(items).alias("_x"))
-    return rows.withColumn("_r", F.from_xml("_x", schema)).drop("_x").select("*", "_r.*").drop("_r")
+def read_xml_items(texts: DataFrame, column: str, path: list[str], schema: str) -> DataFrame:
+    """A row for each element at ``path``, the tags below the root, of XML texts, with typed fields.
+
+    The whole text is parsed, so attributes, CDATA and nesting are; a broken one gives no row.
+    """
+    kind = f"array<struct<{schema}>>"
+    for tag in reversed(path[1:]):
+        kind = f"struct<{tag}: {kind}>"
+    parsed = texts.withColumn("_x", F.from_xml(column, f"{path[0]} {kind}"))
+    rows = parsed.select(*[c for c in texts.columns if c != column], F.explode(F.col(".".join(["_x", *path]))).alias("_r"))
+    return rows.select("*", "_r.*").drop("_r")
 
 
 class _Cells(HTMLParser):
@@ -189,22 +203,27 @@ def _(t):
     return keys.groupBy("key", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("src_08_zip_members", "SELECT page_id, 2 AS n_members, 1 AS n_problems FROM pages WHERE page_id < 20")
+@query("src_08_zip_members", """
+SELECT page_id, 'train/a.json' AS member, strlen(url) AS n_bytes, sha256(url) AS h, NULL AS problem FROM pages UNION ALL
+SELECT page_id, '../b.json', strlen(url), NULL, 'unsafe name' FROM pages UNION ALL
+SELECT page_id, 'train/a.json', strlen(html), NULL, 'duplicate name' FROM pages WHERE contains(url, '?') UNION ALL
+SELECT page_id, 'train/c.bin', 2, NULL, 'UnicodeDecodeError' FROM pages WHERE NOT contains(url, '?')""")
 def _(t):
     @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        def one(text):
+    def packed(urls: pd.Series, pages: pd.Series) -> pd.Series:
+        def one(url, html):
             out = io.BytesIO()
-            with zipfile.ZipFile(out, "w") as archive:
-                archive.writestr("train/a.json", text)
-                archive.writestr("../b.json", text)
+            with warnings.catch_warnings(), zipfile.ZipFile(out, "w") as archive:
+                warnings.simplefilter("ignore")  # of the duplicate name
+                archive.writestr("train/a.json", url)
+                archive.writestr("../b.json", url)
+                archive.writestr(*("train/a.json", html) if "?" in url else ("train/c.bin", b"\xff\xfe"))
             return out.getvalue()
 
-        return texts.map(one)
+        return pd.Series([one(u, h) for u, h in zip(urls, pages)])
 
-    files = t.pages.select(F.col("page_id").cast("string").alias("path"), packed("url").alias("content"))
-    rows = zip_members(files)
-    return rows.groupBy(F.col("archive").cast("long").alias("page_id")).agg(F.count("*").cast("int").alias("n_members"), F.count_if(F.col("problem").isNotNull()).cast("int").alias("n_problems"))
+    files = t.pages.select(F.col("page_id").cast("string").alias("path"), packed("url", "html").alias("content"))
+    return zip_members(files).select(F.col("archive").cast("long").alias("page_id"), "member", "n_bytes", F.sha2("text", 256).alias("h"), "problem")
 
 
 @query("src_09_wrapped_records", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
@@ -213,12 +232,23 @@ def _(t):
     return t.events.select("event_id", F.explode(F.from_json(document, "array<struct<k:int>>")).alias("r")).select("event_id", "r.k")
 
 
-@query("src_10_json_lines", "SELECT event_id, user_id FROM events WHERE event_id % 7 = 0")
+@query("src_10_json_lines", "SELECT event_id, user_id FROM events")
 def _(t):
     lines = t.events.select(F.to_json(F.struct("event_id", "user_id")).alias("value"))
     return lines.select(F.from_json("value", "event_id long, user_id long", {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+@query("src_21_metrics_tail", """
+SELECT step, loss, n_broken FROM (SELECT event_id AS step, value AS loss FROM events WHERE event_type <> 'error'), (SELECT count(*) FILTER (event_type = 'error') AS n_broken FROM events)""")
+def _(t):
+    """Lines of metrics, of which those of errors are cut off in the middle as a writer's last line may be."""
+    path = new_path(t.spark, "metrics")
+    line = F.to_json(F.struct(F.col("event_id").alias("step"), F.col("value").alias("loss")))
+    t.events.select(F.when(F.col("event_type") == "error", F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line).alias("value")).write.text(path)
+    whole, broken = read_metrics_tail(t.spark, path, "step long, loss double")
+    return whole.crossJoin(broken)  # one row
+
+
 @query("src_12_rule_document", "SELECT 'r' || n_nationkey AS rule, r_name AS effect FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(t):
     joined = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -227,22 +257,27 @@ def _(t):
     return document.select(F.explode(F.from_json("d", "rules array<struct<rule:string,effect:string>>")["rules"]).alias("r")).select("r.*")
 
 
-@query("src_13_xml_days", "SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m FROM orders WHERE o_orderkey % 5 = 0")
+@query("src_13_xml_days", "SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m FROM orders")
 def _(t):
-    page = F.format_string("<response><items><item><y>%d</y><m>%d</m></item></items></response>", F.year("o_orderdate"), F.month("o_orderdate"))
-    return read_xml_items(t.orders.select("o_orderkey", page.alias("x")), "x", "item", "y int, m int")
+    page = F.format_string("<response a='1'><items n=\"1\"><!-- a day --><item><y>%d</y><m><![CDATA[%d]]></m></item></items></response>", F.year("o_orderdate"), F.month("o_orderdate"))
+    return read_xml_items(t.orders.select("o_orderkey", page.alias("x")), "x", ["items", "item"], "y: int, m: int")
 
 
 @query("src_14_xml_terms", "SELECT n_nationkey, n_name AS term FROM nation WHERE length(n_name) BETWEEN 5 AND 9")
 def _(t):
     page = F.format_string("<r><item><term>%s</term></item></r>", "n_name")
-    rows = read_xml_items(t.nation.select("n_nationkey", page.alias("x")), "x", "item", "term string")
+    rows = read_xml_items(t.nation.select("n_nationkey", page.alias("x")), "x", ["item"], "term: string")
     return rows.where(F.length("term").between(5, 9))
 
 
-@query("src_15_html_tables")
+@query("src_15_html_tables", """
+SELECT page_id, 0 AS row, 'page|address' AS cells FROM pages UNION ALL SELECT page_id, 1, page_id || '|' || url FROM pages UNION ALL SELECT page_id, 2, 'links & parts|' || strlen(html) FROM pages""")
 def _(t):
-    return html_tables(t.pages, "page_id", "html").select("page_id", "row", F.array_join("cells", "|").alias("cells"))
+    """Every page with a table of itself at its end, as its own text has none."""
+    address = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    table = F.concat(F.lit("<table class='x'><tr><th>page</th><th>address</th></tr>\n<tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), address, F.lit("</td></tr><tr><td>links &amp;\n parts<td><b>"), F.octet_length("html").cast("string"), F.lit("</b></table>"))
+    pages = t.pages.select("page_id", F.concat("html", table).alias("html"))
+    return html_tables(pages, "page_id", "html").select("page_id", "row", F.array_join("cells", "|").alias("cells"))
 
 
 @query("src_15_html_links", """SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a[^>]*?href=["'']([^"'']*)["'']', 1)) AS href FROM pages""")
