@@ -11,19 +11,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import materialise
+from corpusloom.llm._store import Scratch, materialise
 from corpusloom.llm._text import chunks, hash_strings, mix, split_words, texts
 from corpusloom.llm.components import components
+from corpusloom.operators.spread import join_spread
 
-#: Rounds of links to one chosen set of each n-gram before the remaining pairs are listed.
-STAR_ROUNDS = 2
 #: The order of n-grams is cut into 2**FRAGMENT_BITS fragments.
 FRAGMENT_BITS = 3
 #: Bytes of text whose n-grams a task holds at once.
 CHUNK = 4 << 20
-#: Sets that may be broadcast as a list of ids.
+#: Sets that may be broadcast as a list of three numbers each, 12 MB.
 BROADCAST_IDS = 500_000
 
+#: Bits of an n-gram in its place in the order of rarity, and the largest count there.
+_GRAM_BITS, _MOST_HOLDERS = 44, (1 << 19) - 1
+_NO_ID = -(1 << 63)
+
 
 def shingle_sets(values: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and sorted distinct hashes of each text's ``k``-word shingles.
@@ -93,7 +96,11 @@ def _set_ids(offsets: np.ndarray, found: np.ndarray) -> pa.Array:
 
 
 def _fragments(k: int, bits: int):
-    """Each wanted set, cut by its n-grams' first ``bits`` bits; their next six say which bits of ``parity`` they turn."""
+    """Each wanted set, cut by its n-grams' first ``bits`` bits.
+
+    The next six bits of an n-gram turn a bit of its fragment's parity; the parities of
+    all fragments are the set's sketch, which its first row carries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
@@ -101,7 +108,7 @@ def _fragments(k: int, bits: int):
             meant = pc.fill_null(pc.equal(_set_ids(offsets, found), batch.column("set_id")), False).to_numpy(zero_copy_only=False)
             n = np.diff(offsets)
             owner = np.repeat(np.arange(len(n)), n)
-            keep = meant[owner]  # another text of the same doc_id isn't meant
+            keep = meant[owner]  # another text of the same hash isn't meant
             owner, grams = owner[keep], found[keep]
             piece = (grams.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
             starts = np.flatnonzero(np.diff(owner << bits | piece, prepend=-1))
@@ -110,10 +117,12 @@ def _fragments(k: int, bits: int):
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams))
             ids = batch.column("set_id").take(pa.array(rows))
             turned = np.uint64(1) << (grams.view(np.uint64) >> np.uint64(58 - bits) & np.uint64(63))
-            parity = np.bitwise_xor.reduceat(turned, starts) if len(starts) else turned
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n[rows].astype(np.int64)), pa.array(piece[starts]), pa.array(parity.view(np.int64)), lists], names=["set_id", "n", "fragment", "parity", "grams"]
-            )
+            parity = np.zeros((len(n), 1 << bits), np.int64)
+            if len(starts):
+                parity[rows, piece[starts]] = np.bitwise_xor.reduceat(turned, starts).view(np.int64)
+            first = np.diff(rows, prepend=-1) > 0
+            sketch = pa.array([own.tolist() if x else None for x, own in zip(first.tolist(), parity[rows])], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n[rows].astype(np.int64)), pa.array(piece[starts]), sketch, lists], names=["set_id", "n", "fragment", "sketch", "grams"])
 
     return run
 
@@ -130,12 +139,6 @@ def _could_link(x: str, y: str, percent: int) -> Column:
     return fits & (F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place")) >= _needed(n, m, percent))
 
 
-def _sketches(fragments: DataFrame, bits: int) -> DataFrame:
-    """(set_id, n, sketch): the parities of all fragments of a set."""
-    parts = [F.coalesce(F.max(F.when(F.col("fragment") == i, F.col("parity"))), F.lit(0).cast("long")) for i in range(1 << bits)]
-    return fragments.groupBy("set_id", "n").agg(F.array(*parts).alias("sketch"))
-
-
 def _similar_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) without those whose sketches differ in too many bits to link.
 
@@ -158,37 +161,29 @@ def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
 
 
-def _stars(rows: DataFrame, percent: int) -> DataFrame:
+def _stars(rows: DataFrame, total: int, percent: int) -> DataFrame:
     """Pairs of each n-gram's chosen set, the one of the commonest n-grams, with its other sets."""
-    chosen = rows.groupBy("gram").agg(F.max(F.struct("weight", "set_id", "n", "place", "root")).alias("c"))
-    both = rows.alias("y").join(chosen, "gram").select("y.*", F.col("c.set_id").alias("other"), F.col("c.root").alias("other_root"), F.struct(F.col("c.n"), F.col("c.place")).alias("x"))
+    chosen = rows.groupBy("gram").agg(F.max(F.struct("weight", "set_id", "n", "place", "root")).alias("c"), F.count("*").alias("held"))
+    both = join_spread(rows, chosen, "gram", "held", total, "set_id")
+    both = both.select(*rows.columns, F.col("c.set_id").alias("other"), F.col("c.root").alias("other_root"), F.struct(F.col("c.n"), F.col("c.place")).alias("x"))
     both = both.withColumn("y", F.struct("n", "place")).where(F.col("root") != F.col("other_root"))
     both = both.where(_could_link("x", "y", percent))
     return both.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
 
 
-def _rest(rows: DataFrame, percent: int) -> DataFrame:
+def _rest(rows: DataFrame, total: int, percent: int) -> DataFrame:
     """All pairs that share an n-gram and may still link, of different components.
 
     One side are sets outside the n-gram's chosen component, so the sets that already
     form one aren't paired with each other.
     """
-    chosen = rows.groupBy("gram").agg(F.max_by("root", F.struct("weight", "set_id")).alias("main"))
-    outside = rows.join(chosen, "gram").where(F.col("root") != F.col("main")).drop("main")
+    chosen = rows.groupBy("gram").agg(F.max_by("root", F.struct("weight", "set_id")).alias("main"), F.count("*").alias("held"))
+    outside = join_spread(rows, chosen, "gram", "held", total, "set_id").where(F.col("root") != F.col("main")).select(*rows.columns)
     pair = outside.alias("x").join(rows.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & _could_link("x", "y", percent))
     return pair.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
-def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Rows with the root of their set's component so far."""
-    rows = rows.drop("root")
-    if links is None:
-        return rows.withColumn("root", F.col("set_id"))
-    roots = components(links)
-    return rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-
-
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS, fragment_bits: int = FRAGMENT_BITS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_bits: int = FRAGMENT_BITS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, content, n_shingles, root, component_id) for each row of ``docs`` (doc_id, text).
 
     Two rows link when 100 times the intersection of their sets of ``k``-word shingles
@@ -200,53 +195,61 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
        one would can't link and is done; so shared passages alone don't go further.
     2. For the others, n-grams are ordered by how many of them hold them, rarest first,
        and the same is done with the rare ones, which copies of a passage don't share.
-       Sizes and places of a shared n-gram rule out most pairs.
+       A number of that count and the n-gram's first bits stands for it; two n-grams of
+       one number only add candidates. Sizes and places of a shared n-gram rule out
+       most pairs.
     3. Candidate pairs are verified exactly: the order of n-grams is cut into
        2**fragment_bits fragments, a pair's overlap is counted in each apart, and the counts summed.
        A set's sketch, one bit of parity for several n-grams, rules out pairs that
        differ too much before their fragments meet.
        Pairs aren't listed within a group: every n-gram first links its sets to one of
-       them, in ``star_rounds`` rounds, and then only pairs of different components are
-       listed. So no link between components is lost.
+       them, and then only pairs of different components are listed. So no link between
+       components is lost.
 
     A null or empty text has no shingle and is a component of its own. Rows of one
     doc_id are apart; a row that has no id in a component without any gets null.
     Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit(""))))
-    about = materialise(keyed.mapInArrow(_summaries(k, percent), "doc_id long, content long, set_id long, n long, head array<long>"), "jaccard-sets")
-    classes = about.where("n > 0").groupBy("set_id", "n").agg(F.first("head").alias("head"))
+    scratch = Scratch(docs.sparkSession)
+    rows = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    about = materialise(rows.mapInArrow(_summaries(k, percent), "doc_id long, content long, set_id long, n long, head array<long>"), "jaccard-sets")
+    sets = about.where("n > 0")
+    classes = sets.groupBy("set_id", "n").agg(F.first("head").alias("head"))
     heads = classes.select("set_id", "n", F.explode("head").alias("gram"))
-    shared = heads.groupBy("gram").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo != hi").select("gram")
-    near = heads.join(shared, "gram", "left_semi").groupBy("set_id", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("set_id")
-    members = about.where("n > 0").groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id"))
-    near = materialise(near.join(members, "set_id"), "jaccard-near")
+    shared = heads.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
+    shown = sets.agg(F.sum(F.size("head"))).first()[0] or 0
+    near = join_spread(heads, shared, "gram", "holders", shown, "set_id").groupBy("set_id", "n").agg(F.count("*").alias("shared"))
+    near = near.where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("set_id")
+    members = sets.groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("content"))).alias("m")).select("set_id", "m.*")
+    near = scratch.keep(near.join(members, "set_id"), "jaccard-near")
     n_near = near.count()
-    keyed = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("id", "text")
-    picked = keyed.join(F.broadcast(near) if n_near <= broadcast_ids else near, "id").select("set_id", "text")
-    parts = picked.mapInArrow(_fragments(k, fragment_bits), "set_id long, n long, fragment long, parity long, grams array<long>")
-    parts = materialise(parts, "jaccard-fragments")
+    picked = rows.select("id", "content", "text").join(F.broadcast(near) if n_near <= broadcast_ids else near, ["id", "content"]).select("set_id", "text")
+    parts = picked.mapInArrow(_fragments(k, fragment_bits), "set_id long, n long, fragment long, sketch array<long>, grams array<long>")
+    parts = scratch.keep(parts, "jaccard-fragments")
     if not parts.groupBy("set_id", "fragment").count().where("count > 1").isEmpty():  # rows of one id and text
-        parts = materialise(parts.dropDuplicates(["set_id", "fragment"]), "jaccard-fragments")
+        parts = scratch.keep(parts.dropDuplicates(["set_id", "fragment"]), "jaccard-fragments")
     every = parts.select("set_id", "n", F.explode("grams").alias("gram"))
     common = every.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
-    held = every.join(common, "gram").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("held"))
-    weight = F.aggregate("held", F.lit(0.0), lambda s, x: s + F.log2(x["holders"].cast("double"))) / F.col("n")
+    total = parts.agg(F.sum(F.size("grams"))).first()[0] or 0
+    place = F.shiftleft(F.least("holders", F.lit(_MOST_HOLDERS)), _GRAM_BITS).bitwiseOR(F.shiftrightunsigned("gram", 64 - _GRAM_BITS))
+    held = join_spread(every, common, "gram", "holders", total, "set_id").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(place)).alias("held"))
+    weight = F.aggregate("held", F.lit(0.0), lambda s, x: s + F.log2(F.shiftright(x, _GRAM_BITS).cast("double"))) / F.col("n")
     before = F.col("n") - F.size("held")  # n-grams that no other set holds come first
     last = F.col("n") - F.ceil(F.col("n") * percent / 100 - F.lit(1e-9))
     early = F.slice("held", F.lit(1), F.greatest(last - before + 1, F.lit(0)).cast("int"))
-    placed = held.select("set_id", "n", weight.alias("weight"), before.alias("before"), F.posexplode(early).alias("i", "x"))
-    rare = materialise(placed.select("set_id", "n", "weight", F.col("x.gram").alias("gram"), (F.col("before") + F.col("i")).cast("long").alias("place")), "jaccard-places")
-    sketches = materialise(_sketches(parts, fragment_bits), "jaccard-sketches")
-    links = None
-    for turn in range(star_rounds + 1):
-        rooted = _rooted(rare, links)
-        pairs = _stars(rooted, percent) if turn < star_rounds else _rest(rooted, percent)
-        pairs = _similar_sketches(pairs, sketches, percent)
-        found = materialise(_linked(pairs, parts, percent), "jaccard-links")
-        links = found if links is None else links.union(found)
+    placed = held.select("set_id", "n", weight.alias("weight"), before.alias("before"), F.posexplode(early).alias("i", "gram"))
+    rare = scratch.keep(placed.select("set_id", "n", "weight", "gram", (F.col("before") + F.col("i")).cast("long").alias("place")), "jaccard-places")
+    n_rare = rare.count()
+    sketches = parts.where("sketch IS NOT NULL").select("set_id", "n", "sketch")
+    found = lambda pairs: scratch.keep(_linked(_similar_sketches(pairs, sketches, percent), parts, percent), "jaccard-links")
+    links = found(_stars(rare.withColumn("root", F.col("set_id")), n_rare, percent))
     roots = components(links)
+    rooted = rare.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    links = found(_rest(rooted, n_rare, percent))
+    if not links.isEmpty():
+        roots = components(links.union(roots.select("node", "root")))
+    scratch.discard()
     joined = about.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = joined.drop("head").join(least, "root", "left")
