@@ -209,3 +209,27 @@ def test_rules_and_names(spark):
             t.addfile(tarfile.TarInfo(name))
     names = tarfile.open(fileobj=io.BytesIO(tar.getvalue())).getnames()
     assert one(spark, names, files.unsafe_member(F.col("v"))) == [None, "traversal", "absolute"]
+
+
+def test_rows_of_common_keys_are_spread(spark):
+    from corpusloom.operators.spread import join_spread
+
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(3000)] + [(-1, None)], "i long, k long")
+    other = rows.groupBy("k").agg(F.count("*").alias("held")).withColumn("x", F.col("k") * 2)
+    got = join_spread(rows, other, "k", "held", 3001, "i")
+    assert sorted(map(tuple, got.select("i", "k", "x").collect())) == sorted(map(tuple, rows.join(other, "k").select("i", "k", "x").collect()))
+    assert got.count() == 3000 and join_spread(rows.limit(0), other.limit(0), "k", "held", 0, "i").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
+
+
+def test_variants_look_at_all_rows(spark):
+    df = spark.createDataFrame([(i, "a", "same" if i < 10 else f"k{i}") for i in range(14)], "r int, v string, k string")
+    assert [r.r for r in ranking.ordered_variants(df, "v", {"a": 3}, "k", "r").orderBy("r").collect()] == [0, 10, 11]
+    assert [r.r for r in ranking.ordered_variants(df, "v", {"a": 3}, "k", "r", looks=2).collect()] == [0]
+
+
+def test_xml_is_parsed_whole(spark):
+    texts = ["<a x='1'><b><i><y>1</y><m><![CDATA[2]]></m></i><!-- <i><y>9</y></i> --><i><m>4</m></i></b></a>", "<a><b/></a>", "broken <", None]
+    rows = files.read_xml_items(spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string"), "t", ["b", "i"], "y: int, m: int").collect()
+    assert [tuple(r) for r in rows] == [(0, 1, 2), (0, None, 4)]
