@@ -13,8 +13,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import new_path
+from corpusloom.llm._store import materialise, new_path
 from corpusloom.llm._text import chunks, split_words, texts
+from corpusloom.operators.spread import join_spread
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Distinct words that a Python worker remembers.
@@ -98,7 +99,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     ``cache`` is a Parquet table of counts by content digest and tokenizer version,
     made if it's missing. Contents with no count there are encoded once each,
     copies being merged before the shuffle, and appended; the counts are then joined
-    by digest, so texts of known content aren't encoded. Where the tokenizer drops
+    by digest, so texts of known content aren't encoded. The rows of a content with many
+    copies are dealt to several tasks. Where the tokenizer drops
     white space, runs of it are made one space before the digest, and words are
     counted apart. A null text is empty and has no token. Every row is returned,
     repeated ones and those of null doc_id too; other columns are ignored.
@@ -115,13 +117,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         known = spark.createDataFrame([], CACHE_SCHEMA)
-    known = known.where(F.col("tokenizer") == tag)
-    misses = rows.join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    known = known.where(F.col("tokenizer") == tag).select("digest")
+    about = materialise(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "token-digests")
+    misses = rows.groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left_anti")
     counted = misses.mapInArrow(_count(tokenizer, by_word), "digest binary, n_tokens long")
     counted.select(F.lit(tag).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == tag)
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two writers may have met
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest").drop("digest")
+    held = about.groupBy("digest").agg(F.count("*").alias("held"))
+    return join_spread(about, counts.join(held, "digest"), "digest", "held", about.count(), "doc_id").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
