@@ -12,10 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm._store import materialise
 from corpusloom.llm._text import crc_mod, texts
 
 #: Components of a vector, and letter classes (0 stands for all that isn't a letter).
 DIMENSIONS, CLASSES = 1024, 128
+#: Languages that may be learned: their vectors, 4 KB each, are sent to every task.
+MOST_LANGUAGES = 10_000
 #: Code points worked on at once; longer texts are taken in such parts.
 PART = 1 << 20
 UNKNOWN = "und"
@@ -121,11 +124,15 @@ def learn_profiles(docs: DataFrame) -> Profiles:
     """A prototype for each non-null ``lang`` of ``docs`` (text, lang): all its texts' bundles together.
 
     Every task sends one vector for each language it meets; these are summed by language
-    and component. The result has as many vectors as there are languages.
+    and component. The result has as many vectors as there are languages; more than
+    MOST_LANGUAGES distinct values are no languages, and raise.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sums = rows.mapInArrow(_learn, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    sums = materialise(sums, "language-sums")
+    if (n := sums.where("place = 0").count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages: at most {MOST_LANGUAGES} can be learned")
     found = sums.toPandas().sort_values(["lang", "place"])
     languages = sorted(found.lang.unique())
     vectors = found.value.to_numpy().reshape(len(languages), DIMENSIONS)
