@@ -72,10 +72,10 @@ def line_index(docs: DataFrame, least: int = 20, min_docs: int = 3, shard_lines:
 
 
 class _Probe:
-    """Drops from one text the lines that a later document holds."""
+    """Drops from one text the lines that ``min_docs`` rows hold, a later document among them."""
 
-    def __init__(self, rows, shards: int):
-        self.hashes, self.shards = {r["shard"]: PerfectHash.from_row(r) for r in rows}, shards
+    def __init__(self, rows, shards: int, min_docs: int):
+        self.hashes, self.shards, self.min_docs = {r["shard"]: PerfectHash.from_row(r) for r in rows}, shards, min_docs
 
     def drops(self, found: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Whether each line, by digest and its document's id, goes."""
@@ -86,7 +86,7 @@ class _Probe:
                 own, at = self.hashes[s], np.flatnonzero(shard == s)
                 member, place = own.look_up(found[at, 0].copy(), found[at, 1])
                 if member.any():
-                    out[at] = member & (own.values[place] > ids[at])
+                    out[at] = member & (own.counts[place] >= self.min_docs) & (own.values[place] > ids[at])
         return out
 
 
@@ -114,9 +114,9 @@ def _eligible(raws: list[bytes], least: int) -> tuple[list[list[int]], np.ndarra
     return places, _digests(keys)
 
 
-def _probe_all(arrays, shards: int, least: int, carry: list[str]):
+def _probe_all(arrays, shards: int, least: int, min_docs: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = _Probe(arrays.value, shards)
+        probe = _Probe(arrays.value, shards, min_docs)
         for batch in chunks(batches, "text"):
             raws = [x.as_py() for x in texts(batch, "text").cast(pa.large_binary())]
             places, found = _eligible(raws, least)
@@ -140,9 +140,9 @@ def _requests(shards: int, least: int):
     return run
 
 
-def _answer(shards: int):
+def _answer(shards: int, min_docs: int):
     def run(key: tuple, asked: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
-        probe, out = _Probe(arrays.to_dict("records"), shards), []
+        probe, out = _Probe(arrays.to_dict("records"), shards, min_docs), []
         for doc_id, content, raw in zip(asked.id, asked.content, asked.asked):
             found = np.frombuffer(raw, "<u8").reshape(-1, 2)
             if len(gone := found[probe.drops(found, np.full(len(found), doc_id))]):
@@ -193,13 +193,13 @@ def dedup_lines(
     schema = T.StructType([*rows.select("doc_id", "text").schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *rows.select(*kept).schema])
     if size <= broadcast_bytes:
         arrays = spark.sparkContext.broadcast([r.asDict() for r in index.collect()])
-        return rows.mapInArrow(_probe_all(arrays, shards, least, kept), schema)
+        return rows.mapInArrow(_probe_all(arrays, shards, least, min_docs, kept), schema)
     salts = max(1, -(-rows.count() // group_docs))
     keyed = rows.withColumn("content", F.xxhash64("text"))
     asked = keyed.select("doc_id", "content", "text").mapInArrow(_requests(shards, least), "shard long, id long, content long, asked binary")
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(salts)))
     copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    answers = asked.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(_answer(shards), "id long, content long, gone binary")
+    answers = asked.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(_answer(shards, min_docs), "id long, content long, gone binary")
     answers = answers.groupBy("id", "content").agg(F.collect_list("gone").alias("gone"))
     told = keyed.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID))).join(answers, ["id", "content"], "left")
     return told.select("doc_id", "text", "gone", *kept).mapInArrow(_apply(least, kept), schema)
