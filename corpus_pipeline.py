@@ -21,7 +21,7 @@ from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.packing import pack
 from corpusloom.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
-#: Rows of a list of documents to drop that may be broadcast.
+#: Rows of a list of documents to drop that may be broadcast: two numbers each, 8 MB.
 BROADCAST_ROWS = 500_000
 
 #: Near copies: words of a shingle, and the least Jaccard similarity in percent.
@@ -94,13 +94,21 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more lies in benchmark windows; columns stay."""
+    """Drop documents of which a twentieth or more lies in benchmark windows; columns stay.
+
+    A null or empty text has no word and stays, a null doc_id is no reason to go, and
+    repeated rows share a decision. An empty table, or an empty benchmark, drops nothing.
+    """
     found = find_contamination(_bundled(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.where(contaminated()).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "content"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document: where it stands in which sequence."""
+    """One row for each piece of a document: where it stands in which sequence.
+
+    A null or empty text is one token, a null doc_id stays null, repeated rows are packed
+    each, an empty table gives no rows, and no column but doc_id and text is read.
+    """
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -137,7 +137,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
 
     ``usable``: which labels may be used. Rows with a null id or label are left out.
     At most about ``max_rows`` labels are used, those of the lowest hashed ids, so the
-    labels' side of the join is broadcast and one task holds all features; the model
+    labels' side of the join is broadcast and one task holds all features; of rows that
+    share a doc_id the smallest text is taken, so there is one for each label. The model
     has 2**bits weights at most. With no usable label the score is 1/2 everywhere.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -148,6 +149,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     known = known.withColumn("rank", rank).where(F.col("rank") < int(share * (1 << 30)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "rank", "label").agg(F.min("text").alias("text"))  # one row for each label
     rows = rows.select(F.lit(1).alias("one"), "rank", "label", "text").mapInArrow(_featurise(bits), "one int, rank long, label double, features array<int>")
     found = rows.groupBy("one").applyInArrow(_fit(bits, how), "index int, weight float").toPandas()
     bias = found.weight[found["index"] < 0]
