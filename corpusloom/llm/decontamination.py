@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,51 +12,111 @@ from corpusloom.llm._store import materialise
 
 #: Words of a window, and of the k-grams whose hashes are winnowed.
 WINDOW, GRAM = 13, 8
-#: Rows that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table of numbers that may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_NO_ID = -(1 << 63)
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
+
+
+def _hashed(words: Column, seed: int | None = None) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x) if seed is None else F.xxhash64(F.lit(seed), x))
+
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.xxhash64(x, y)
+
+
+def _less(x: Column, y: Column) -> Column:
+    return F.least(x, y)
+
+
+def _beside(left: Column, right: Column, k: int, f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of each element of ``left`` and the one ``k`` places on in ``right``; the last elements meet nulls."""
+    return F.zip_with(left, F.slice(right, F.lit(k + 1), F.greatest(F.size(right) - k, F.lit(0))), f)
+
 
+def _with_powers(words: Column, longest: int, body: Callable[[list[Column]], Column], f: Callable[[Column, Column], Column] = _pair, powers: tuple = ()) -> Column:
+    """``body`` of arrays that combine 1, 2, 4, ... neighbours up to ``longest``, each made from the one before."""
 
-def _hashes(text: Column) -> Column:
-    """Two hashes of each word of ``text``."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
-    return let(words, lambda w: F.struct(F.transform(w, lambda x: F.xxhash64(x)).alias("a"), F.transform(w, lambda x: F.xxhash64(F.lit(1), x)).alias("b")))
+    def more(own: Column) -> Column:
+        found = (*powers, own)
+        if 1 << len(found) > longest:
+            return body(list(found))
+        return _with_powers(_beside(own, own, 1 << len(found) - 1, f), longest, body, f, found)
 
+    return let(words, more)
 
-def _places(n: Column, length: int) -> Column:
-    """1 .. n - length + 1, empty where there are too few words."""
-    return F.when(n >= length, F.sequence(F.lit(1), n - (length - 1))).otherwise(F.array().cast("array<int>"))
 
+def _first(values: Column, n: Column, length: int) -> Column:
+    """The elements that stand for ``length`` whole words among ``n``."""
+    return F.slice(values, F.lit(1), F.greatest(n - (length - 1), F.lit(0)))
 
-def _grams(words: Column, length: int) -> Column:
+
+def _grams(powers: list[Column], n: Column, length: int) -> Column:
     """The hash of every ``length`` consecutive words."""
-    return F.transform(_places(F.size(words), length), lambda i: F.xxhash64(F.slice(words, i, F.lit(length))))
+    done, out = 0, None
+    for k in reversed(range(len(powers))):
+        if length >> k & 1:
+            out = powers[k] if out is None else _beside(out, powers[k], done, _pair)
+            done += 1 << k
+    return _first(out, n, length)
+
+
+def _minima(grams: Column, width: int) -> Column:
+    """The smallest of every ``width`` neighbours."""
+    top = 1 << width.bit_length() - 1
+    widest = lambda p: p[-1] if width == top else _beside(p[-1], p[-1], width - top, _less)
+    return let(grams, lambda g: _first(_with_powers(g, width, widest, _less), F.size(g), width))
 
 
-def _winnowed(words: Column, window: int, gram: int) -> Column:
-    """The smallest hash of every window's k-grams, each once.
+def _winnowed(powers: list[Column], n: Column, window: int, gram: int) -> Column:
+    """The smallest hash of every window's k-grams.
 
     Two texts that share ``window`` words share all k-grams of that window, and so its smallest hash.
     """
-    width = window - gram + 1
-    return let(_grams(words, gram), lambda g: F.array_distinct(F.transform(_places(F.size(g), width), lambda i: F.array_min(F.slice(g, i, F.lit(width))))))
+    return _minima(_grams(powers, n, gram), window - gram + 1)
+
+
+def _prints(text: Column, window: int, gram: int, lengths: list[int]) -> Column:
+    """n, and the distinct fingerprints: window minima, and whole k-grams for each of ``lengths``."""
+
+    def body(w: Column) -> Column:
+        n = F.size(w)
+        some = lambda p: F.array_distinct(F.concat(_winnowed(p, n, window, gram), *(_grams(p, n, k) for k in lengths)))
+        return F.struct(n.alias("n"), _with_powers(_hashed(w), window, some).alias("prints"))
+
+    return let(_words(text), body)
+
+
+def _windows(text: Column, window: int, gram: int, lengths: list[int]) -> Column:
+    """Every window: its place, length, fingerprint, and two hashes of all its words."""
+
+    def body(w: Column) -> Column:
+        n = F.size(w)
+
+        def both(p: list[Column], q: list[Column]) -> Column:
+            whole = [(window, _winnowed(p, n, window, gram)), *((k, _grams(p, n, k)) for k in lengths)]
+            zipped = (F.arrays_zip(m.alias("print"), _grams(p, n, k).alias("h"), _grams(q, n, k).alias("g")) for k, m in whole)
+            named = lambda k: lambda x, i: F.struct((i + 1).alias("at"), F.lit(k).alias("len"), x["print"].alias("print"), x["h"].alias("h"), x["g"].alias("g"))
+            return F.concat(*(F.transform(z, named(k)) for z, (k, _) in zip(zipped, whole)))
 
+        return _with_powers(_hashed(w), window, lambda p: _with_powers(_hashed(w, 1), window, lambda q: both(p, q)))
 
-def _windows(words: Column, length: int) -> Column:
-    """Every window of ``length`` words: its place, its length and two hashes."""
-    return F.transform(
-        _places(F.size(words["a"]), length),
-        lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), F.xxhash64(F.slice(words["a"], i, F.lit(length))).alias("h"), F.xxhash64(F.slice(words["b"], i, F.lit(length))).alias("g")),
-    )
+    return let(_words(text), body)
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= rows else df
+def _small(df: DataFrame, limit: int) -> DataFrame:
+    """Broadcast a table of numbers if its rows take ``limit`` bytes at most."""
+    return F.broadcast(df) if df.count() * 8 * len(df.columns) <= limit else df
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, content, n_words, n_hit, item_ids) for each distinct (doc_id, text) of ``docs``.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, content, n_words, n_hit, item_ids) for each row of ``docs`` (doc_id, text).
 
     Items of ``benchmark`` (item_id, text) give windows of ``window`` consecutive words;
     shorter ones, if not empty, are one window. A document's word is hit if it lies in
@@ -62,52 +124,54 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Fingerprints are the smallest k-gram hash of each window, so a document without one
     of the benchmark's fingerprints shares no window with it; short items are looked for
-    by their own length. For the documents that are left every window is compared, by
-    128 bits of hashes, and runs of hit windows extend to the whole shared span.
-    Fingerprints, windows and candidates are broadcast when they are at most
-    ``broadcast_rows``; else the joins shuffle.
-
-    A null or empty text has no word. A null doc_id is kept; rows equal in doc_id and
-    text are one. Items with a null id are ignored; repeated items count once by id.
-    Other columns are ignored.
+    by their own length. In the documents that are left, a fingerprint's hit is extended
+    to the windows of which it is the smallest hash, these are compared by 128 bits of
+    their words' hashes, and runs of them extend to the whole shared span. Items are
+    kept as rows: windows held by the same items share a number of their set.
+    Tables of numbers are broadcast when they take at most ``broadcast_bytes``; else
+    the joins shuffle.
+
+    A null or empty text has no word. A null doc_id is kept; repeated rows are each
+    returned. Items with a null id are ignored; repeated items count once by id.
+    Other columns are ignored. The list of a document's items is as long as there are
+    items that it holds a window of.
     """
-    width = window
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), _hashes(F.col("text").cast("string")).alias("w"))
-    items = materialise(items.select("item_id", "w", F.size("w.a").alias("n")).where("n > 0"), "items")
-    short = sorted(r["n"] for r in items.where(F.col("n") < width).select("n").distinct().collect())  # fewer than ``window`` numbers
-    whole = F.when(F.col("n") >= width, _windows(F.col("w"), width))
-    for k in short:
-        whole = whole.when(F.col("n") == k, _windows(F.col("w"), k))
-    windows = items.select("item_id", F.explode(whole).alias("x")).select("item_id", "x.len", "x.h", "x.g")
-    windows = windows.groupBy("len", "h", "g").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    windows = materialise(windows.withColumn("set_id", F.xxhash64("items")), "item-windows")
-    prints = F.when(F.col("n") >= width, _winnowed(F.col("w.a"), width, gram)).otherwise(F.array(F.xxhash64("w.a")))
-    prints = materialise(items.select(F.explode(prints).alias("print")).distinct(), "item-prints")
+    own = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = materialise(own.withColumn("n", F.size(_words(F.col("text")))).where("n > 0"), "items")
+    short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())  # fewer than ``window`` numbers
+    every = F.filter(_windows(F.col("text"), window, gram, short), lambda x: x["len"] == F.least(F.col("n"), F.lit(window)))
+    holders = materialise(items.select("item_id", F.explode(every).alias("x")).select("item_id", "x.len", "x.h", "x.g", "x.print").distinct(), "item-windows")
+    sums = (F.sum(F.xxhash64(F.lit(k), "item_id").cast("decimal(38,0)")) for k in (1, 2))
+    windows = holders.groupBy("len", "h", "g").agg(F.xxhash64(F.count("*"), *sums).alias("set_id"))
+    windows = materialise(windows, "item-sets")
+    shown = windows.groupBy("set_id").agg(F.min(F.struct("len", "h", "g")).alias("w")).select("set_id", "w.*")
+    members = materialise(holders.join(shown, ["len", "h", "g"]).select("set_id", "item_id"), "item-members")
+    prints = materialise(holders.select("print").distinct(), "item-prints")
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    seen = let(_hashes(F.col("text"))["a"], lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(F.concat(_winnowed(w, width, gram), *(_grams(w, k) for k in short))).alias("prints")))
-    looked = rows.select("id", "doc_id", "content", seen.alias("s"))
-    looked = looked.select("id", "doc_id", "content", F.col("s.n").alias("n_words"), F.explode_outer("s.prints").alias("print"))
-    known = _small(prints, broadcast_rows).withColumn("known", F.lit(1))
-    looked = looked.join(known, "print", "left").groupBy("id", "doc_id", "content").agg(F.max("n_words").alias("n_words"), F.max("known").alias("known"))
+    rows = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    looked = rows.select("id", "doc_id", "content", _prints(F.col("text"), window, gram, short).alias("s"))
+    looked = looked.select("id", "doc_id", "content", F.col("s.n").alias("n_words"), F.posexplode_outer("s.prints").alias("i", "print"))
+    known = _small(prints, broadcast_bytes).withColumn("known", F.lit(1))
+    first = F.when(F.coalesce("i", F.lit(0)) == 0, 1).otherwise(0)
+    looked = looked.join(known, "print", "left").groupBy("id", "doc_id", "content").agg(F.max("n_words").alias("n_words"), F.max("known").alias("known"), F.sum(first).alias("copies"))
     looked = materialise(looked, "fingerprinted")
 
     suspects = looked.where("known = 1").select("id", "content")
-    suspects = rows.join(_small(suspects, broadcast_rows), ["id", "content"], "left_semi").dropDuplicates(["id", "content"])
-    every = let(_hashes(F.col("text")), lambda w: F.concat(_windows(w, width), *(_windows(w, k) for k in short)))
-    found = suspects.select("id", "content", F.explode(every).alias("x")).select("id", "content", "x.*")
-    found = materialise(found.join(_small(windows.drop("items"), broadcast_rows), ["len", "h", "g"]).select("id", "content", "at", "len", "set_id"), "hits")
+    suspects = rows.join(_small(suspects, broadcast_bytes), ["id", "content"], "left_semi").dropDuplicates(["id", "content"])
+    found = suspects.select("id", "content", F.explode(_windows(F.col("text"), window, gram, short)).alias("x")).select("id", "content", "x.*")
+    found = found.join(_small(prints, broadcast_bytes), "print", "left_semi")
+    found = materialise(found.join(_small(windows, broadcast_bytes), ["len", "h", "g"]).select("id", "content", "at", "len", "set_id"), "hits")
     spans = found.groupBy("id", "content").agg(F.sort_array(F.collect_set(F.struct("at", "len"))).alias("spans"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda s, x: F.struct(F.greatest(s["end"], x["at"] + x["len"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["at"] + x["len"] - F.greatest(s["end"], x["at"]))).alias("n")),
         lambda s: s["n"],
     )
-    sets = windows.select("set_id", "items").dropDuplicates(["set_id"])
-    owners = found.select("id", "content", "set_id").distinct().join(_small(sets, broadcast_rows), "set_id")
-    owners = owners.groupBy("id", "content").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
+    owners = found.select("id", "content", "set_id").distinct().join(members, "set_id").select("id", "content", "item_id").distinct()
+    owners = owners.groupBy("id", "content").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
     out = looked.join(spans.select("id", "content", covered.cast("long").alias("n_hit")), ["id", "content"], "left").join(owners, ["id", "content"], "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     none = F.array().cast("array<string>")
     return out.select("doc_id", "content", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
 
