@@ -109,12 +109,53 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, seconds: int) -
     return near.join(right.withColumn("_bucket", number(b)), "_bucket").where(gap <= seconds * 1_000_000).drop("_bucket")
 
 
-def ngram_set(text: str | Column, width: int) -> Column:
-    """Distinct character n-grams; a shorter text is one, an empty one none."""
+def ngrams(text: str | Column, width: int) -> Column:
+    """Character n-grams with repeats; a shorter text is one, an empty one none."""
     text = F.col(text) if isinstance(text, str) else text
     n = F.length(text)
     grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1))  # one pass; substring would count from the start for each
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < width, F.array(text)).otherwise(F.array_distinct(grams))
+    return F.when(n == 0, F.array().cast("array<string>")).when(n < width, F.array(text)).otherwise(grams)
+
+
+def ngram_set(text: str | Column, width: int) -> Column:
+    """Distinct character n-grams."""
+    return F.array_distinct(ngrams(text, width))
+
+
+#: Bits of a hashed n-gram in its place in the order of rarity, and the largest count there.
+_GRAM_BITS, _MOST_HOLDERS = 44, (1 << 19) - 1
+
+
+def _gram_sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(k, text, n, g): g are the distinct hashes of a text's n-grams."""
+    hashes = F.array_distinct(F.transform(ngrams(text, width), lambda x: F.xxhash64(x)))
+    return df.select(F.col(key).alias("k"), F.col(text).alias("text"), hashes.alias("g")).withColumn("n", F.size("g"))
+
+
+def _gram_rows(sets: DataFrame) -> DataFrame:
+    return sets.select("k", "n", F.explode("g").alias("gram"))
+
+
+def _rarest(sets: DataFrame, held: DataFrame, total: int, least: float) -> DataFrame:
+    """(k, n, gram): as many of each set's rarest n-grams as hold one that a similar set shares.
+
+    ``held`` counts the holders of n-grams; those that it lacks come first and are shared
+    by none. A number of an n-gram's count and its hash's first bits stands for it; two
+    n-grams of one number only add candidates.
+    """
+    rows = join_spread(_gram_rows(sets), held, "gram", "holders", total, "k")
+    place = F.shiftleft(F.least("holders", F.lit(_MOST_HOLDERS)), _GRAM_BITS).bitwiseOR(F.shiftrightunsigned("gram", 64 - _GRAM_BITS))
+    whole = rows.groupBy("k", "n").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    wanted = F.col("n") - F.ceil(F.col("n") * least) + 1 - (F.col("n") - F.size("places"))
+    return whole.select("k", "n", F.explode(F.slice("places", F.lit(1), F.greatest(wanted, F.lit(0)).cast("int"))).alias("gram"))
+
+
+def _compared(pairs: DataFrame, x: DataFrame, y: DataFrame, width: int, least: float) -> DataFrame:
+    """(k, m, similarity) of the pairs (k, m) whose texts' sets, made anew for the pairs alone, are similar."""
+    both = pairs.join(x.select("k", F.col("text").alias("ta")), "k").join(y.select(F.col("k").alias("m"), F.col("text").alias("tb")), "m")
+    both = both.select("k", "m", ngram_set("ta", width).alias("ga"), ngram_set("tb", width).alias("gb"))
+    share = F.size(F.array_intersect("ga", "gb"))
+    return both.select("k", "m", (share / (F.size("ga") + F.size("gb") - share)).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, text: str, width: int, least: float) -> DataFrame:
@@ -124,22 +165,12 @@ def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, text: str
     share; then each pair's sets are compared. Sets that hold a common n-gram are dealt
     to several tasks. Equal texts are each paired: similar_classes takes them once.
     """
-    sets = lambda df, key: df.select(F.col(key).alias("k"), ngram_set(text, width).alias("g")).withColumn("n", F.size("g"))
-    x, y = sets(left, a), sets(right, b)
-    held = x.select(F.explode("g").alias("gram")).union(y.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count("*").alias("holders"))
-
+    x, y = _gram_sets(left, a, text, width), _gram_sets(right, b, text, width)
+    held = _gram_rows(x).union(_gram_rows(y)).groupBy("gram").agg(F.count("*").alias("holders"))
     total = left.select(F.length(text).alias("n")).union(right.select(F.length(text))).agg(F.sum("n")).first()[0] or 0  # at least as many as n-grams
-
-    def prefix(df):
-        rows = join_spread(df.select("k", "n", F.explode("g").alias("gram")), held, "gram", "holders", total, "k")
-        place = F.row_number().over(Window.partitionBy("k").orderBy("holders", "gram"))
-        return rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("k", "n", "gram")
-
-    p, q = prefix(x).alias("p"), prefix(y).alias("q")
+    p, q = (_rarest(s, held, total, least).alias(n) for s, n in ((x, "p"), (y, "q")))
     pairs = p.join(q, F.expr(f"p.gram = q.gram AND p.n >= q.n * {least} AND q.n >= p.n * {least}")).select(F.col("p.k").alias("k"), F.col("q.k").alias("m")).distinct()
-    both = pairs.join(x.select("k", F.col("g").alias("ga")), "k").join(y.select(F.col("k").alias("m"), F.col("g").alias("gb")), "m")
-    share = F.size(F.array_intersect("ga", "gb"))
-    return both.select(F.col("k").alias(a), F.col("m").alias(b), (share / (F.size("ga") + F.size("gb") - share)).alias("similarity")).where(F.col("similarity") >= least)
+    return _compared(pairs, x, y, width, least).select(F.col("k").alias(a), F.col("m").alias(b), "similarity")
 
 
 def similar_classes(df: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
@@ -151,8 +182,14 @@ def similar_classes(df: DataFrame, key: str, text: str, width: int, least: float
     """
     rows = df.where(F.col(text) != "").select(key, F.sha2(F.col(text), 256).alias("_h"), F.col(text).alias("_t"))
     classes = rows.groupBy("_h").agg(F.min(key).alias("class_id"), F.count("*").alias("_n"), F.first("_t").alias("_t"))
-    pairs = similarity_join(classes.withColumnRenamed("class_id", "a"), classes.withColumnRenamed("class_id", "b"), "a", "b", "_t", width, least).where("a <> b")
-    others = pairs.join(classes.select(F.col("class_id").alias("b"), F.col("_n").alias("m")), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("m").alias("_links"))
+    sets = _gram_sets(classes, "class_id", "_t", width)
+    held = _gram_rows(sets).groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
+    total = classes.agg(F.sum(F.length("_t"))).first()[0] or 0
+    rare = _rarest(sets, held, total, least)
+    fits = F.expr(f"p.gram = q.gram AND p.k < q.k AND p.n >= q.n * {least} AND q.n >= p.n * {least}")
+    pairs = rare.alias("p").join(rare.alias("q"), fits).select(F.col("p.k").alias("k"), F.col("q.k").alias("m")).distinct()
+    links = _compared(pairs, sets, sets, width, least).select(F.explode(F.array(F.struct(F.col("k").alias("a"), F.col("m").alias("b")), F.struct(F.col("m").alias("a"), F.col("k").alias("b")))).alias("l")).select("l.*")
+    others = links.join(classes.select(F.col("class_id").alias("b"), F.col("_n").alias("m")), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("m").alias("_links"))
     told = classes.join(others, "class_id", "left").select("_h", "class_id", (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("n_links"), "_n")
     return join_spread(rows.select(key, "_h"), told, "_h", "_n", df.count(), key).select(key, "class_id", "n_links")
 
