@@ -250,10 +250,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
     if not links.isEmpty():
         roots = components(links.union(roots.select("node", "root")))
     scratch.discard()
-    joined = about.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = joined.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = joined.drop("head").join(least, "root", "left")
-    return out.select("doc_id", "content", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = about.drop("head").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    worded = joined.where("n > 0")
+    least = worded.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
+    columns = ["doc_id", "content", F.col("n").alias("n_shingles"), "root"]
+    told = join_spread(worded.withColumn("by", F.xxhash64("doc_id", "content")), least, "root", "held", about.count(), "by").select(*columns, F.col("least").alias("component_id"))
+    return told.union(joined.where("n = 0").select(*columns, F.col("doc_id").alias("component_id")))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
