@@ -15,12 +15,12 @@ WINDOW, GRAM = 13, 8
 #: Bytes of a table of numbers that may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NO_ID = -(1 << 63)
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _BETWEEN), "")
 
 
 def _hashed(words: Column, seed: int | None = None) -> Column:
