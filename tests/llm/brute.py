@@ -72,6 +72,38 @@ def base_scores(rows):
     ]
 
 
+BEGIN = "\n"
+
+
+class Backoff:
+    """p(w | h) of op5 by its definition, from counts of the tuples in ``train``."""
+
+    def __init__(self, train, mu):
+        self.mu, self.count, self.first = mu, Counter(), len(train)
+        for _, t in train:
+            own = [BEGIN, *words_of(t), None]
+            for k in range(1, len(mu) + 2):
+                self.count.update(tuple(own[a : a + k]) for a in range(len(own) - k + 1))
+        self.n = sum(n for g, n in self.count.items() if len(g) == 1 and g != (BEGIN,))
+        self.v = sum(len(g) == 1 and g != (BEGIN,) for g in self.count)
+
+    def __call__(self, history, word):
+        if not history:
+            return (self.count[(word,)] + 1) / (self.n + self.v + 1)
+        lower, held = self(history[1:], word), self.count[history]
+        mu = self.mu[len(history) - 1]
+        return (self.count[(*history, word)] + mu * lower) / (held + mu) if held else lower
+
+
+def backoff_scores(rows, mu, train=lambda i: crc_mod(i, 7) != 2):
+    """op5's score of each row."""
+    p, out = Backoff([r for r in rows if train(r[0])], mu), []
+    for _, t in rows:
+        own = [BEGIN, *words_of(t), None]
+        out.append(sum(math.log10(p(tuple(own[max(0, i - len(mu)) : i]), own[i])) for i in range(1, len(own))))
+    return out
+
+
 def overlaps(rows, items):
     """op8 over (doc_id, text) and (item_id, text)."""
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))

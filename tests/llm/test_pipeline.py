@@ -63,6 +63,8 @@ def test_awkward_tables(spark, sf_dir, odd):
         out = stage(spark, odd, sf_dir)
         assert out.columns == odd.columns and out.count() <= len(rows), name
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
+    check_packing(pipeline.pack_sequences(spark, odd, sf_dir), [r[:2] for r in rows])
+    assert pipeline.pack_sequences(spark, odd.limit(0), sf_dir).count() == 0
     assert pipeline.drop_lines(spark, odd, sf_dir).where("text IS NULL").count() == sum(r[1] is None for r in rows)
     kept = pipeline.keep_one_of_each(spark, odd, sf_dir).collect()
     groups = defaultdict(int)
