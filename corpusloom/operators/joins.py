@@ -150,6 +150,25 @@ def _rarest(sets: DataFrame, held: DataFrame, total: int, least: float) -> DataF
     return whole.select("k", "n", F.explode(F.slice("places", F.lit(1), F.greatest(wanted, F.lit(0)).cast("int"))).alias("gram"))
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(k, n, sketch): 64 numbers of 64 bits, each n-gram turning one bit."""
+    bit = F.expr("shiftleft(1L, cast((gram >> 6) & 63 as int))")
+    words = _gram_rows(sets).groupBy("k", "n", F.col("gram").bitwiseAND(F.lit(63)).alias("w")).agg(F.bit_xor(bit).alias("x"))
+    given = words.groupBy("k", "n").agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m"))
+    return given.select("k", "n", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("sketch"))
+
+
+def _alike(pairs: DataFrame, x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (k, m) whose sketches differ in no more bits than n-grams that similar sets don't share.
+
+    Only an n-gram that one set lacks can turn a bit of one sketch alone.
+    """
+    both = pairs.join(x.select("k", F.col("n").alias("na"), F.col("sketch").alias("sa")), "k").join(y.select(F.col("k").alias("m"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "m")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, a: n + a)
+    spare = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * least / (1 + least) - F.lit(1e-6))
+    return both.where(differ <= spare).select("k", "m")
+
+
 def _compared(pairs: DataFrame, x: DataFrame, y: DataFrame, width: int, least: float) -> DataFrame:
     """(k, m, similarity) of the pairs (k, m) whose texts' sets, made anew for the pairs alone, are similar."""
     both = pairs.join(x.select("k", F.col("text").alias("ta")), "k").join(y.select(F.col("k").alias("m"), F.col("text").alias("tb")), "m")
@@ -170,6 +189,7 @@ def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, text: str
     total = left.select(F.length(text).alias("n")).union(right.select(F.length(text))).agg(F.sum("n")).first()[0] or 0  # at least as many as n-grams
     p, q = (_rarest(s, held, total, least).alias(n) for s, n in ((x, "p"), (y, "q")))
     pairs = p.join(q, F.expr(f"p.gram = q.gram AND p.n >= q.n * {least} AND q.n >= p.n * {least}")).select(F.col("p.k").alias("k"), F.col("q.k").alias("m")).distinct()
+    pairs = _alike(pairs, _sketches(x), _sketches(y), least)
     return _compared(pairs, x, y, width, least).select(F.col("k").alias(a), F.col("m").alias(b), "similarity")
 
 
@@ -188,7 +208,9 @@ def similar_classes(df: DataFrame, key: str, text: str, width: int, least: float
     rare = _rarest(sets, held, total, least)
     fits = F.expr(f"p.gram = q.gram AND p.k < q.k AND p.n >= q.n * {least} AND q.n >= p.n * {least}")
     pairs = rare.alias("p").join(rare.alias("q"), fits).select(F.col("p.k").alias("k"), F.col("q.k").alias("m")).distinct()
-    links = _compared(pairs, sets, sets, width, least).select(F.explode(F.array(F.struct(F.col("k").alias("a"), F.col("m").alias("b")), F.struct(F.col("m").alias("a"), F.col("k").alias("b")))).alias("l")).select("l.*")
+    sketches = _sketches(sets)
+    links = _compared(_alike(pairs, sketches, sketches, least), sets, sets, width, least)
+    links = links.select(F.explode(F.array(F.struct(F.col("k").alias("a"), F.col("m").alias("b")), F.struct(F.col("m").alias("a"), F.col("k").alias("b")))).alias("l")).select("l.*")
     others = links.join(classes.select(F.col("class_id").alias("b"), F.col("_n").alias("m")), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("m").alias("_links"))
     told = classes.join(others, "class_id", "left").select("_h", "class_id", (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("n_links"), "_n")
     return join_spread(rows.select(key, "_h"), told, "_h", "_n", df.count(), key).select(key, "class_id", "n_links")
