@@ -18,6 +18,8 @@ from corpusloom.llm._text import crc_mod, hash_strings, mix, split_words, texts
 
 #: Bytes of text in a block, whose documents are scored together by one automaton, and for each shard of n-grams.
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
+#: Partitions of the exchanges at most; below that there is one for each shard's bytes.
+MOST_PARTS = 20_000
 #: Bits of an n-gram's key inside its shard, for n of 2 or more; words have all 64.
 KEY_BITS = 40
 #: For histories of one token, two, and so on: the weight of the shorter history, in tokens.
@@ -363,12 +365,13 @@ def score_texts(docs: DataFrame, train: Column, mu: tuple[float, ...] = MU, bloc
     about = rows.agg(F.sum(F.octet_length("text").cast("long") + 64).alias("size"), F.sum(F.col("train").cast("long")).alias("begun")).first()
     shards = max(2, -(-(about["size"] or 0) // shard_bytes))
     bits = (shards - 1).bit_length()
-    asked = rows.mapInArrow(_ask(order, bits, block_bytes), _REQUEST)
+    parts = min(shards, MOST_PARTS)  # so that a task's share doesn't grow with the input
+    asked = rows.mapInArrow(_ask(order, bits, block_bytes), _REQUEST).repartition(parts, "shard")
     answers = materialise(asked.groupBy("shard").applyInArrow(_answer(order), _ANSWER), "lm-answers")
     known = answers.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = int(known[0] or 0), int(known[1] or 0)
-    blocked = rows.mapInArrow(_blocked(block_bytes), "block long, doc_id long, text string, train boolean")
-    told = answers.select("shard", "block", "counts").groupBy("block")
+    blocked = rows.mapInArrow(_blocked(block_bytes), "block long, doc_id long, text string, train boolean").repartition(parts, "block")
+    told = answers.select("shard", "block", "counts").repartition(parts, "block").groupBy("block")
     scored = blocked.groupBy("block").cogroup(told).applyInArrow(_score(order, bits, tokens, types, int(about["begun"] or 0), tuple(mu)), _SCORED)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
