@@ -272,3 +272,44 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     borrowed = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
     return conversation_trie(turns, F.col("conv_id") - F.col("conv_id") % 100, borrowed, 5)
+
+
+#: The same rows by prefixes as texts. Turns of equal number are ordered by role and text.
+SQL = r"""
+WITH crc_table AS (
+    SELECT list(list_reduce([CAST(i AS BIGINT)] || list_transform(range(8), lambda k: CAST(k AS BIGINT)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)
+), numbered AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+        coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+        lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM numbered), crc_table
+), turns AS (
+    SELECT convs.conv_id, 0 AS own, place, role, text FROM convs JOIN numbered ON numbered.conv_id = convs.base AND place <= h
+    UNION ALL SELECT conv_id, 1, place, role, text FROM convs JOIN numbered USING (conv_id) WHERE place > h
+), rebuilt AS (
+    SELECT convs.conv_id, list(sha256(to_json([role, text])) ORDER BY own, place) FILTER (place IS NOT NULL) AS marks, list(length(text) ORDER BY own, place) FILTER (place IS NOT NULL) AS sizes
+    FROM convs LEFT JOIN turns USING (conv_id) GROUP BY convs.conv_id
+), held AS (
+    SELECT conv_id, coalesce(len(marks), 0) AS n, marks, sizes FROM rebuilt
+), prefixes AS (
+    SELECT conv_id, n, d, CASE WHEN d = 0 THEN '' ELSE array_to_string(marks[1:d], ' ') END AS p, CASE WHEN d > 0 THEN CASE WHEN d = 1 THEN '' ELSE array_to_string(marks[1:d - 1], ' ') END END AS above,
+        CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size
+    FROM held, LATERAL (SELECT unnest(range(n + 1)) AS d)
+), nodes AS (
+    SELECT p, any_value(above) AS above, any_value(d) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends
+    FROM prefixes GROUP BY p
+), children AS (
+    SELECT above AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above
+), full_nodes AS (
+    SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (p)
+), below AS (
+    SELECT x.p, sum((f.n_children = 0)::INT) AS n_leaves, sum((f.n_convs - 1) * f.size) AS saved_tokens
+    FROM full_nodes f JOIN prefixes x ON x.conv_id = f.conv_id AND x.d <= f.depth GROUP BY x.p
+)
+SELECT f.conv_id, CAST(f.depth AS INT) AS depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN below USING (p) LEFT JOIN nodes a ON a.p = f.above
+"""

@@ -19,8 +19,8 @@ from corpusloom.llm._store import Scratch
 SCALE, SHIFT = 64, 1_000_000
 #: Entries of this size or more, times SCALE, don't fit the fixed-point form.
 TOO_LARGE = float(1 << 62)
-#: Components whose singular value is less than this share of the first one's have no variance to scale by.
-LEAST_SHARE = 1e-9
+#: Singular values below this share of the first are rounding of a Gramian of doubles: no variance to scale by.
+LEAST_SHARE = 1e-6
 
 
 @dataclass

@@ -151,3 +151,33 @@ def jaccard(rows, k, percent):
         groups[find(i)].append(i)
     least = {r: min((rows[i][0] for i in own if rows[i][0] is not None), default=None) for r, own in groups.items()}
     return [(rows[i][0], len(s), least[find(i)]) for i, s in enumerate(sets)]
+
+
+def trie(rows, graft=True):
+    """op13 over (conv_id, turn, role, text); with ``graft`` conversations are rebuilt."""
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in convs.items()}
+    built = dict(own)
+    for c, v in own.items():
+        if graft:
+            h = crc_mod(c, 6)
+            base = c - (abs(c) % 100) * (1 if c >= 0 else -1)
+            built[c] = own.get(base, [])[:h] + v[h:]
+    members = defaultdict(list)
+    for c in sorted(built):
+        for d in range(len(built[c]) + 1):
+            members[tuple(built[c][:d])].append(c)
+    children = Counter(k[:-1] for k in members if k)
+    leaves, saved = Counter(), Counter()
+    for k, m in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += children[k] == 0
+            saved[k[:d]] += (len(m) - 1) * (len(k[-1][1]) if k else 0)
+    out = []
+    for k, m in members.items():
+        ends = ",".join(str(c) for c in m if len(built[c]) == len(k))
+        out.append((m[0], len(k), members[k[:-1]][0] if k else None, len(m), children[k], leaves[k], saved[k], sha(ends)))
+    return out
