@@ -12,7 +12,7 @@ from corpusloom.registry import QUERIES, SQL
 #: Modules that register queries.
 MODULES = (
     "operators.profile", "operators.projections", "operators.quality", "operators.joins", "operators.aggregates", "operators.ranking",
-    "operators.sets", "operators.leakage", "functions.text", "functions.dialogue", "functions.chat", "functions.hashing", "functions.dates", "operators.grading", "sources.files", "sources.generated", "streaming.sessions", "plans.artifacts",
+    "operators.sets", "operators.leakage", "operators.claims", "functions.text", "functions.dialogue", "functions.chat", "functions.hashing", "functions.dates", "operators.grading", "sources.files", "sources.generated", "streaming.sessions", "plans.artifacts",
 )
 
 for _name in MODULES:

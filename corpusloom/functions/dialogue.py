@@ -52,102 +52,6 @@ def replace_names(c: Column, generic: str = "이 사람", titles: Sequence[str]
     return F.regexp_replace(c, name, generic), count
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """(start, end, value) of all matches, counted in code points from 0; for texts of a sentence's length."""
-
-    def walk(b: Column) -> Column:
-        pairs = F.arrays_zip(F.slice(b["p"], F.lit(1), F.size(b["m"])).alias("p"), b["m"].alias("m"))
-        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-
-        def add(state: Column, x: Column) -> Column:
-            start = state["at"] + F.length(x["p"])
-            end = start + F.length(x["m"])
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
-
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
-
-    return let(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), walk)
-
-
-@dataclass(frozen=True)
-class ClaimGrammar:
-    """Labels with their roles, the form of a value, and what links, denies, doubts, corrects and frames a claim."""
-
-    labels: Mapping[str, str]
-    value: str
-    forward: str = r"\s*(?:은|는|이|가|[:：=])\s*"
-    reverse: str = r"\s*(?:은|는|이|가|인)?\s*"
-    denial: str = r"^(?:이|가|은|는)?\s*(?:결코\s*|전혀\s*)?(?:아니|아닙|아닌|틀|잘못)"
-    doubt: str = r"^.{0,60}?(?:일\s*수|일지도|인\s*것\s*같|인지|추정|모르|불확실)"
-    replaced: str = r"^(?:이|가)?\s*아니라\s*"
-    corrected: str = r"^\s*[,;]?\s*아니(?:요)?\s*[,;]\s*(?:사실\s*)?"
-    supposed: str = r"^(?:이라면|라면|인\s*경우)"
-    scopes: Mapping[str, str] = None
-    bridge: int = 64
-
-    def frames(self) -> Mapping[str, str]:
-        return self.scopes or {"reported": r"이전\s*답변|앞서\s*말|친구가", "historical": r"정정\s*전|수정\s*전", "hypothetical": r"예를\s*들|가령|가정|만약", "current": r"정정\s*후|수정\s*후|현재|실제"}
-
-
-def claims(c: Column, grammar: ClaimGrammar) -> Column:
-    """(role, value, start, end, scope, polarity) of every claim that a label has a value.
-
-    A sentence is searched for label-link-value and value-link-label; a label without
-    either but with a value not far behind is an uncertain claim. What stands before a
-    claim gives its scope (the last frame wins), what follows it the polarity; "not X but
-    Y" and "X, no, Y" add the corrected claim. Starts and ends are code points of the
-    whole text. A null text has no claims.
-    """
-    g = grammar
-    label = "(" + "|".join(sorted(g.labels, key=len, reverse=True)) + ")"
-    value = f"({g.value})"
-    role_of = F.create_map(*(F.lit(x) for pair in g.labels.items() for x in pair))
-    frames = g.frames()
-
-    def found(sentence: Column, pattern: str, label_at: int, value_at: int) -> Column:
-        named = lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), role_of[F.regexp_extract(s["value"], pattern, label_at)].alias("role"), F.regexp_extract(s["value"], pattern, value_at).alias("value"), F.lit(False).alias("loose"),
-        )
-        return F.transform(spans_of(sentence, pattern), named)
-
-    def loose(sentence: Column, sure: Column) -> Column:
-        far = f"{label}((?:(?!{label}).){{0,{g.bridge}}}?){value}"
-        open_ = F.filter(found(sentence, far, 1, 4), lambda x: ~F.exists(sure, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-        return F.transform(open_, lambda x: x.withField("loose", F.lit(True)))
-
-    def scope_of(before: Column, after: Column) -> Column:
-        every = "|".join(f"(?:{p})" for p in frames.values())
-        last = F.try_element_at(F.regexp_extract_all(before, F.lit(every), F.lit(0)), F.lit(-1))
-        out = F.when(after.rlike(g.supposed), "hypothetical")
-        for name, pattern in frames.items():
-            out = out.when(last.rlike(f"^(?:{pattern})"), name)
-        return out.otherwise("current")
-
-    def judged(sentence: Column, at: Column, x: Column) -> Column:
-        before, after = F.substring(sentence, F.lit(1), x["start"]), F.substring(sentence, x["end"] + 1, F.length(sentence))
-
-        def both(b: Column) -> Column:
-            scope = scope_of(b["before"], b["after"])
-            instead = lambda p: F.regexp_extract(b["after"], p + value, 1)
-            swapped, mended = instead(g.replaced), instead(g.corrected)
-            polarity = F.when(x["loose"], "uncertain").when(b["after"].rlike(g.denial), "denied").when(b["after"].rlike(g.doubt), "uncertain").otherwise("asserted")
-            made = lambda v, s, p, start, end: F.struct(x["role"].alias("role"), v.alias("value"), start.alias("start"), end.alias("end"), s.alias("scope"), p.alias("polarity"))
-            own = made(x["value"], F.when(mended != "", "superseded").otherwise(scope), polarity, at + x["start"], at + x["end"])
-            fresh, lead = F.when(swapped != "", swapped).otherwise(mended), F.when(swapped != "", F.regexp_extract(b["after"], g.replaced + value, 0)).otherwise(F.regexp_extract(b["after"], g.corrected + value, 0))
-            end = at + x["end"] + F.length(lead)
-            again = made(fresh, F.when(swapped != "", scope).otherwise("current"), F.lit("asserted"), end - F.length(fresh), end)
-            return F.when((fresh != "") & ~x["loose"], F.array(own, again)).otherwise(F.array(own))
-
-        return let(F.struct(before.alias("before"), after.alias("after")), both)
-
-    def of_sentence(s: Column) -> Column:
-        sure = F.concat(found(s["value"], label + g.forward + value, 1, 2), found(s["value"], value + g.reverse + label, 2, 1))
-        every = let(sure, lambda a: F.array_sort(F.array_distinct(F.concat(a, loose(s["value"], a)))))
-        return F.flatten(F.transform(every, lambda x: judged(s["value"], s["start"], x)))
-
-    return F.flatten(F.transform(spans_of(F.coalesce(c, F.lit("")), r"[^\n.!?。！？]+"), of_sentence))
-
-
 @dataclass(frozen=True)
 class IntentPatterns:
     """What excludes a topic, asks for a forecast or a chart, names a time, and only follows up."""
@@ -351,22 +255,6 @@ def _(t):
     return rows.select("o_orderkey", *(F.col("m")[k].alias(k) for k in ("status", "priority", "key")))
 
 
-@query("str_23_claims", """
-SELECT o_orderkey, i AS place, 'status' AS role, CASE WHEN i = 1 THEN 'Z' ELSE o_orderstatus END AS value,
-    CASE WHEN k = 2 THEN 'hypothetical' WHEN k = 3 THEN 'reported' WHEN k = 5 AND i = 0 THEN 'superseded' ELSE 'current' END AS scope,
-    CASE WHEN i = 0 AND k IN (1, 4) THEN 'denied' WHEN k = 6 THEN 'uncertain' ELSE 'asserted' END AS polarity
-FROM (SELECT o_orderkey, o_orderstatus, o_orderkey % 7 AS k, unnest(CASE WHEN o_orderkey % 7 IN (4, 5) THEN [0, 1] ELSE [0] END) AS i FROM orders)""")
-def _(t):
-    k, s = F.col("o_orderkey") % 7, F.col("o_orderstatus")
-    text = (
-        F.when(k == 0, F.concat(F.lit("상태는 "), s, F.lit("입니다"))).when(k == 1, F.concat(F.lit("상태는 "), s, F.lit("이 아닙니다"))).when(k == 2, F.concat(F.lit("만약 상태가 "), s, F.lit("라면"))).when(k == 3, F.concat(F.lit("이전 답변에서 상태: "), s))
-        .when(k == 4, F.concat(F.lit("상태는 "), s, F.lit("이 아니라 Z입니다"))).when(k == 5, F.concat(F.lit("상태는 "), s, F.lit(", 아니, 사실 Z입니다"))).otherwise(F.concat(F.lit("상태는 "), s, F.lit("일 수 있습니다")))
-    )
-    grammar = ClaimGrammar({"상태": "status", "등급": "grade"}, "[FOPZ]")
-    found = t.orders.select("o_orderkey", F.posexplode(claims(F.concat(F.lit("주문을 봅니다. "), text, F.lit(".")), grammar)).alias("place", "c"))
-    return found.select("o_orderkey", "place", "c.role", "c.value", "c.scope", "c.polarity")
-
-
 _INTENTS = IntentPatterns(opt_out="without the [a-z]+", forecast="whe|tomorrow", chart="str", followup="(?:of|and|to|is|the)( [a-z]+)?")
 
 
