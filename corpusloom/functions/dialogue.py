@@ -53,109 +53,148 @@ def replace_names(c: Column, generic: str = "이 사람", titles: Sequence[str]
 
 
 @dataclass(frozen=True)
-class IntentPatterns:
-    """What excludes a topic, asks for a forecast or a chart, names a time, and only follows up."""
+class IntentRules:
+    """How turns are read: all forms and names are the caller's.
+
+    ``cut`` is left out first. ``breaks`` stand between clauses. A clause's kind is the
+    first of ``kinds`` whose form it shows, else ``other``. ``moves`` is a table
+    {(topic, kind): (topic after it, act)}; a pair that isn't in it keeps the topic and
+    has no act. ``outcomes`` names the turn's intent by its acts, the first that was done;
+    clauses of the acts in ``taken`` are the turn's text. ``starts`` gives the first topic
+    by the intent of the turn before, and ``start`` that without one, or where something
+    was cut out.
+    """
 
-    opt_out: str
-    forecast: str
-    chart: str
-    followup: str
-    breaks: str = r"(?<![0-9])[.!?。！？;]+|[.!?](?![0-9])|\n+"
+    kinds: Mapping[str, str]
+    breaks: str
+    moves: Mapping[tuple[str, str], tuple[str, str | None]]
+    outcomes: Mapping[str, str]
+    otherwise: str
+    start: str
+    after_cut: str
+    starts: Mapping[str, str]
+    taken: Sequence[str]
+    cut: str | None = None
+    other: str = "other"
 
 
-def resolve_intent(prompt: Column, previous: Column, patterns: IntentPatterns) -> Column:
-    """(intent, period_text, source) of a prompt; ``previous`` is the intent of the user's turn before, or null.
+def resolve_intent(prompt: Column, previous: Column, rules: IntentRules) -> Column:
+    """(intent, text, acts) of a turn; ``previous`` is the intent of the user's turn before, or null.
 
-    Excluded topics are cut out first. Then the clauses are folded in their order: a
-    forecast or a chart clause sets the topic, any other clause makes it general, and a
-    clause that is a follow-up alone takes the topic so far, at first that of the turn
-    before. A follow-up without a topic needs clarification.
+    A fold over the clauses in their order, whose steps are looked up in the rules' table.
+    ``text`` has the taken clauses, one to a line. A blank or null turn has no intent.
     """
-    low = F.trim(F.regexp_replace(F.lower(prompt), r"[^\S\n]+", " "))
-    active, opted = F.regexp_replace(low, patterns.opt_out, " "), low.rlike(patterns.opt_out)
-    known = F.when(previous == "clarification_required", F.lit(None)).otherwise(previous)
-    none = F.array().cast("array<string>")
-    start = F.struct(
-        F.when(opted, "general_followup").otherwise(known).cast("string").alias("topic"), F.when(opted, "current_request").when(known.isNotNull(), "previous_user").otherwise("none").alias("source"),
-        none.alias("parts"), F.lit(False).alias("chart"), F.lit(False).alias("unresolved"), F.lit(False).alias("inherited"),
-    )
+    table = F.create_map(*(F.lit(x) if isinstance(x, str) else x for (topic, kind), (after, act) in rules.moves.items() for x in (f"{topic} {kind}", F.struct(F.lit(after).alias("topic"), F.lit(act).cast("string").alias("act")))))
+    low = F.lower(F.regexp_replace(prompt, "[ \\t\\r\\f]+", " "))
+    was_cut = low.rlike(rules.cut) if rules.cut else F.lit(False)
+    kept = F.regexp_replace(low, rules.cut, " ") if rules.cut else low
+    first = F.when(was_cut, rules.after_cut).otherwise(F.coalesce(F.create_map(*(F.lit(x) for pair in rules.starts.items() for x in pair))[previous], F.lit(rules.start)) if rules.starts else F.lit(rules.start))
 
-    def fold(s: Column, clause: Column) -> Column:
-        forecast, chart = clause.rlike(patterns.forecast), clause.rlike(patterns.chart)
-        follow = clause.rlike(f"^(?:{patterns.followup})$") & ~forecast & ~chart
-        takes = follow & F.coalesce(s["topic"].isin("period_request", "chart_interpretation"), F.lit(False))
-        return F.struct(
-            F.when(forecast, "period_request").when(chart, "chart_interpretation").when(follow, s["topic"]).otherwise("general_followup").alias("topic"),
-            F.when(follow, s["source"]).otherwise("current_request").alias("source"),
-            F.when(forecast | takes, F.concat(s["parts"], F.array(clause))).otherwise(s["parts"]).alias("parts"),
-            (s["chart"] | (chart & ~forecast)).alias("chart"),
-            (s["unresolved"] | (follow & ~takes & (F.coalesce(s["topic"], F.lit("")) != "general_followup"))).alias("unresolved"),
-            (s["inherited"] | (takes & (s["source"] == "previous_user"))).alias("inherited"),
-        )
+    def kind(clause: Column) -> Column:
+        out = F.lit(rules.other)
+        for name, form in reversed(rules.kinds.items()):
+            out = F.when(clause.rlike(form), name).otherwise(out)
+        return out
+
+    def step(s: Column, clause: Column) -> Column:
+        def moved(to: Column) -> Column:
+            act = F.array(F.struct(to["act"].alias("act"), clause.alias("clause")))
+            return F.struct(F.coalesce(to["topic"], s["topic"]).alias("topic"), F.when(to["act"].isNotNull(), F.concat(s["acts"], act)).otherwise(s["acts"]).alias("acts"))
+
+        return let(table[F.concat_ws(" ", s["topic"], kind(clause))], moved)
 
     def told(s: Column) -> Column:
-        asked = F.size(s["parts"]) > 0
-        intent = F.when(asked, "period_request").when(s["unresolved"], "clarification_required").when(s["chart"], "chart_interpretation").otherwise("general_followup")
-        source = F.when(asked & s["inherited"], "previous_user").when(~asked & s["unresolved"], "none").otherwise("current_request")
-        return F.struct(intent.alias("intent"), F.when(asked, F.array_join(s["parts"], "\n")).otherwise("").alias("period_text"), source.alias("source"))
+        acts = F.transform(s["acts"], lambda x: x["act"])
+        intent = F.lit(rules.otherwise)
+        for act, name in reversed(rules.outcomes.items()):
+            intent = F.when(F.array_contains(acts, act), name).otherwise(intent)
+        said = F.transform(F.filter(s["acts"], lambda x: x["act"].isin(*rules.taken)), lambda x: x["clause"])
+        return F.struct(intent.alias("intent"), F.array_join(said, "\n").alias("text"), acts.alias("acts"))
 
-    clauses = F.filter(F.transform(F.split(active, patterns.breaks), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.trim(prompt) != "", F.aggregate(clauses, start, fold, told))
+    clauses = F.filter(F.transform(F.split(kept, rules.breaks), lambda x: F.trim(x)), lambda x: x != "")
+    begun = F.struct(first.alias("topic"), F.array().cast("array<struct<act:string,clause:string>>").alias("acts"))
+    return F.when(F.trim(prompt) != "", F.aggregate(clauses, begun, step, told))
 
 
-def resolve_intents(turns: DataFrame, key: str, order: str, text: str, patterns: IntentPatterns) -> DataFrame:
-    """User turns with their intents; the turn before, without its own predecessor, gives the topic that follow-ups take."""
-    own = turns.withColumn("_alone", resolve_intent(F.col(text), F.lit(None).cast("string"), patterns)["intent"])
-    own = own.withColumn("_before", F.lag("_alone").over(Window.partitionBy(key).orderBy(order)))
-    return own.withColumn("i", resolve_intent(F.col(text), F.col("_before"), patterns)).select(*turns.columns, "i.*")
+def resolve_intents(turns: DataFrame, key: str, order: str, text: str, rules: IntentRules) -> DataFrame:
+    """User turns with their intents; the turn before, read without its own predecessor, gives the topic to begin with."""
+    alone = turns.withColumn("_alone", resolve_intent(F.col(text), F.lit(None).cast("string"), rules)["intent"])
+    before = alone.withColumn("_before", F.lag("_alone").over(Window.partitionBy(key).orderBy(order)))
+    return before.withColumn("i", resolve_intent(F.col(text), F.col("_before"), rules)).select(*turns.columns, "i.*")
 
 
 @dataclass(frozen=True)
-class SlotPatterns:
-    """How slots are written: one group each for dates (3), times (2) and ranges (2); words for choices."""
+class SlotForms:
+    """How slots are written; all forms are the caller's.
 
-    date: str = r"((?:19|20)[0-9]{2})\s*년\s*([0-9]{1,2})\s*월\s*([0-9]{1,2})\s*일"
-    time: str = r"(?<![0-9])([01]?[0-9]|2[0-3])\s*시\s*([0-5]?[0-9])\s*분"
-    hours: str = r"([0-9]{1,2})\s*시(?:부터|에서)\s*([0-9]{1,2})\s*시"
-    choices: Mapping[str, Mapping[str, str]] = None
-    places: Sequence[str] = ("서울", "부산", "대구", "인천")
-    abroad: str = "해외"
-    unknown_time: str = r"시간(?:은|을)?\s*모릅|시간\s*미상"
+    ``date``, ``time`` and ``hours`` have three, two and two groups: year, month, day; hour,
+    minute; first and last hour. ``half_days``: a word right before an hour to the hours it
+    adds to the clock's twelve. ``choices``: slot to words and their values, ``only_with``:
+    slot to the (slot, value) that it needs. ``places``, without those where ``abroad`` is named.
+    """
+
+    date: str
+    time: str
+    hours: str
+    half_days: Mapping[str, int]
+    choices: Mapping[str, Mapping[str, str]]
+    places: Sequence[str]
+    only_with: Mapping[str, tuple[str, str]]
+    abroad: str | None = None
+    unknown_time: str | None = None
 
 
-def extract_slots(c: Column, patterns: SlotPatterns = SlotPatterns()) -> Column:
+def extract_slots(c: Column, forms: SlotForms) -> Column:
     """(slots, unknown, error): a map of what one utterance states, the slots stated as unknown, and why it's refused.
 
     Two dates, times or places make the utterance ambiguous: it's refused with no slots.
-    A choice of which two words are named is left out.
+    A choice of which two words are named is left out, and so is a slot without the one
+    it needs. A word for half a day moves the hours behind it, both of a range; hours
+    beyond the day, or a range that ends before it begins, state nothing.
     """
-    p = patterns
-    two = lambda x: F.lpad(x, 2, "0")
-    day = lambda x: F.concat_ws("-", F.regexp_extract(x, p.date, 1), two(F.regexp_extract(x, p.date, 2)), two(F.regexp_extract(x, p.date, 3)))
-    clock = lambda x: F.concat(two(F.regexp_extract(x, p.time, 1)), F.lit(":"), two(F.regexp_extract(x, p.time, 2)))
-    hours = lambda x: F.concat(two(F.regexp_extract(x, p.hours, 1)), F.lit("-"), two(F.regexp_extract(x, p.hours, 2)))
-    every = lambda form, f: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(form), F.lit(0)), f))
-    dates = F.filter(every(p.date, day), lambda x: x.try_cast("date").isNotNull())
-    places = F.when(c.contains(p.abroad), F.array().cast("array<string>")).otherwise(F.filter(F.array(*map(F.lit, p.places)), lambda x: F.contains(c, x)))
-    unknown = c.rlike(p.unknown_time)
-    choices = p.choices if p.choices is not None else {"calendar": {"음력": "lunar", "양력": "solar"}, "leap_month": {"윤달": "true", "평달": "false"}}
+    f = forms
+    half = "|".join(sorted(f.half_days, key=len, reverse=True))
+    added = F.create_map(*(F.lit(x) for pair in f.half_days.items() for x in pair))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    every = lambda form, g: F.array_compact(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"(?:(?:{half})\\s*)?(?:{form})"), F.lit(0)), g)))
+
+    def hour(x: Column, form: str, group: int) -> Column:
+        """The hour of a group, on the clock of 24; null if there's none such."""
+        named, n = F.regexp_extract(x, f"^({half})", 1), F.regexp_extract(x, form, group).try_cast("int")
+        moved = F.when((named != "") & (n <= 12), n % 12 + added[named]).when(named == "", n)
+        return F.when(moved < 24, moved)
+
+    def clock(x: Column) -> Column:
+        return let(hour(x, f.time, 1), lambda h: F.when(h.isNotNull(), F.concat_ws(":", two(h), two(F.regexp_extract(x, f.time, 2)))))
+
+    def hours(x: Column) -> Column:
+        ends = F.struct(hour(x, f.hours, 1).alias("a"), hour(x, f.hours, 2).alias("b"))
+        return let(ends, lambda e: F.when(e["a"] <= e["b"], F.concat_ws("-", two(e["a"]), two(e["b"]))))
+
+    day = lambda x: F.concat_ws("-", F.regexp_extract(x, f.date, 1), two(F.regexp_extract(x, f.date, 2)), two(F.regexp_extract(x, f.date, 3)))
+    dates = F.filter(every(f.date, day), lambda x: x.try_cast("date").isNotNull())
+    places = F.filter(F.array(*map(F.lit, f.places)), lambda x: F.contains(c, x))
+    if f.abroad:
+        places = F.when(c.rlike(f.abroad), F.array().cast("array<string>")).otherwise(places)
+    unknown = c.rlike(f.unknown_time) if f.unknown_time else F.lit(False)
 
     def choice(words: Mapping[str, str]) -> Column:
-        named = F.filter(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(v).alias("v")) for w, v in words.items())), lambda x: F.contains(c, x["w"]))
-        return F.when(F.size(named) == 1, F.get(named, F.lit(0))["v"])
+        named = F.array_distinct(F.transform(F.filter(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(v).alias("v")) for w, v in words.items())), lambda x: F.contains(c, x["w"])), lambda x: x["v"]))
+        return F.when(F.size(named) == 1, F.get(named, F.lit(0)))
 
     def told(s: Column) -> Column:
         error = F.when(F.size(s["dates"]) > 1, "multiple dates").when((F.size(s["times"]) > 1) | (F.size(s["hours"]) > 1), "multiple times").when(F.size(s["places"]) > 1, "multiple places")
         exact = (F.size(s["times"]) == 1) & (F.size(s["hours"]) == 0) & ~unknown
         slots = {"date": F.get(s["dates"], F.lit(0)), "time": F.when(exact, F.get(s["times"], F.lit(0))), "hours": F.when((F.size(s["hours"]) == 1) & ~unknown, F.get(s["hours"], F.lit(0))), "place": F.get(s["places"], F.lit(0))}
-        slots |= {k: choice(v) for k, v in choices.items()}
+        slots |= {k: choice(v) for k, v in f.choices.items()}
+        slots |= {k: F.when(slots[other] == value, slots[k]) for k, (other, value) in f.only_with.items()}
         whole = F.map_filter(F.create_map(*(x for k, v in slots.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
         empty = F.create_map().cast("map<string,string>")
         return F.struct(
             F.when(error.isNotNull(), empty).otherwise(whole).alias("slots"), F.when(unknown & error.isNull(), F.array(F.lit("time"))).otherwise(F.array().cast("array<string>")).alias("unknown"), error.alias("error"),
         )
 
-    return let(F.struct(dates.alias("dates"), every(p.time, clock).alias("times"), every(p.hours, hours).alias("hours"), places.alias("places")), told)
+    return let(F.struct(dates.alias("dates"), every(f.time, clock).alias("times"), every(f.hours, hours).alias("hours"), places.alias("places")), told)
 
 
 _CALL = r"(?s)<tool_call>\n<function=([^>\n]+)>\n(.*?)</function>\n</tool_call>"
@@ -183,20 +222,54 @@ def tool_calls(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(_CALL), F.lit(0)), call)
 
 
+#: JSON kinds of arguments, by what the value's schema may be (fixed values of the engine's names).
+_KINDS = {"integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
+
+
+def typed_arguments(call: Column, kinds: Mapping[str, str]) -> Column:
+    """(values, problem) of a tool call's arguments by their ``kinds``: string, integer, number, boolean, object or array.
+
+    A string is as written; all else is read as JSON and written again, so that 2 and 2.0
+    are one number and the order of an object's keys is none. null is a value of every
+    kind but string. ``problem``: an argument that is given twice, has no kind, is missing
+    or isn't of its kind; then there are no values.
+    """
+
+    def read(a: Column) -> Column:
+        json = F.try_parse_json(a["value"])
+        value = F.lit(None).cast("string")
+        for name, kind in kinds.items():
+            text = F.try_variant_get(json, "$", "double").cast("string") if kind == "number" else json.cast("string")
+            shape = F.schema_of_variant(json)
+            typed = a["value"] if kind == "string" else F.when(shape == "VOID", "null").when(shape.rlike(f"^(?:{_KINDS[kind]})$"), text)
+            value = F.when(a["name"] == name, typed).otherwise(value)
+        return F.struct(a["name"].alias("name"), value.alias("value"))
+
+    def told(rows: Column) -> Column:
+        names, known = F.transform(rows, lambda a: a["name"]), F.array(*map(F.lit, sorted(kinds)))
+        problem = (
+            F.when(call["repeated"], "repeated argument").when(F.size(F.array_except(names, known)) > 0, "unknown argument")
+            .when(F.size(F.array_except(known, names)) > 0, "missing argument").when(F.exists(rows, lambda a: a["value"].isNull()), "kind")
+        )
+        return F.struct(F.when(problem.isNull(), F.map_from_entries(rows)).alias("values"), problem.alias("problem"))
+
+    return let(F.transform(call["arguments"], read), told)
+
+
 def tool_call_problem(c: Column, expected: Column) -> Column:
     """Why an output doesn't hold the ``expected`` calls (array of name and a map of arguments), or null.
 
-    The calls must be as many, in their order, with nothing after the last, nothing
-    between parameters, and the same names and values.
+    The calls must be as many, in their order, with nothing but white space after the
+    last whole call, nothing between parameters, and the same names and values.
     """
-    after = F.element_at(F.split(c, "</tool_call>", -1), -1)
+    after = F.element_at(F.split(c, _CALL, -1), -1)
 
     def compare(calls: Column) -> Column:
         pairs = F.arrays_zip(calls.alias("got"), expected.alias("want"))
         bad = lambda test: F.exists(pairs, test)
         sorted_ = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))))
         return (
-            F.when(F.size(calls) != F.size(expected), "count").when((F.size(calls) > 0) & (F.trim(F.regexp_replace(after, r"\s+", " ")) != ""), "text after the last call")
+            F.when(F.size(calls) != F.size(expected), "count").when((F.size(calls) > 0) & after.rlike(r"\S"), "text after the last call")
             .when(bad(lambda p: p["got"]["name"] != p["want"]["name"]), "name").when(bad(lambda p: p["got"]["residue"] != ""), "text between parameters")
             .when(bad(lambda p: p["got"]["repeated"]), "repeated parameter").when(bad(lambda p: F.array_sort(p["got"]["arguments"]) != sorted_(p["want"]["arguments"])), "arguments")
         )
@@ -255,36 +328,69 @@ def _(t):
     return rows.select("o_orderkey", *(F.col("m")[k].alias(k) for k in ("status", "priority", "key")))
 
 
-_INTENTS = IntentPatterns(opt_out="without the [a-z]+", forecast="whe|tomorrow", chart="str", followup="(?:of|and|to|is|the)( [a-z]+)?")
+#: Topics and acts of invented texts: words with "whe" or "str" stand for two topics, short clauses of function words for follow-ups.
+_MOVES = {
+    **{(topic, "when"): ("when", "asked") for topic in ("none", "talk", "when", "what", "when before", "what before")},
+    **{(topic, "what"): ("what", "named") for topic in ("none", "talk", "when", "what", "when before", "what before")},
+    **{(topic, "other"): ("talk", "talked") for topic in ("none", "talk", "when", "what", "when before", "what before")},
+    ("when", "follow"): ("when", "asked"), ("what", "follow"): ("what", "asked"), ("when before", "follow"): ("when before", "went on"), ("what before", "follow"): ("what before", "went on"), ("none", "follow"): ("none", "lost"),
+}
+_INTENTS = IntentRules(
+    kinds={"when": "whe|tomorrow", "what": "str", "follow": "^(?:of|and|to|is|the)(?: [a-z]+)?$"}, breaks=r"[.!?;]+(?:\s+|$)|\n+", moves=_MOVES,
+    outcomes={"asked": "period", "went on": "period", "lost": "unclear", "named": "chart"}, otherwise="talk", start="none", after_cut="talk", starts={"period": "when before", "chart": "what before", "talk": "talk"}, taken=("asked", "went on"), cut="without the [a-z]+",
+)
 
 
 @query("str_26_intents")
 def _(t):
-    users = t.conversations.where("role = 'user'").select("conv_id", "turn", "text")
-    return resolve_intents(users, "conv_id", "turn", "text", _INTENTS).select("conv_id", "turn", "intent", "period_text", "source")
+    users = t.conversations.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    found = resolve_intents(users, "conv_id", "turn", "prompt", _INTENTS)
+    return found.select("conv_id", "turn", "intent", F.col("text").alias("period_text"), F.array_contains("acts", "went on").alias("from_before"))
 
 
 @query("str_28_tool_calls", """
-SELECT o_orderkey, 'look_up' AS name, o_orderkey::VARCHAR AS key, o_orderstatus AS status,
-    CASE o_orderkey % 5 WHEN 1 THEN 'text after the last call' WHEN 2 THEN 'text between parameters' WHEN 3 THEN 'arguments' WHEN 4 THEN 'repeated parameter' END AS problem FROM orders""")
+SELECT o_orderkey, 'look_up' AS name, CASE WHEN k NOT IN (4, 7) THEN o_orderkey END AS key, CASE WHEN k NOT IN (4, 7) THEN o_totalprice END AS price, CASE WHEN k NOT IN (4, 7) THEN o_orderstatus END AS status,
+    CASE WHEN k NOT IN (4, 7) THEN o_totalprice > 100000 END AS large, CASE k WHEN 4 THEN 'repeated argument' WHEN 7 THEN 'kind' END AS bad,
+    CASE WHEN k IN (1, 5, 6) THEN 'text after the last call' WHEN k = 2 THEN 'text between parameters' WHEN k IN (3, 7) THEN 'arguments' WHEN k = 4 THEN 'repeated parameter' END AS problem
+FROM (SELECT *, o_orderkey % 8 AS k FROM orders)""")
 def _(t):
-    k, key, status = F.col("o_orderkey") % 5, F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    """Orders written as calls, some spoilt: text behind, half a call behind, a word for a number."""
+    k, key, status = F.col("o_orderkey") % 8, F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    price, large = F.col("o_totalprice").cast("string"), (F.col("o_totalprice") > 100000).cast("string")
     parameter = lambda name, value: F.concat(F.lit(f"<parameter={name}>\n"), value, F.lit("\n</parameter>\n"))
     extra = F.when(k == 2, F.lit("and\n")).when(k == 4, parameter("key", key)).otherwise("")
-    text = F.concat(F.lit("I look.\n<tool_call>\n<function=look_up>\n"), parameter("key", key), extra, parameter("status", status), F.lit("</function>\n</tool_call>"), F.when(k == 1, F.lit("\nDone.")).otherwise("\n"))
-    want = F.array(F.struct(F.lit("look_up").alias("name"), F.create_map(F.lit("key"), key, F.lit("status"), F.when(k == 3, F.lit("?")).otherwise(status)).alias("arguments")))
+    behind = F.when(k == 1, "\nDone.").when(k == 5, "\n<tool_call>junk</tool_call>").when(k == 6, " text </tool_call>").otherwise("\n")
+    said = parameter("key", F.when(k == 7, F.concat(F.lit("no. "), key)).otherwise(key))
+    text = F.concat(F.lit("I look.\n<tool_call>\n<function=look_up>\n"), said, extra, parameter("price", price), parameter("status", status), parameter("large", large), F.lit("</function>\n</tool_call>"), behind)
+    pairs = {"key": key, "price": price, "status": F.when(k == 3, F.lit("?")).otherwise(status), "large": large}
+    want = F.array(F.struct(F.lit("look_up").alias("name"), F.create_map(*(x for n, v in pairs.items() for x in (F.lit(n), v))).alias("arguments")))
     rows = t.orders.select("o_orderkey", F.get(tool_calls(text), F.lit(0)).alias("c"), tool_call_problem(text, want).alias("problem"))
-    value = lambda name: F.get(F.filter("c.arguments", lambda a: a["name"] == name), F.lit(0))["value"].alias(name)
-    return rows.select("o_orderkey", "c.name", value("key"), value("status"), "problem")
+    rows = rows.withColumn("a", typed_arguments(F.col("c"), {"key": "integer", "price": "number", "status": "string", "large": "boolean"}))
+    value = lambda name, kind: F.col("a.values")[name].cast(kind).alias(name)
+    return rows.select("o_orderkey", "c.name", value("key", "long"), value("price", "double"), value("status", "string"), value("large", "boolean"), F.col("a.problem").alias("bad"), "problem")
+
+
+#: Forms of Korean birth particulars, written for this query.
+_SLOTS = SlotForms(
+    date=r"([0-9]{4})년 *([0-9]{1,2})월 *([0-9]{1,2})일", time=r"([0-9]{1,2})시 *([0-9]{1,2})분", hours=r"([0-9]{1,2})시부터 *([0-9]{1,2})시", half_days={"오전": 0, "오후": 12, "저녁": 12},
+    choices={"calendar": {"음력": "lunar", "양력": "solar"}, "leap_month": {"윤달": "true", "평달": "false"}}, places=("서울", "부산", "대구", "인천"), only_with={"leap_month": ("calendar", "lunar")}, abroad="해외", unknown_time="시각은? 모",
+)
 
 
 @query("udf_07_slots", """
-SELECT o_orderkey, CASE WHEN k <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN k IN (0, 2) THEN '07:05' END AS time, CASE WHEN k = 1 THEN '09-11' END AS hours,
-    CASE WHEN k <> 3 THEN '부산' END AS place, CASE WHEN k = 0 THEN 'lunar' WHEN k = 1 THEN 'solar' END AS calendar, CASE WHEN k = 4 THEN 'time' ELSE '' END AS unknown, CASE WHEN k = 3 THEN 'multiple dates' END AS error
-FROM (SELECT o_orderkey, o_orderdate, o_orderkey % 5 AS k FROM orders)""")
+SELECT o_orderkey, CASE WHEN k <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN k = 0 THEN lpad(((a % 12) + 12)::VARCHAR, 2, '0') || ':05' WHEN k = 2 THEN lpad(a::VARCHAR, 2, '0') || ':05' END AS time,
+    CASE WHEN a = 11 AND k IN (1, 5) THEN NULL WHEN k = 1 THEN (a + 12)::VARCHAR || '-' || (a + 13)::VARCHAR WHEN k = 5 THEN lpad(a::VARCHAR, 2, '0') || '-' || lpad((a + 1)::VARCHAR, 2, '0') END AS hours,
+    CASE WHEN k <> 3 THEN '부산' END AS place, CASE WHEN k = 0 THEN 'lunar' WHEN k IN (1, 5) THEN 'solar' END AS calendar, CASE WHEN k = 0 THEN 'true' END AS leap_month, CASE WHEN k = 4 THEN 'time' ELSE '' END AS unknown, CASE WHEN k = 3 THEN 'multiple dates' END AS error
+FROM (SELECT o_orderkey, o_orderdate, o_orderkey % 6 AS k, 1 + o_orderkey // 6 % 11 AS a FROM orders)""")
 def _(t):
-    k, day = F.col("o_orderkey") % 5, lambda d: F.date_format(d, "yyyy년 M월 d일")
-    rest = F.when(k == 0, " 음력 7시 5분").when(k == 1, " 양력 9시부터 11시").when(k == 2, " 양력인지 음력인지 7시 5분").when(k == 3, F.concat(F.lit(" 또는 "), day(F.date_add("o_orderdate", 1)))).otherwise(" 7시 5분 그러나 시간은 모릅니다")
-    rows = t.orders.select("o_orderkey", extract_slots(F.concat(day("o_orderdate"), rest, F.lit(" 부산에서"))).alias("s"))
+    """Birth particulars with every hour of both half days; a leap month counts in the lunar calendar alone."""
+    k, day = F.col("o_orderkey") % 6, lambda d: F.date_format(d, "yyyy년 M월 d일")
+    a = (1 + F.floor(F.col("o_orderkey") / 6) % 11).cast("int")
+    span = F.format_string("%d시부터 %d시", a, a + 1)
+    rest = (
+        F.when(k == 0, F.format_string(" 음력 윤달 저녁 %d시 5분", a)).when(k == 1, F.concat(F.lit(" 양력 윤달 오후 "), span)).when(k == 2, F.format_string(" 양력인지 음력인지 %d시 5분", a)).when(k == 3, F.concat(F.lit(" 또는 "), day(F.date_add("o_orderdate", 1))))
+        .when(k == 4, " 7시 5분 그러나 시각은 모릅니다").otherwise(F.concat(F.lit(" 양력 오전 "), span))
+    )
+    rows = t.orders.select("o_orderkey", extract_slots(F.concat(day("o_orderdate"), rest, F.lit(" 부산에서")), _SLOTS).alias("s"))
     slot = lambda name, alias: F.col("s.slots")[name].alias(alias)
-    return rows.select("o_orderkey", slot("date", "day"), slot("time", "time"), slot("hours", "hours"), slot("place", "place"), slot("calendar", "calendar"), F.array_join("s.unknown", ",").alias("unknown"), "s.error")
+    return rows.select("o_orderkey", slot("date", "day"), slot("time", "time"), slot("hours", "hours"), slot("place", "place"), slot("calendar", "calendar"), slot("leap_month", "leap_month"), F.array_join("s.unknown", ",").alias("unknown"), "s.error")
