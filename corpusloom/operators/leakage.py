@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ranking import first_of_each, stable_rank
+from corpusloom.operators.spread import join_spread
+from corpusloom.plans.scratch import Scratch
 from corpusloom.registry import query
 
 
@@ -23,38 +25,84 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def key_components(rows: DataFrame, record: str, key: str) -> DataFrame:
-    """(record, root): records that share keys, directly or through others, have one root.
+def _with_least(near: DataFrame, total: int) -> DataFrame:
+    """Neighbours (a, b) with ``m``, the smallest of a and its neighbours; those of a hub are dealt to many tasks."""
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("held"))
+    return join_spread(near, least, "a", "held", total, "b").drop("held")
+
+
+def _contract(links: DataFrame) -> DataFrame:
+    """(node, root) of links (a, b): the smallest node that they lead to.
 
-    Every key and every record takes the smallest record that it has heard of, in turn,
-    until nothing changes. A key of many records is one group-by with partial
-    minima, so its records aren't paired. Rounds grow with the longest chain; each
-    round also jumps to the root's own root, so chains are halved.
+    Two steps take turns. Each node's larger neighbours are tied to the smallest one
+    around it; then each node's smaller ones are. Neither adds links, both keep what is
+    connected, and in the end every node hangs on its root alone. A round is written,
+    the one before it deleted, and only two numbers of each come to the driver.
     """
-    edges = _checkpoint(rows.select(F.col(record).alias("r"), F.col(key).alias("k")).where(F.col("k").isNotNull()).distinct())
-    labels = _checkpoint(rows.select(F.col(record).alias("r")).distinct().withColumn("root", F.col("r")))
+    held = Scratch(links.sparkSession)
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, before = held.keep(edges, "links"), None
     while True:
-        heard = edges.join(labels, "r").groupBy("k").agg(F.min("root").alias("m"))
-        told = edges.join(heard, "k").groupBy("r").agg(F.min("m").alias("m"))
-        fresh = labels.join(told, "r", "left").select("r", F.least("root", "m").alias("root"), F.col("root").alias("old"))
-        above = fresh.select(F.col("r").alias("root"), F.col("root").alias("next"))
-        jumped = _checkpoint(fresh.join(above, "root", "left").select("r", F.coalesce("next", "root").alias("root"), "old"))
-        changed = jumped.where("root <> old").limit(1).count()
-        labels = jumped.select("r", "root")
-        if not changed:
-            return labels.select(F.col("r").alias(record), "root")
+        now = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
+        if now == before:
+            break
+        before, total = now, 2 * now["n"]
+        near = _with_least(edges.union(edges.select("b", "a")), total)
+        large = near.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = _with_least(large, total)
+        tied = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
+        last, held = held, Scratch(links.sparkSession)
+        edges = held.keep(tied.where("a <> b").distinct(), "links")
+        last.discard()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def key_components(rows: DataFrame, record: str, key: str) -> DataFrame:
+    """(record, root): records that share keys, directly or through others, have one root, the smallest of them.
+
+    Each key ties its records to its smallest one, so a key of m records makes m links,
+    not pairs; a key that many records have is dealt to many tasks. The links are then
+    contracted to stars. Records without a key are their own root, and null records are
+    left out. The last round's table stays in the shared folder.
+    """
+    total = rows.count()
+    edges = rows.select(F.col(record).alias("r"), F.col(key).alias("k")).where("r IS NOT NULL").distinct()
+    keyed = edges.where("k IS NOT NULL")
+    least = keyed.groupBy("k").agg(F.min("r").alias("m"), F.count("*").alias("held"))
+    links = join_spread(keyed, least, "k", "held", total, "r").where("r <> m").select(F.col("r").alias("a"), F.col("m").alias("b"))
+    found = _contract(links)
+    return edges.select("r").distinct().join(found, F.col("r") == F.col("node"), "left").select(F.col("r").alias(record), F.coalesce("root", "r").alias("root"))
 
 
 def component_ids(components: DataFrame, record: str) -> DataFrame:
     """(root, component_id, size): SHA-256 of the sorted members, one to a line.
 
-    This digest needs a component's members together; where one may hold a great part of
-    all records, ``root`` names the component without that.
+    This digest needs a component's members together, so it is for components that a
+    task holds; component_digests names any component without that.
     """
     members = F.array_sort(F.collect_list(F.col(record).cast("string")))
     return components.groupBy("root").agg(F.sha2(F.array_join(members, "\n"), 256).alias("component_id"), F.count("*").alias("size"))
 
 
+#: Hexadecimal digits of a member's digest that one sum takes; sums of 10**20 members fit a decimal.
+_DIGITS = 15
+
+
+def component_digests(components: DataFrame, record: str) -> DataFrame:
+    """(root, component_id, size): a digest of a component's members in no order.
+
+    Four numbers of 60 bits of each member's SHA-256 are summed, and the sums and the
+    number of members hashed. Sums are added up where the rows are, so members never
+    meet, whatever the component's size. Components of the same members, and (but for
+    chance) only those, have one id.
+    """
+    own = F.sha2(F.col(record).cast("string"), 256)
+    part = lambda i: F.conv(F.substring(own, i * _DIGITS + 1, _DIGITS), 16, 10).cast("decimal(20,0)")
+    sums = components.groupBy("root").agg(*(F.sum(part(i)).alias(f"_{i}") for i in range(4)), F.count("*").alias("size"))
+    told = F.concat_ws(",", *(F.col(f"_{i}").cast("string") for i in range(4)), F.col("size").cast("string"))
+    return sums.select("root", F.sha2(told, 256).alias("component_id"), "size")
+
+
 def _keys(t):
     """Documents with the keys that tie them: their text, and the customer of a hashed order."""
     docs = t.documents.select("doc_id", "source", "lang", "text")
@@ -71,7 +119,14 @@ comp AS (SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY a)
 """
 
 
-@query("agg_34_components", _COMPONENTS + "SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS component_id, count(*) AS size FROM comp GROUP BY root")
+@query("agg_34_components", _COMPONENTS + """, parts AS (SELECT root, sha256(doc_id::VARCHAR) AS h FROM comp),
+sums AS (SELECT root, count(*) AS size, """ + ", ".join(f"sum(('0x' || substring(h, {15 * i + 1}, 15))::HUGEINT)::VARCHAR AS s{i}" for i in range(4)) + """ FROM parts GROUP BY root)
+SELECT sha256(concat_ws(',', s0, s1, s2, s3, size)) AS component_id, size FROM sums""")
+def _(t):
+    return component_digests(key_components(_keys(t), "doc_id", "k"), "doc_id").select("component_id", "size")
+
+
+@query("agg_34_sorted_ids", _COMPONENTS + "SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS component_id, count(*) AS size FROM comp GROUP BY root")
 def _(t):
     return component_ids(key_components(_keys(t), "doc_id", "k"), "doc_id").select("component_id", "size")
 
@@ -89,11 +144,16 @@ def _(t):
 
 
 def leakage_safe_split(docs: DataFrame, components: DataFrame, field: str, held: Sequence[str], record: str = "doc_id") -> DataFrame:
-    """Rows of the held values are the holdout; other rows of their components are blocked; the rest trains."""
+    """Rows of the held values are the holdout; other rows of their components are blocked; the rest trains.
+
+    A component is judged by one number, which goes back to its rows; those of a large
+    one are dealt to many tasks.
+    """
     rows = docs.join(components, record)
-    blocked = rows.where(F.col(field).isin(*held)).select("root").distinct().withColumn("_held", F.lit(1))
-    split = F.when(F.col(field).isin(*held), "holdout").when(F.col("_held") == 1, "blocked").otherwise("train")
-    return rows.join(blocked, "root", "left").withColumn("split", split).drop("_held")
+    own = F.coalesce(F.col(field).isin(*held), F.lit(False))
+    judged = rows.groupBy("root").agg(F.max(own.cast("int")).alias("_held"), F.count("*").alias("_size"))
+    split = F.when(own, "holdout").when(F.col("_held") == 1, "blocked").otherwise("train")
+    return join_spread(rows, judged, "root", "_size", docs.count(), record).withColumn("split", split).drop("_held", "_size")
 
 
 @query("win_17_split_overlap", _COMPONENTS + """, c AS (SELECT root, bool_or(source = 'src4') AND bool_or(source <> 'src4') AS crosses, bool_and(source = 'src4') AS held FROM comp JOIN documents USING (doc_id) GROUP BY root)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import hmac
 import io
 import json
@@ -130,6 +131,71 @@ def test_components(spark):
     assert ids.component_id == hashlib.sha256(b"a\nb\nc").hexdigest()
 
 
+def plain_components(rows):
+    """Roots of records by following links until none is new."""
+    by_key, by_record = {}, {}
+    for r, k in rows:
+        by_record.setdefault(r, set()).update({k} - {None})
+        by_key.setdefault(k, set()).add(r)
+    out = {}
+    for r in sorted(by_record):
+        ahead = [] if r in out else [r]
+        while ahead:
+            x = ahead.pop()
+            if x not in out:
+                out[x] = r
+                ahead += [y for k in by_record[x] for y in by_key[k]]
+    return out
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(7)
+    for n, m in ((60, 40), (300, 300)):
+        rows = [(rng.randrange(n), rng.choice([None, rng.randrange(m), rng.randrange(m)])) for _ in range(n)] + [(n + i, -1) for i in range(80)] + [(n + 100 + i, 1000 + i // 2) for i in range(61)] + [(n + 100 + i, 2000 + (i + 1) // 2) for i in range(61)]
+        out = leakage.key_components(spark.createDataFrame(rows, "r int, k int"), "r", "k")
+        assert {r.r: r.root for r in out.collect()} == plain_components(rows)
+    none = spark.createDataFrame([], "r int, k int")
+    assert leakage.key_components(none, "r", "k").count() == 0
+    assert leakage.join_pairs(spark.createDataFrame([(2, 1), (2, 3), (5, 5)], "a int, b int"), "a", "b").count() == 4
+
+
+def test_digests_of_components(spark):
+    """Members in any order and partition give one digest; other members another."""
+    rows = [(i % 3, f"m{i}") for i in range(60)] + [(9, f"m{i}") for i in range(0, 60, 3)]
+    one = {r.root: r for r in leakage.component_digests(spark.createDataFrame(rows, "root int, r string"), "r").collect()}
+    two = {r.root: r for r in leakage.component_digests(spark.createDataFrame(rows[::-1], "root int, r string").repartition(7), "r").collect()}
+    assert one == two and one[9].component_id == one[0].component_id and len({one[i].component_id for i in range(3)}) == 3 and one[1].size == 20
+
+
+def largest_share(spark, since, rows):
+    """The largest share of a stage's shuffled records that one task has read, over stages that read as many as ``rows``."""
+    store, worst = spark.sparkContext._jsc.sc().statusStore(), 0.0
+    for i in range(since, spark.sparkContext._jsc.sc().dagScheduler().nextStageId()):
+        try:
+            tasks = store.taskList(i, 0, 10_000)
+        except Exception:  # a stage that was skipped
+            continue
+        read = [tasks.apply(j).taskMetrics().get().shuffleReadMetrics().recordsRead() for j in range(tasks.size()) if tasks.apply(j).taskMetrics().isDefined()]
+        if sum(read) >= rows:
+            worst = max(worst, max(read) / sum(read))
+    return worst
+
+
+def test_hub_is_dealt(spark):
+    """A key that half of the records have makes no task with half of the rows."""
+    rows = spark.range(20_000).selectExpr("id AS r", "IF(id % 2 = 0, -1, id) AS k").union(spark.range(20_000).selectExpr("id AS r", "id + 100000 AS k"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        since = spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+        found = leakage.key_components(rows, "r", "k").groupBy("root").count().agg({"count": "max", "root": "count"}).first()
+        assert sorted(found) == [10_000, 10_001]
+        assert 0 < largest_share(spark, since, 15_000) < 0.2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_as_of_prefers_equal_times(spark):
     e = spark.createDataFrame([(1, 10), (2, 9), (3, 25)], "i int, t int")
     b = spark.createDataFrame([(10, "x"), (20, "y")], "at int, v string")
