@@ -122,100 +122,6 @@ def ngram_set(text: str | Column, width: int) -> Column:
     return F.array_distinct(ngrams(text, width))
 
 
-#: Bits of a hashed n-gram in its place in the order of rarity, and the largest count there.
-_GRAM_BITS, _MOST_HOLDERS = 44, (1 << 19) - 1
-
-
-def _gram_sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(k, text, n, g): g are the distinct hashes of a text's n-grams."""
-    hashes = F.array_distinct(F.transform(ngrams(text, width), lambda x: F.xxhash64(x)))
-    return df.select(F.col(key).alias("k"), F.col(text).alias("text"), hashes.alias("g")).withColumn("n", F.size("g"))
-
-
-def _gram_rows(sets: DataFrame) -> DataFrame:
-    return sets.select("k", "n", F.explode("g").alias("gram"))
-
-
-def _rarest(sets: DataFrame, held: DataFrame, total: int, least: float) -> DataFrame:
-    """(k, n, gram): as many of each set's rarest n-grams as hold one that a similar set shares.
-
-    ``held`` counts the holders of n-grams; those that it lacks come first and are shared
-    by none. A number of an n-gram's count and its hash's first bits stands for it; two
-    n-grams of one number only add candidates.
-    """
-    rows = join_spread(_gram_rows(sets), held, "gram", "holders", total, "k")
-    place = F.shiftleft(F.least("holders", F.lit(_MOST_HOLDERS)), _GRAM_BITS).bitwiseOR(F.shiftrightunsigned("gram", 64 - _GRAM_BITS))
-    whole = rows.groupBy("k", "n").agg(F.sort_array(F.collect_list(place)).alias("places"))
-    wanted = F.col("n") - F.ceil(F.col("n") * least) + 1 - (F.col("n") - F.size("places"))
-    return whole.select("k", "n", F.explode(F.slice("places", F.lit(1), F.greatest(wanted, F.lit(0)).cast("int"))).alias("gram"))
-
-
-def _sketches(sets: DataFrame) -> DataFrame:
-    """(k, n, sketch): 64 numbers of 64 bits, each n-gram turning one bit."""
-    bit = F.expr("shiftleft(1L, cast((gram >> 6) & 63 as int))")
-    words = _gram_rows(sets).groupBy("k", "n", F.col("gram").bitwiseAND(F.lit(63)).alias("w")).agg(F.bit_xor(bit).alias("x"))
-    given = words.groupBy("k", "n").agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m"))
-    return given.select("k", "n", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("sketch"))
-
-
-def _alike(pairs: DataFrame, x: DataFrame, y: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (k, m) whose sketches differ in no more bits than n-grams that similar sets don't share.
-
-    Only an n-gram that one set lacks can turn a bit of one sketch alone.
-    """
-    both = pairs.join(x.select("k", F.col("n").alias("na"), F.col("sketch").alias("sa")), "k").join(y.select(F.col("k").alias("m"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "m")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, a: n + a)
-    spare = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * least / (1 + least) - F.lit(1e-6))
-    return both.where(differ <= spare).select("k", "m")
-
-
-def _compared(pairs: DataFrame, x: DataFrame, y: DataFrame, width: int, least: float) -> DataFrame:
-    """(k, m, similarity) of the pairs (k, m) whose texts' sets, made anew for the pairs alone, are similar."""
-    both = pairs.join(x.select("k", F.col("text").alias("ta")), "k").join(y.select(F.col("k").alias("m"), F.col("text").alias("tb")), "m")
-    both = both.select("k", "m", ngram_set("ta", width).alias("ga"), ngram_set("tb", width).alias("gb"))
-    share = F.size(F.array_intersect("ga", "gb"))
-    return both.select("k", "m", (share / (F.size("ga") + F.size("gb") - share)).alias("similarity")).where(F.col("similarity") >= least)
-
-
-def similarity_join(left: DataFrame, right: DataFrame, a: str, b: str, text: str, width: int, least: float) -> DataFrame:
-    """(a, b, similarity) of pairs whose character n-gram sets have that Jaccard similarity.
-
-    Only the rarest n-grams of each set are joined, one of which two similar sets must
-    share; then each pair's sets are compared. Sets that hold a common n-gram are dealt
-    to several tasks. Equal texts are each paired: similar_classes takes them once.
-    """
-    x, y = _gram_sets(left, a, text, width), _gram_sets(right, b, text, width)
-    held = _gram_rows(x).union(_gram_rows(y)).groupBy("gram").agg(F.count("*").alias("holders"))
-    total = left.select(F.length(text).alias("n")).union(right.select(F.length(text))).agg(F.sum("n")).first()[0] or 0  # at least as many as n-grams
-    p, q = (_rarest(s, held, total, least).alias(n) for s, n in ((x, "p"), (y, "q")))
-    pairs = p.join(q, F.expr(f"p.gram = q.gram AND p.n >= q.n * {least} AND q.n >= p.n * {least}")).select(F.col("p.k").alias("k"), F.col("q.k").alias("m")).distinct()
-    pairs = _alike(pairs, _sketches(x), _sketches(y), least)
-    return _compared(pairs, x, y, width, least).select(F.col("k").alias(a), F.col("m").alias(b), "similarity")
-
-
-def similar_classes(df: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
-    """(key, class_id, n_links): each text's class and how many other rows it is similar to.
-
-    Rows of equal text are a class, named by its smallest key; only classes are
-    compared, and a link of two classes counts the rows of the other one. Rows whose
-    text is null or empty are left out.
-    """
-    rows = df.where(F.col(text) != "").select(key, F.sha2(F.col(text), 256).alias("_h"), F.col(text).alias("_t"))
-    classes = rows.groupBy("_h").agg(F.min(key).alias("class_id"), F.count("*").alias("_n"), F.first("_t").alias("_t"))
-    sets = _gram_sets(classes, "class_id", "_t", width)
-    held = _gram_rows(sets).groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
-    total = classes.agg(F.sum(F.length("_t"))).first()[0] or 0
-    rare = _rarest(sets, held, total, least)
-    fits = F.expr(f"p.gram = q.gram AND p.k < q.k AND p.n >= q.n * {least} AND q.n >= p.n * {least}")
-    pairs = rare.alias("p").join(rare.alias("q"), fits).select(F.col("p.k").alias("k"), F.col("q.k").alias("m")).distinct()
-    sketches = _sketches(sets)
-    links = _compared(_alike(pairs, sketches, sketches, least), sets, sets, width, least)
-    links = links.select(F.explode(F.array(F.struct(F.col("k").alias("a"), F.col("m").alias("b")), F.struct(F.col("m").alias("a"), F.col("k").alias("b")))).alias("l")).select("l.*")
-    others = links.join(classes.select(F.col("class_id").alias("b"), F.col("_n").alias("m")), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("m").alias("_links"))
-    told = classes.join(others, "class_id", "left").select("_h", "class_id", (F.coalesce("_links", F.lit(0)) + F.col("_n") - 1).alias("n_links"), "_n")
-    return join_spread(rows.select(key, "_h"), told, "_h", "_n", df.count(), key).select(key, "class_id", "n_links")
-
-
 def pair_lookup(pairs: DataFrame, table: DataFrame, x: str, y: str) -> DataFrame:
     """Join on an unordered pair: ``table`` has (low, high, ...)."""
     return pairs.withColumns({"low": F.least(x, y), "high": F.greatest(x, y)}).join(table, ["low", "high"], "left").drop("low", "high")
@@ -368,11 +274,6 @@ def _(t):
     return band_join(a, b, "ts", "other", 600).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query("jon_18_similarity")
-def _(t):
-    return similar_classes(t.documents, "doc_id", "text", 5, 0.85)
-
-
 @query("jon_19_small_product", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE length(r_name) = length(n_name)")
 def _(t):
     return t.region.crossJoin(F.broadcast(t.nation)).where(F.length("r_name") == F.length("n_name")).select("r_name", "n_name")  # fixed tables of 5 and 25 rows
