@@ -60,10 +60,8 @@ def transcript_key(c: str | Column) -> Column:
 
 
 def char_ngrams(c: str | Column, width: int) -> Column:
-    """Character n-grams with repeats; a shorter text has none."""
-    c = _col(c)
-    n = F.length(c)
-    return F.when(n < width, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(width))))
+    """Character n-grams with repeats, in one pass over the text; a shorter text has none."""
+    return F.regexp_extract_all(_col(c), F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1))
 
 
 def repetition_ratio(c: str | Column, width: int = 4) -> Column:

@@ -109,19 +109,6 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, seconds: int) -
     return near.join(right.withColumn("_bucket", number(b)), "_bucket").where(gap <= seconds * 1_000_000).drop("_bucket")
 
 
-def ngrams(text: str | Column, width: int) -> Column:
-    """Character n-grams with repeats; a shorter text is one, an empty one none."""
-    text = F.col(text) if isinstance(text, str) else text
-    n = F.length(text)
-    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1))  # one pass; substring would count from the start for each
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < width, F.array(text)).otherwise(grams)
-
-
-def ngram_set(text: str | Column, width: int) -> Column:
-    """Distinct character n-grams."""
-    return F.array_distinct(ngrams(text, width))
-
-
 def pair_lookup(pairs: DataFrame, table: DataFrame, x: str, y: str) -> DataFrame:
     """Join on an unordered pair: ``table`` has (low, high, ...)."""
     return pairs.withColumns({"low": F.least(x, y), "high": F.greatest(x, y)}).join(table, ["low", "high"], "left").drop("low", "high")
