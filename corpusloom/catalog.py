@@ -12,7 +12,7 @@ from corpusloom.registry import QUERIES, SQL
 #: Modules that register queries.
 MODULES = (
     "operators.profile", "operators.projections", "operators.quality", "operators.joins", "operators.aggregates", "operators.ranking",
-    "operators.sets", "operators.leakage", "operators.claims", "operators.similar", "functions.text", "functions.dialogue", "functions.chat", "functions.hashing", "functions.dates", "operators.grading", "sources.files", "sources.generated", "streaming.sessions", "streaming.ordered", "streaming.upserts", "streaming.replays", "plans.artifacts", "plans.envelopes", "plans.merkle",
+    "operators.sets", "operators.leakage", "operators.claims", "operators.similar", "operators.scoring", "functions.text", "functions.dialogue", "functions.chat", "functions.hashing", "functions.dates", "operators.grading", "sources.files", "sources.generated", "streaming.sessions", "streaming.ordered", "streaming.upserts", "streaming.replays", "plans.artifacts", "plans.envelopes", "plans.merkle",
 )
 
 for _name in MODULES:

@@ -197,11 +197,17 @@ def _(t):
     return rule_matches(tags, "user_id", "tags", rules)
 
 
-@query("flt_13_recomputed_rules", "SELECT count(*) AS n, count(*) FILTER (l_discount > 0.05 AND l_quantity < 25) AS n_both FROM lineitem")
+@query("flt_13_recomputed_rules", """
+WITH r AS (SELECT l_returnflag, list_filter([CASE WHEN l_discount > 0.05 THEN 'cheap' END, CASE WHEN l_quantity < 25 THEN 'small' END], lambda x: x IS NOT NULL) AS own,
+    list_filter([CASE WHEN round(l_discount, 1) > 0.05 THEN 'cheap' END, CASE WHEN l_extendedprice < 35000 THEN 'small' END], lambda x: x IS NOT NULL) AS given FROM lineitem)
+SELECT l_returnflag, count(*) FILTER (own = given) AS n_equal, count(*) FILTER (len(list_filter(own, lambda x: NOT list_contains(given, x))) > 0) AS n_missing, count(*) FILTER (len(list_filter(given, lambda x: NOT list_contains(own, x))) > 0) AS n_extra FROM r GROUP BY l_returnflag""")
 def _(t):
-    rules = {"cheap": F.col("l_discount") > 0.05, "small": F.col("l_quantity") < 25}
-    rows = t.lineitem.select(F.array_sort(reasons(rules)).alias("expected"), F.array_sort(reasons(rules)).alias("supplied"))
-    return rows.agg(F.count_if(F.col("expected") == F.col("supplied")).alias("n"), F.count_if(F.size("supplied") == 2).alias("n_both"))
+    """Rules that hold of the line items, against a set supplied from rounded discounts and from prices."""
+    own = reasons({"cheap": F.col("l_discount") > 0.05, "small": F.col("l_quantity") < 25})
+    given = reasons({"cheap": F.round("l_discount", 1) > 0.05, "small": F.col("l_extendedprice") < 35000})
+    rows = t.lineitem.select("l_returnflag", F.array_sort(own).alias("own"), F.array_sort(given).alias("given"))
+    lacks = lambda a, b: F.count_if(F.size(F.array_except(a, b)) > 0)
+    return rows.groupBy("l_returnflag").agg(F.count_if(F.col("own") == F.col("given")).alias("n_equal"), lacks("own", "given").alias("n_missing"), lacks("given", "own").alias("n_extra"))
 
 
 @query("flt_14_fact_consistency", "SELECT count(*) AS n, count(*) FILTER (o_totalprice > 0 AND o_orderstatus IN ('F', 'O', 'P')) AS n_valid FROM orders")

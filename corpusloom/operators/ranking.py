@@ -235,10 +235,10 @@ def _(t):
 
 
 @query("win_15_group_pairs", f"""
-WITH s AS (SELECT source, doc_id, (doc_id % 2)::INT AS side, row_number() OVER (PARTITION BY source, doc_id % 2 ORDER BY {_H}) AS r FROM documents)
+WITH s AS (SELECT source, doc_id, (lang = 'en')::INT AS side, row_number() OVER (PARTITION BY source, lang = 'en' ORDER BY {_H}) AS r FROM documents)
 SELECT source, max(doc_id) FILTER (side = 0) AS a, max(doc_id) FILTER (side = 1) AS b FROM s WHERE r = 1 GROUP BY source HAVING count(*) = 2""")
 def _(t):
-    rows = _ranked(t).withColumn("side", F.col("doc_id") % 2)
+    rows = _ranked(t).withColumn("side", (F.col("lang") == "en").cast("int"))
     first = first_of_each(rows, ["source", "side"], ["h"])
     pairs = first.groupBy("source").agg(F.max(F.when(F.col("side") == 0, F.col("doc_id"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("doc_id"))).alias("b"))
     return pairs.where("a IS NOT NULL AND b IS NOT NULL")
@@ -308,10 +308,10 @@ def _(t):
     return _ranked(t).select("doc_id", ((F.row_number().over(Window.partitionBy("source").orderBy("h")) - 1) % 2).alias("side"))
 
 
-@query("win_26_repeated_reply", "SELECT conv_id, turn FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE role = 'assistant') WHERE text = p OR length(text) = length(p)")
+@query("win_26_repeated_reply", "SELECT conv_id, turn FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE role = 'assistant') WHERE left(text, 2) = left(p, 2)")
 def _(t):
     rows = t.conversations.where("role = 'assistant'").withColumn("p", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return rows.where((F.col("text") == F.col("p")) | (F.length("text") == F.length("p"))).select("conv_id", "turn")
+    return rows.where(F.left("text", F.lit(2)) == F.left("p", F.lit(2))).select("conv_id", "turn")
 
 
 @query("win_27_priority", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 40")

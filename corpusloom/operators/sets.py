@@ -53,9 +53,9 @@ def _(t):
     return difference_counts(t.lineitem.select(F.col("l_orderkey").alias("k")), t.orders.select(F.col("o_orderkey").alias("k")))
 
 
-@query("set_05_undecided", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("set_05_undecided", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL)")
 def _(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.documents.join(t.labels.where("toxic IS NOT NULL"), "doc_id", "left_anti").select("doc_id")
 
 
 @query("set_06_union", "SELECT axis, count(*) AS n FROM (SELECT 'customer' AS axis FROM customer UNION ALL SELECT 'supplier' FROM supplier) GROUP BY axis")
