@@ -23,8 +23,11 @@ CHUNK = 4 << 20
 #: Sets that may be broadcast as a list of three numbers each, 12 MB.
 BROADCAST_IDS = 500_000
 
-#: Bits of an n-gram in its place in the order of rarity, and the largest count there.
-_GRAM_BITS, _MOST_HOLDERS = 44, (1 << 19) - 1
+#: Buckets of hashed n-grams whose sizes order n-grams by rarity: two megabytes for each task.
+BUCKETS = 1 << 18
+#: N-grams of a set, the commonest of its rare ones, that link it to another at first.
+LEADING = 8
+
 _NO_ID = -(1 << 63)
 
 
@@ -59,19 +62,20 @@ def _spare(n: int, percent: int) -> int:
 
 
 def _shown(n: int, percent: int) -> int:
-    """N-grams that a set shows: twice as many as may be lacking, and one."""
-    return min(n, 2 * _spare(n, percent) + 1)
+    """N-grams that a set shows: as many as may be lacking, half as many more, and one."""
+    return min(n, _spare(n, percent) + _spare(n, percent) // 2 + 1)
 
 
 def _least_shared(n: Column, percent: int) -> Column:
     """How many shown n-grams linked sets have in common at least.
 
     Of the first q n-grams in one order, a set shares all but its spare ones with a set
-    linked to it; the one whose q-th comes first shows them all. The smaller set may be
-    as small as ceil(t n).
+    linked to it; the one whose q-th comes first shows them all. So half the spare ones
+    of the smaller set, and one, are shared; it may be as small as ceil(t n).
     """
     small = F.ceil(n * percent / 100 - F.lit(1e-9))
-    return F.greatest(F.lit(1), F.least(small - F.ceil(small * percent / 100 - F.lit(1e-9)) + 1, F.ceil(small * percent / 100 - F.lit(1e-9))))
+    kept = F.ceil(small * percent / 100 - F.lit(1e-9))
+    return F.greatest(F.lit(1), F.least(F.floor((small - kept) / 2) + 1, kept))
 
 
 def _summaries(k: int, percent: int):
@@ -95,11 +99,35 @@ def _set_ids(offsets: np.ndarray, found: np.ndarray) -> pa.Array:
     return pa.array([None if x is None else x - (1 << 64) * (x >> 63) for x in ids], pa.int64())
 
 
-def _fragments(k: int, bits: int):
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams.view(np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _bucket_sizes(k: int):
+    """How many n-grams of a task's wanted sets fall into each bucket of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in chunks(batches, "text", CHUNK):
+            total += np.bincount(_bucket(shingle_sets(texts(batch, "text"), k)[1]), minlength=BUCKETS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "held"])
+
+    return run
+
+
+def _rare(grams: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[list[int], float]:
+    """A set's rarest n-grams, one of which a linked set holds among its own, rarest first; and how common all are, as a mean of logarithms."""
+    own = sizes[_bucket(grams)]
+    return grams[np.lexsort((grams, own))[: _spare(len(grams), percent) + 1]].tolist(), float(np.log2(own).mean())
+
+
+def _fragments(k: int, bits: int, percent: int, order):
     """Each wanted set, cut by its n-grams' first ``bits`` bits.
 
     The next six bits of an n-gram turn a bit of its fragment's parity; the parities of
-    all fragments are the set's sketch, which its first row carries.
+    all fragments are the set's sketch, which its first row carries, beside its rarest
+    n-grams by the bucket sizes of ``order``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +150,10 @@ def _fragments(k: int, bits: int):
                 parity[rows, piece[starts]] = np.bitwise_xor.reduceat(turned, starts).view(np.int64)
             first = np.diff(rows, prepend=-1) > 0
             sketch = pa.array([own.tolist() if x else None for x, own in zip(first.tolist(), parity[rows])], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n[rows].astype(np.int64)), pa.array(piece[starts]), sketch, lists], names=["set_id", "n", "fragment", "sketch", "grams"])
+            told = [_rare(found[offsets[i] : offsets[i + 1]], order.value, percent) if x else (None, None) for x, i in zip(first.tolist(), rows.tolist())]
+            rare, weight = pa.array([x for x, _ in told], pa.list_(pa.int64())), pa.array([x for _, x in told], pa.float64())
+            columns = [ids, pa.array(n[rows].astype(np.int64)), pa.array(piece[starts]), sketch, rare, weight, lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "n", "fragment", "sketch", "rare", "weight", "grams"])
 
     return run
 
@@ -163,23 +194,22 @@ def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
 
 def _stars(rows: DataFrame, total: int, percent: int) -> DataFrame:
     """Pairs of each n-gram's chosen set, the one of the commonest n-grams, with its other sets."""
-    chosen = rows.groupBy("gram").agg(F.max(F.struct("weight", "set_id", "n", "place", "root")).alias("c"), F.count("*").alias("held"))
-    both = join_spread(rows, chosen, "gram", "held", total, "set_id")
-    both = both.select(*rows.columns, F.col("c.set_id").alias("other"), F.col("c.root").alias("other_root"), F.struct(F.col("c.n"), F.col("c.place")).alias("x"))
-    both = both.withColumn("y", F.struct("n", "place")).where(F.col("root") != F.col("other_root"))
-    both = both.where(_could_link("x", "y", percent))
+    chosen = rows.groupBy("gram").agg(F.max(F.struct("weight", "set_id", "n", "place")).alias("c"), F.count("*").alias("held")).where("held > 1")
+    both = join_spread(rows, chosen, "gram", "held", total, "set_id").where(F.col("set_id") != F.col("c.set_id"))
+    both = both.select("set_id", F.col("c.set_id").alias("other"), F.struct("n", "place").alias("x"), F.struct(F.col("c.n"), F.col("c.place")).alias("y")).where(_could_link("x", "y", percent))
     return both.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
 
 
-def _rest(rows: DataFrame, total: int, percent: int) -> DataFrame:
+def _rest(rows: DataFrame, total: int, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs that share an n-gram and may still link, of different components.
 
-    One side are sets outside the n-gram's chosen component, so the sets that already
-    form one aren't paired with each other.
+    Only n-grams that sets of several components hold matter. One side are sets outside
+    the n-gram's chosen component, so the sets that already form one aren't paired
+    with each other.
     """
-    chosen = rows.groupBy("gram").agg(F.max_by("root", F.struct("weight", "set_id")).alias("main"), F.count("*").alias("held"))
-    outside = join_spread(rows, chosen, "gram", "held", total, "set_id").where(F.col("root") != F.col("main")).select(*rows.columns)
-    pair = outside.alias("x").join(rows.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & _could_link("x", "y", percent))
+    held = rows.groupBy("gram").agg(F.max_by("root", F.struct("weight", "set_id")).alias("main"), F.count("*").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = scratch.keep(join_spread(rows, held.where("lo <> hi").select("gram", "main", "held"), "gram", "held", total, "set_id"), "jaccard-mixed")
+    pair = mixed.where("root <> main").alias("x").join(mixed.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & _could_link("x", "y", percent))
     return pair.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
@@ -190,21 +220,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
     is at least ``percent`` times the union; component_id is the smallest doc_id that
     links reach, ``root`` a number of the component, and ``content`` a hash of the text. Equal sets are one class from the start. Then:
 
-    1. Each class shows the first n-grams of its set in the order of hashes, a fifth of
+    1. Each class shows the first n-grams of its set in the order of hashes, 15 in 100 of
        them where t is 0.9. A class of which other classes show fewer than any linked
        one would can't link and is done; so shared passages alone don't go further.
-    2. For the others, n-grams are ordered by how many of them hold them, rarest first,
-       and the same is done with the rare ones, which copies of a passage don't share.
-       A number of that count and the n-gram's first bits stands for it; two n-grams of
-       one number only add candidates. Sizes and places of a shared n-gram rule out
+    2. For the others, n-grams are ordered by the sizes of their buckets of hashes,
+       rarest first: a table of fixed size that every task gets, so n-grams aren't joined
+       with their counts. One of the rarest of a set, no more than it may lack and one,
+       is among those of a linked set. Sizes and places of a shared n-gram rule out
        most pairs.
     3. Candidate pairs are verified exactly: the order of n-grams is cut into
        2**fragment_bits fragments, a pair's overlap is counted in each apart, and the counts summed.
        A set's sketch, one bit of parity for several n-grams, rules out pairs that
        differ too much before their fragments meet.
-       Pairs aren't listed within a group: every n-gram first links its sets to one of
-       them, and then only pairs of different components are listed. So no link between
-       components is lost.
+       Pairs aren't listed within a group: the commonest of a set's rare n-grams first
+       link it to one set each, and then only pairs of different components are listed,
+       by all rare n-grams that several components hold. So no link between components
+       is lost.
 
     A null or empty text has no shingle and is a component of its own. Rows of one
     doc_id are apart; a row that has no id in a component without any gets null.
@@ -213,44 +244,42 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
     rows = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    about = materialise(rows.mapInArrow(_summaries(k, percent), "doc_id long, content long, set_id long, n long, head array<long>"), "jaccard-sets")
-    sets = about.where("n > 0")
+    shown_sets = Scratch(docs.sparkSession)
+    shown = shown_sets.keep(rows.mapInArrow(_summaries(k, percent), "doc_id long, content long, set_id long, n long, head array<long>"), "jaccard-heads")
+    about = materialise(shown.drop("head"), "jaccard-sets")
+    sets = shown.where("n > 0")
     classes = sets.groupBy("set_id", "n").agg(F.first("head").alias("head"))
     heads = classes.select("set_id", "n", F.explode("head").alias("gram"))
     shared = heads.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
-    shown = sets.agg(F.sum(F.size("head"))).first()[0] or 0
-    near = join_spread(heads, shared, "gram", "holders", shown, "set_id").groupBy("set_id", "n").agg(F.count("*").alias("shared"))
+    n_shown = sets.agg(F.sum(F.size("head"))).first()[0] or 0
+    near = join_spread(heads, shared, "gram", "holders", n_shown, "set_id").groupBy("set_id", "n").agg(F.count("*").alias("shared"))
     near = near.where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("set_id")
-    members = sets.groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("content"))).alias("m")).select("set_id", "m.*")
+    members = about.where("n > 0").groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("content"))).alias("m")).select("set_id", "m.*")
     near = scratch.keep(near.join(members, "set_id"), "jaccard-near")
+    shown_sets.discard()
     n_near = near.count()
     picked = rows.select("id", "content", "text").join(F.broadcast(near) if n_near <= broadcast_ids else near, ["id", "content"]).select("set_id", "text")
-    parts = picked.mapInArrow(_fragments(k, fragment_bits), "set_id long, n long, fragment long, sketch array<long>, grams array<long>")
+    sizes = np.zeros(BUCKETS, np.int64)
+    for r in picked.select("text").mapInArrow(_bucket_sizes(k), "bucket long, held long").groupBy("bucket").agg(F.sum("held").alias("held")).collect():
+        sizes[r["bucket"]] = r["held"]
+    schema = "set_id long, n long, fragment long, sketch array<long>, rare array<long>, weight double, grams array<long>"
+    parts = picked.mapInArrow(_fragments(k, fragment_bits, percent, docs.sparkSession.sparkContext.broadcast(sizes)), schema)
     parts = scratch.keep(parts, "jaccard-fragments")
     if not parts.groupBy("set_id", "fragment").count().where("count > 1").isEmpty():  # rows of one id and text
         parts = scratch.keep(parts.dropDuplicates(["set_id", "fragment"]), "jaccard-fragments")
-    every = parts.select("set_id", "n", F.explode("grams").alias("gram"))
-    common = every.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
-    total = parts.agg(F.sum(F.size("grams"))).first()[0] or 0
-    place = F.shiftleft(F.least("holders", F.lit(_MOST_HOLDERS)), _GRAM_BITS).bitwiseOR(F.shiftrightunsigned("gram", 64 - _GRAM_BITS))
-    held = join_spread(every, common, "gram", "holders", total, "set_id").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(place)).alias("held"))
-    weight = F.aggregate("held", F.lit(0.0), lambda s, x: s + F.log2(F.shiftright(x, _GRAM_BITS).cast("double"))) / F.col("n")
-    before = F.col("n") - F.size("held")  # n-grams that no other set holds come first
-    last = F.col("n") - F.ceil(F.col("n") * percent / 100 - F.lit(1e-9))
-    early = F.slice("held", F.lit(1), F.greatest(last - before + 1, F.lit(0)).cast("int"))
-    placed = held.select("set_id", "n", weight.alias("weight"), before.alias("before"), F.posexplode(early).alias("i", "gram"))
-    rare = scratch.keep(placed.select("set_id", "n", "weight", "gram", (F.col("before") + F.col("i")).cast("long").alias("place")), "jaccard-places")
-    n_rare = rare.count()
-    sketches = parts.where("sketch IS NOT NULL").select("set_id", "n", "sketch")
+    firsts = parts.where("sketch IS NOT NULL").select("set_id", "n", "weight", "sketch", "rare")
+    total = firsts.agg(F.sum(F.size("rare"))).first()[0] or 0
+    sketches = firsts.select("set_id", "n", "sketch")
     found = lambda pairs: scratch.keep(_linked(_similar_sketches(pairs, sketches, percent), parts, percent), "jaccard-links")
-    links = found(_stars(rare.withColumn("root", F.col("set_id")), n_rare, percent))
-    roots = components(links)
-    rooted = rare.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    links = found(_rest(rooted, n_rare, percent))
+    leading = firsts.select("set_id", "n", "weight", F.size("rare").alias("all"), F.posexplode("rare").alias("place", "gram")).where(F.col("place") >= F.col("all") - LEADING).drop("all")
+    roots = components(found(_stars(leading, n_near * LEADING, percent)))
+    rooted = firsts.select("set_id", "n", "weight", "rare").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rooted = scratch.keep(rooted, "jaccard-rooted").select("set_id", "n", "weight", "root", F.posexplode("rare").alias("place", "gram"))
+    links = found(_rest(rooted, total, percent, scratch))
     if not links.isEmpty():
         roots = components(links.union(roots.select("node", "root")))
     scratch.discard()
-    joined = about.drop("head").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    joined = about.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     worded = joined.where("n > 0")
     least = worded.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
     columns = ["doc_id", "content", F.col("n").alias("n_shingles"), "root"]
