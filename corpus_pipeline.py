@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import materialise
+from corpusloom.llm._store import Scratch, materialise
 from corpusloom.llm.decontamination import contaminated, find_contamination
 from corpusloom.llm.jaccard_join import jaccard_components
 from corpusloom.llm.line_dedup import dedup_lines
@@ -125,10 +125,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each one's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to documents; each one's rows are written and read again, and those of the one before deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        held = Scratch(spark)
+        docs = held.keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before.discard()
+        before = held
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
