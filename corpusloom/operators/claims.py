@@ -201,16 +201,14 @@ def claim_errors(claimed: DataFrame, facts: DataFrame, keys: Sequence[str], on:
     own = facts.where("value IS NOT NULL").groupBy(*on, "role").agg(F.collect_set("value").alias("_right"))  # few values of one role and key
     known = current.join(own, [*on, "role"], "left")
     right = F.coalesce(F.exists("_right", lambda v: _same(F.col("value"), v)), F.lit(False))
-    denied = known.where((F.col("polarity") == "denied") & right).select(*keys, F.concat_ws(":", F.lit("denied"), "role", "value").alias("code"))
-    wrong = known.where((F.col("polarity") == "asserted") & ~right).select(*keys, "role", "value", F.col("_right").isNotNull().alias("_has"))
     others = facts.groupBy(*on, "value").agg(F.min("role").alias("_other"))
-    wrong = wrong.join(others, [*on, "value"], "left")
-    elsewhere = F.col("_other").isNotNull()
+    known = known.withColumn("_ok", right == (F.col("polarity") == "asserted")).where("NOT _ok").join(others, [*on, "value"], "left")
+    elsewhere, has = F.col("_other").isNotNull(), F.col("_right").isNotNull()
     code = (
-        F.when(elsewhere & F.col("role").isin(*wholes), F.concat_ws(":", F.lit("part_as_whole"), "role", "_other")).when(elsewhere, F.concat_ws(":", F.lit("swapped"), "role", "_other"))
-        .when(F.col("_has"), F.concat_ws(":", F.lit("confused"), "role", "value")).otherwise(F.concat_ws(":", F.lit("unfounded"), "role", "value"))
+        F.when(F.col("polarity") == "denied", F.concat_ws(":", F.lit("denied"), "role", "value")).when(elsewhere & F.col("role").isin(*wholes), F.concat_ws(":", F.lit("part_as_whole"), "role", "_other"))
+        .when(elsewhere, F.concat_ws(":", F.lit("swapped"), "role", "_other")).when(has, F.concat_ws(":", F.lit("confused"), "role", "value")).otherwise(F.concat_ws(":", F.lit("unfounded"), "role", "value"))
     )
-    return wrong.select(*keys, code.alias("code")).union(denied)
+    return known.select(*keys, code.alias("code"))
 
 
 def unprovided(mentions: DataFrame, facts: DataFrame, keys: Sequence[str], on: Sequence[str] | None = None) -> DataFrame:
