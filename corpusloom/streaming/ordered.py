@@ -6,6 +6,7 @@ import contextlib
 import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from types import SimpleNamespace
 from typing import Any
 
 import pandas as pd
@@ -13,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from corpusloom.plans.scratch import new_path
+from corpusloom.plans.scratch import Scratch, new_path
 from corpusloom.registry import query
 from corpusloom.streaming.sessions import _BEGIN, _take, intake_events
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Parts of a stream's keys, and events for which the queries' streams have one.
+SLOTS, SLOT_EVENTS = 1024, 4096
 
 
 @dataclass(frozen=True)
@@ -60,60 +63,79 @@ def _events(rows: DataFrame, key: str, time: str, order: str) -> DataFrame:
 
 
 class OrderedProcessor(StatefulProcessor):
-    """Holds events until the watermark has passed them and then folds them in their order.
+    """Holds events until the watermark has passed them and then folds them in their order, for all keys of a slot.
 
-    A list state has the waiting events, a value state the fold's state and its last
-    time; timers of event time wake the key when events are due or its time runs out.
+    One list state has the waiting events and one the keys' states and last times, each
+    read and written as a whole; one timer of event time wakes the slot when its next event
+    is due or the time of its next key runs out.
     """
 
-    def __init__(self, fold: Fold):
-        self.fold = fold
+    def __init__(self, fold: Fold, kind: str):
+        self.fold, self.kind = fold, kind
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, nth long, event string")
-        self.held = handle.getValueState("held", "state string, last long")
+        self.waiting = handle.getListState("waiting", f"key {self.kind}, at long, nth long, event string")
+        self.held = handle.getListState("held", f"key {self.kind}, state string, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        passed, out, fresh = timerValues.getCurrentWatermarkInMs() * 1000, [], []
         for part in rows:
             for r in part.itertuples(index=False):
+                k = None if r.key is None or r.key != r.key else r.key
                 if r.at < passed:
-                    out += [self.fold.late(key[0], int(r.at), json.loads(r.event))] if self.fold.late else []
+                    out += [self.fold.late(k, int(r.at), json.loads(r.event))] if self.fold.late else []
                 else:
-                    self.waiting.appendValue((int(r.at), int(r.nth), r.event))
-                    self.handle.registerTimer(r.at // 1000 + 1)
+                    fresh.append((k, int(r.at), int(r.nth), r.event))
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._wake(min(x[1] for x in fresh) // 1000 + 1, -1)
         yield pd.DataFrame(out, columns=self.fold.names())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        passed, out = timerValues.getCurrentWatermarkInMs() * 1000, []
-        every = [tuple(x) for x in self.waiting.get()]
-        due = sorted(x for x in every if x[0] < passed)
-        state, last = (lambda v: (json.loads(v[0]), v[1]))(self.held.get()) if self.held.exists() else (None, None)
-        for at, _, event in due:
-            state, more = self.fold.take(key[0], state, last, at, json.loads(event))
+        mark = timerValues.getCurrentWatermarkInMs()
+        passed, out = mark * 1000, []
+        due, left = [], []
+        for x in self.waiting.get():
+            (due if x[1] < passed else left).append(tuple(x))
+        held = {k: (json.loads(state), last) for k, state, last in self.held.get()}
+        for k, at, _, event in sorted(due, key=lambda x: x[1:]):
+            state, last = held.get(k, (None, None))
+            state, more = self.fold.take(k, state, last, at, json.loads(event))
             out += more
-            last = at
-        if due:
-            left = [x for x in every if x[0] >= passed]
-            if left:
-                self.waiting.put(left)
-            else:
-                self.waiting.clear()
-        over = self.fold.end(key[0], state, last, passed, strictly=True)
-        if over:
-            out += over
-            self.held.clear()
-        elif due:
-            self.held.update((json.dumps(state), last))
-            if self.fold.ttl is not None:
-                self.handle.registerTimer((last + self.fold.ttl * 1_000_000) // 1000 + 1)
+            held[k] = state, at
+        for k, (state, last) in list(held.items()):
+            over = self.fold.end(k, state, last, passed, strictly=True)
+            if over:
+                out += over
+                del held[k]
+        _put(self.waiting, left)
+        _put(self.held, [(k, json.dumps(state), last) for k, (state, last) in held.items()])
+        times = [x[1] for x in left] + ([last + self.fold.ttl * 1_000_000 for _, last in held.values()] if self.fold.ttl is not None else [])
+        if times:
+            self._wake(min(times) // 1000 + 1, mark)
         yield pd.DataFrame(out, columns=self.fold.names())
 
+    def _wake(self, at: int, mark: int) -> None:
+        """One timer later than ``mark``, the earliest: those before it go off in this batch, and then set the next one."""
+        before = [x for x in self.handle.listTimers() if x > mark]
+        if before and min(before) <= at:
+            return
+        for x in before:
+            self.handle.deleteTimer(x)
+        self.handle.registerTimer(at)
+
     def close(self) -> None:
         pass
 
 
+def _put(state, rows: list[tuple]) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 @contextlib.contextmanager
 def stateful(spark: SparkSession) -> Iterator[None]:
     """Streams that begin in here keep their state in RocksDB, which list states and timers need."""
@@ -125,14 +147,18 @@ def stateful(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PROVIDER, before)
 
 
-def fold_stream(events: DataFrame, key: str, time: str, order: str, fold: Fold, delay: str = "10 minutes") -> DataFrame:
+def fold_stream(events: DataFrame, key: str, time: str, order: str, fold: Fold, delay: str = "10 minutes", slots: int = SLOTS) -> DataFrame:
     """The fold's outputs over a stream: those of fold_table for any cut into micro-batches, as far as the watermark has come.
 
     Events up to ``delay`` behind the newest wait for the watermark; later ones are the
-    fold's late output. To be started within stateful().
+    fold's late output. Keys are dealt to ``slots`` by their hash, and a slot's waiting
+    events and states are read at once, since a key by itself costs many calls between
+    Python and the state store: some thousands of them should fall to a slot. A running
+    stream keeps its number. To be started within stateful().
     """
     rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-    return _events(rows, key, time, order).groupBy("key").transformWithStateInPandas(OrderedProcessor(fold), fold.schema, "append", "EventTime")
+    dealt = _events(rows, key, time, order).withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)))
+    return dealt.groupBy("slot").transformWithStateInPandas(OrderedProcessor(fold, events.schema[key].dataType.simpleString()), fold.schema, "append", "EventTime")
 
 
 def fold_table(events: DataFrame, key: str, time: str, order: str, fold: Fold, until: int | None = None) -> DataFrame:
@@ -160,7 +186,7 @@ def intake_fold(ttl: int = 1800) -> Fold:
     """The intake machine: decisions, and as ``rejects`` what it refuses, as stale events and those of closed sessions, and what came late."""
 
     def step(state: list, key: str, at: int, event: dict) -> tuple[list, list[tuple]]:
-        row = pd.Series({"ordinal": event["ordinal"], "kind": event["kind"], "field": event.get("field"), "value": event.get("value"), "expected": event.get("expected")}, dtype=object)
+        row = SimpleNamespace(ordinal=event["ordinal"], kind=event["kind"], field=event.get("field"), value=event.get("value"), expected=event.get("expected"))
         after, (_, nth, phase, revision, decision, accepted) = _take(key, tuple(state), row)
         return list(after), [(key, at, nth, phase, revision, decision, "decisions" if accepted else "rejects")]
 
@@ -188,44 +214,52 @@ def arrivals(rows: DataFrame, parts: Sequence[str], path: str) -> None:
         rows.where(part).coalesce(1).write.mode("append").json(path)
 
 
-def run_through(spark: SparkSession, path: str, schema: str, build: Callable[[DataFrame], DataFrame], base: str, sink: Callable[[DataFrame, int], None] | None = None, files: int = 1) -> DataFrame | None:
-    """Read all files of ``path``, some at a time, and write what ``build`` makes of them: to a table that is returned, or by ``sink``."""
+def run_through(spark: SparkSession, path: str, schema: str, build: Callable[[DataFrame], DataFrame], base: str, sink: Callable[[DataFrame, int], None] | None = None, files: int | None = 1) -> DataFrame | None:
+    """Read all files of ``path``, some or all (None) at a time, and write what ``build`` makes of them: to a table that is returned, or by ``sink``."""
+    source = spark.readStream.schema(schema)
+    source = source.option("maxFilesPerTrigger", str(files)) if files else source
     with stateful(spark):
-        out = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).json(path)).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint")
+        out = build(source.json(path)).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint")
         running = (out.foreachBatch(sink) if sink else out.format("parquet").option("path", f"{base}/out")).start()
         running.awaitTermination()
     return None if sink else spark.read.parquet(f"{base}/out")
 
 
+def run_parts(rows: DataFrame, parts: Sequence[str], end: tuple, schema: str, build: Callable[[DataFrame, int], DataFrame], base: str) -> DataFrame:
+    """The output of a stream of which the rows of each condition arrive after those before it, and ``end`` last.
+
+    Every part is written in as many files as ``rows`` has tasks, and the stream, which goes
+    on from its checkpoint, reads those at once. ``build`` gets the stream and its slots.
+    """
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
+    rows = scratch.keep(rows, "stream-rows")
+    slots = max(16, rows.count() // SLOT_EVENTS)
+    for part in (*map(rows.where, parts), spark.createDataFrame([end], schema)):
+        part.write.mode("append").json(f"{base}/in")
+        out = run_through(spark, f"{base}/in", schema, lambda s: build(s, slots), base, files=None)
+    scratch.discard()
+    return out
+
+
 _FAR = "2100-01-01 00:00:00"
 _INTAKE = "session string, ordinal long, kind string, field string, value string, expected long, ts string"
 
 
 def timed_intake(t) -> DataFrame:
     """The event table as intake events with their times; every fifth expects a revision of its own making."""
-    rows = intake_events(t).join(_session_times(t), ["session", "ordinal"])
+    rows = intake_events(t, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
     return rows.withColumn("expected", F.when(F.col("ordinal") % 5 == 0, F.col("ordinal")))
 
 
-def _session_times(t) -> DataFrame:
-    from pyspark.sql import Window
-
-    session = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "MMdd"))
-    nth = F.row_number().over(Window.partitionBy("session").orderBy("ts", "event_id")).cast("long")
-    return t.events.withColumn("session", session).select("session", nth.alias("ordinal"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
-
-
 @query("stm_05_stream_intake")
 def _(t):
     """A month of intake events as a stream of ten-day parts with a late straggler of each session of the first day: decisions, rejects and ended sessions."""
-    base = new_path(t.spark, "intake-stream")
-    rows = timed_intake(t)
     straggler = "ts < '2024-01-02' AND ordinal = 2"
     days = [f"ts >= '2024-01-{a:02d}' AND ts < '2024-01-{b:02d}'" for a, b in ((1, 11), (11, 21))] + ["ts >= '2024-01-21'"]
     parts = [f"{days[0]} AND NOT ({straggler})", days[1], f"{days[2]} OR {straggler}"]
-    arrivals(rows.select(*(c.split()[0] for c in _INTAKE.split(", "))), parts, f"{base}/in")
-    arrivals(t.spark.createDataFrame([("-", 0, "start", None, None, None, _FAR)], _INTAKE), ["true"], f"{base}/in")
-    out = run_through(t.spark, f"{base}/in", _INTAKE, lambda s: fold_stream(s, "session", "ts", "ordinal", intake_fold(), "2 days"), base)
+    rows = timed_intake(t).select(*(c.split()[0] for c in _INTAKE.split(", ")))
+    build = lambda s, slots: fold_stream(s, "session", "ts", "ordinal", intake_fold(), "2 days", slots)
+    out = run_parts(rows, parts, ("-", 0, "start", None, None, None, _FAR), _INTAKE, build, new_path(t.spark, "intake-stream"))
     return out.where("session <> '-'")
 
 
@@ -235,9 +269,8 @@ _LIMITED = "user_id long, nth long, ts string"
 @query("stm_06_stream_limit")
 def _(t):
     """The limiter over the event table as a stream of three parts; its rows are those of stm_06_rate_limit."""
-    base = new_path(t.spark, "limit-stream")
     rows = t.events.select("user_id", F.col("event_id").alias("nth"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
-    arrivals(rows, ["ts < '2024-01-12'", "ts >= '2024-01-12' AND ts < '2024-01-20'", "ts >= '2024-01-20'"], f"{base}/in")
-    arrivals(t.spark.createDataFrame([(-1, -1, _FAR)], _LIMITED), ["true"], f"{base}/in")
-    out = run_through(t.spark, f"{base}/in", _LIMITED, lambda s: fold_stream(s, "user_id", "ts", "nth", limiter_fold(2, 3600), "1 day"), base)
+    parts = ["ts < '2024-01-12'", "ts >= '2024-01-12' AND ts < '2024-01-20'", "ts >= '2024-01-20'"]
+    build = lambda s, slots: fold_stream(s, "user_id", "ts", "nth", limiter_fold(2, 3600), "1 day", slots)
+    out = run_parts(rows, parts, (-1, -1, _FAR), _LIMITED, build, new_path(t.spark, "limit-stream"))
     return out.where("nth >= 0").select(F.col("nth").alias("event_id"), "admitted", "retry_after")

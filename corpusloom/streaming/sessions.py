@@ -212,13 +212,13 @@ def latest(log: DataFrame, key: str, order: str, values: list[str]) -> DataFrame
     return log.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("x")).select(key, "x.*")
 
 
-def intake_events(t) -> DataFrame:
-    """The event table as intake events: one session for each user and day."""
+def intake_events(t, *more: Column) -> DataFrame:
+    """The event table as intake events: one session for each user and day; ``more`` columns of events go with them."""
     order = Window.partitionBy("session").orderBy("ts", "event_id")
     kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "click", "set").when(F.col("event_type") == "view", "correct").when(F.col("event_type") == "purchase", "confirm").otherwise("result")
     rows = t.events.withColumn("session", F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "MMdd")))
     slot = F.get(F.array(*map(F.lit, SLOTS)), F.col("event_id") % 3)
-    return rows.select("session", F.row_number().over(order).cast("long").alias("ordinal"), kind.alias("kind"), slot.alias("field"), F.col("value").cast("string").alias("value"), F.lit(None).cast("long").alias("expected"))
+    return rows.select("session", F.row_number().over(order).cast("long").alias("ordinal"), kind.alias("kind"), slot.alias("field"), F.col("value").cast("string").alias("value"), F.lit(None).cast("long").alias("expected"), *more)
 
 
 @query("stm_01_intake_replay")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +168,44 @@ def test_killed_between_write_and_commit(spark):
     assert sorted(map(tuple, sink.table().collect())) == before
     assert sink.merge(spark.createDataFrame([(k, 10_000, "all") for k in range(30)], SCHEMA), 9) and sink.vacuum() >= 1
     assert {r.v for r in sink.table().collect()} == {"all"}
+
+
+class Handle:
+    """A processor's state in lists, with a count of the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.lists = 0, [], {}
+
+    def getListState(self, name, schema):  # noqa: N802
+        rows = self.lists.setdefault(name, [])
+        took = lambda change: lambda *x: (setattr(self, "calls", self.calls + 1), change(*x))[1]
+        return SimpleNamespace(get=took(lambda: iter(list(rows))), appendList=took(rows.extend), put=took(lambda new: rows.__setitem__(slice(None), new)), clear=took(rows.clear))
+
+    def listTimers(self):  # noqa: N802
+        self.calls += 1
+        return iter(self.timers)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_calls_of_many_keys():
+    """A thousand keys of a slot take as many calls to the state store as one, and one timer."""
+    calls = []
+    for n in (1, 1000):
+        handle, processor = Handle(), ordered.OrderedProcessor(ordered.limiter_fold(2, 3600), "long")
+        processor.init(handle)
+        rows = pd.DataFrame([(i, 1_000_000 * (i % 50 + 1), i, json.dumps({"nth": i})) for i in range(n)], columns=["key", "at", "nth", "event"])
+        now = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+        assert sum(len(x) for x in processor.handleInputRows((0,), iter([rows]), now(0))) == 0
+        assert handle.timers == [1001]
+        handle.timers.clear()
+        out = pd.concat(processor.handleExpiredTimer((0,), now(60_000), None))
+        assert sorted(out["nth"]) == list(range(n)) and out["admitted"].all() and not handle.timers and len(handle.lists["held"]) == n
+        calls.append(handle.calls)
+    assert calls[0] == calls[1] < 10
