@@ -12,22 +12,32 @@ from corpusloom.streaming.sessions import fold_by_key
 
 #: Rounds of rewriting after which a record has failed.
 MOST_REWRITES = 2
+#: Events whose rows one task sorts and merges; a task holds a few copies of them.
+TASK_EVENTS = 1 << 17
 _ENTRY = ("record", "sequence", "body", "draft", "verdict")
 _STATE = ("record", "status", "rewrites", "draft")
 
 
-def merge_logs(logs: Mapping[str, DataFrame]) -> DataFrame:
+def tasks_for(n: int) -> int:
+    """How many tasks rows of ``n`` events are dealt to, so that a task's memory doesn't grow with their number."""
+    return max(1, -(-n // TASK_EVENTS))
+
+
+def merge_logs(logs: Mapping[str, DataFrame], tasks: int | None = None) -> DataFrame:
     """(record, sequence, log, body, draft, verdict, entry) of several logs with these columns, a row for each entry of a record.
 
     ``entry`` is first; of entries with a sequence that the record has already, which
     are told by their log and body, repeat where all is equal and conflict where not: of
-    these the first by log and body counts. Null records are left out.
+    these the first by log and body counts. Null records are left out. Records are dealt
+    to ``tasks``, by default as many as the session has it.
     """
     rows = None
     for name, log in logs.items():
         own = log.select(*_ENTRY).withColumn("log", F.lit(name))
         rows = own if rows is None else rows.union(own)
-    counted = rows.where("record IS NOT NULL AND sequence IS NOT NULL").groupBy("record", "sequence", "log", "body", "draft", "verdict").agg(F.count("*").alias("_n"))
+    rows = rows.where("record IS NOT NULL AND sequence IS NOT NULL")
+    rows = rows.repartition(tasks, "record") if tasks else rows
+    counted = rows.groupBy("record", "sequence", "log", "body", "draft", "verdict").agg(F.count("*").alias("_n"))
     nth = F.row_number().over(Window.partitionBy("record", "sequence").orderBy("log", "body", "draft", "verdict"))
     counted = counted.withColumn("_nth", nth)
     each = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
@@ -62,17 +72,17 @@ def advance_record(state: tuple, log: str, body: str, draft: str | None, verdict
     return (("accepted", rewrites, held) if verdict == "pass" else spent()), None
 
 
-def replay_logs(logs: Mapping[str, DataFrame], stored: DataFrame, most: int = MOST_REWRITES) -> DataFrame:
+def replay_logs(logs: Mapping[str, DataFrame], stored: DataFrame, most: int = MOST_REWRITES, tasks: int | None = None) -> DataFrame:
     """(record, sequence, log, entry, status, rewrites, problem): each entry with the record's state after it.
 
     ``logs``: ``drafts`` and ``reviews``. Repeats and conflicts change nothing. The stored state
     (record, status, rewrites, draft) is merged in behind a record's last entry; its
     problem names the fields that differ from the replay, and a record without entries is
     compared with one that needs its first draft. Rows of a record run through one task
-    in their order, and only its state is held.
+    in their order, and only its state is held; ``tasks`` are those of merge_logs.
     """
     none = lambda kind: F.lit(None).cast(kind)
-    entries = merge_logs(logs).withColumns({"last": F.lit(0), "rewrites": none("long")})
+    entries = merge_logs(logs, tasks).withColumns({"last": F.lit(0), "rewrites": none("long")})
     state = stored.where("record IS NOT NULL").select("record", none("long").alias("sequence"), F.lit("state").alias("log"), F.col("status").alias("body"), "draft", none("string").alias("verdict"), F.lit("stored").alias("entry"), F.lit(1).alias("last"), F.col("rewrites").cast("long"))
     begin = lambda: ("needs_draft", 0, None)
     plain = lambda x: None if x is None or x != x else x
@@ -89,13 +99,13 @@ def replay_logs(logs: Mapping[str, DataFrame], stored: DataFrame, most: int = MO
 
     schema = "record long, sequence long, log string, entry string, status string, rewrites long, problem string"
     order = ["last", "sequence", "log", "body", "draft", "verdict", "entry"]
-    return fold_by_key(entries.unionByName(state), "record", order, begin, step, [c.split()[0] for c in schema.split(", ")], schema)
+    return fold_by_key(entries.unionByName(state), "record", order, begin, step, [c.split()[0] for c in schema.split(", ")], schema, tasks)
 
 
-def event_logs(t) -> tuple[dict[str, DataFrame], DataFrame]:
+def event_logs(t, tasks: int = 1) -> tuple[dict[str, DataFrame], DataFrame]:
     """Logs of users' events: clicks, views and signups are drafts, purchases reviews; errors leave gaps, high values come twice, and signups are in both logs. Stored states are made of customers."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = t.events.withColumn("sequence", F.row_number().over(order).cast("long"))
+    rows = t.events.repartition(tasks, "user_id").withColumn("sequence", F.row_number().over(order).cast("long"))
     kind = F.col("event_type").isin("click", "view", "signup")
     rows = rows.withColumn("_d", F.last(F.when(kind, F.col("event_id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     common = [F.col("user_id").alias("record"), "sequence", F.col("event_id").cast("string").alias("body")]
@@ -111,12 +121,13 @@ def event_logs(t) -> tuple[dict[str, DataFrame], DataFrame]:
 
 @query("stm_08_replayed_logs")
 def _(t):
-    logs, stored = event_logs(t)
-    return replay_logs(logs, stored, 40)
+    tasks = tasks_for(t.events.count())
+    logs, stored = event_logs(t, tasks)
+    return replay_logs(logs, stored, 40, tasks)
 
 
 @query("stm_08_gaps", """
 WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), k AS (SELECT user_id, n, coalesce(lag(n) OVER (PARTITION BY user_id ORDER BY n), 0) AS b FROM e WHERE event_type <> 'error')
 SELECT user_id AS record, b + 1 AS first, n - 1 AS last FROM k WHERE n > b + 1""")
 def _(t):
-    return gaps(merge_logs(event_logs(t)[0]))
+    return gaps(merge_logs(event_logs(t, max(1, int(t.spark.conf.get("spark.sql.shuffle.partitions"))))[0]))

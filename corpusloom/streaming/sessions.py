@@ -68,10 +68,10 @@ def rate_limit(events: DataFrame, key: str, order: str, time: str, most: int, se
     return fold_by_key(rows, "_key", ["_at", "_order"], begin, step, names, f"{key} {kinds[key]}, {order} {kinds[order]}, admitted boolean, retry_after double")
 
 
-def fold_by_key(rows: DataFrame, key: str, order: Sequence[str], begin: Callable, step: Callable, names: Sequence[str], schema: str) -> DataFrame:
+def fold_by_key(rows: DataFrame, key: str, order: Sequence[str], begin: Callable, step: Callable, names: Sequence[str], schema: str, tasks: int | None = None) -> DataFrame:
     """Fold each key's rows in their order: ``step`` takes a state and a row, and gives both the next state and a result.
 
-    Rows are dealt by key and sorted by Spark; a task then runs through them in Arrow
+    Rows are dealt by key, to ``tasks`` if given, and sorted by Spark; a task then runs through them in Arrow
     batches and holds one state, however many rows a key has.
     """
 
@@ -87,7 +87,8 @@ def fold_by_key(rows: DataFrame, key: str, order: Sequence[str], begin: Callable
             yield pd.DataFrame(out, columns=list(names))
 
     own = rows.withColumnsRenamed({c: _plain(c) for c in rows.columns}).select(_plain(key), *(_plain(c) for c in rows.columns if c != key))
-    return own.repartition(_plain(key)).sortWithinPartitions(_plain(key), *(_plain(c) for c in order)).mapInPandas(run, schema)
+    dealt = own.repartition(tasks, _plain(key)) if tasks else own.repartition(_plain(key))
+    return dealt.sortWithinPartitions(_plain(key), *(_plain(c) for c in order)).mapInPandas(run, schema)
 
 
 def _plain(name: str) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
+
 from corpusloom.catalog import queries
 from corpusloom.registry import Tables
 from corpusloom.streaming import replays
@@ -63,3 +65,15 @@ def test_by_hand(spark):
     ]
     assert [(r.record, r.status, r.problem) for r in sorted(out, key=lambda r: r.record) if r.entry == "stored"] == [(1, "accepted", None), (2, "failed", "draft"), (3, "needs_draft", None), (4, "needs_draft", "status,rewrites")]
     assert sorted(map(tuple, replays.gaps(replays.merge_logs(logs)).collect())) == [(1, 6, 8), (2, 5, 8)]
+
+
+@pytest.mark.parametrize("name", ["stm_08_replayed_logs"])
+def test_tasks_grow_with_events(spark, sf_dir, monkeypatch, name):
+    """A task has as many events however many there are, whatever Spark would join."""
+    few = queries()[name](spark, sf_dir)
+    want = Counter(map(tuple, few.collect()))
+    monkeypatch.setattr(replays, "TASK_EVENTS", 100)
+    many = queries()[name](spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (1, -(-n // 100))
+    assert Counter(map(tuple, many.collect())) == want
