@@ -130,4 +130,5 @@ def _(t):
 WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), k AS (SELECT user_id, n, coalesce(lag(n) OVER (PARTITION BY user_id ORDER BY n), 0) AS b FROM e WHERE event_type <> 'error')
 SELECT user_id AS record, b + 1 AS first, n - 1 AS last FROM k WHERE n > b + 1""")
 def _(t):
-    return gaps(merge_logs(event_logs(t, max(1, int(t.spark.conf.get("spark.sql.shuffle.partitions"))))[0]))
+    tasks = tasks_for(t.events.count())
+    return gaps(merge_logs(event_logs(t, tasks)[0], tasks))

@@ -67,7 +67,7 @@ def test_by_hand(spark):
     assert sorted(map(tuple, replays.gaps(replays.merge_logs(logs)).collect())) == [(1, 6, 8), (2, 5, 8)]
 
 
-@pytest.mark.parametrize("name", ["stm_08_replayed_logs"])
+@pytest.mark.parametrize("name", ["stm_08_gaps", "stm_08_replayed_logs"])
 def test_tasks_grow_with_events(spark, sf_dir, monkeypatch, name):
     """A task has as many events however many there are, whatever Spark would join."""
     few = queries()[name](spark, sf_dir)
