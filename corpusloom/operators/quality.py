@@ -36,9 +36,26 @@ SENSITIVE = {
 }
 
 
+def sensitive_tests(text: str) -> dict[str, Column]:
+    """Whether a text shows each of the forms, by forms that need fewer steps.
+
+    Where any part of a repeated beginning or end will do, one character stands for it; a
+    character that a form can't do without is looked for first, which spares most texts the form.
+    """
+    t = F.col(text)
+    return {
+        "email": t.contains("@") & t.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2}"),
+        "url": t.contains("://") & t.rlike(r"https?://[^\s]"),
+        "handle": t.contains("@") & t.rlike(r"(^|\s)@[A-Za-z0-9_]{3}"),
+        "long_number": t.rlike(r"[0-9](?<![0-9]{2})[0-9]{12,18}(?![0-9])"),
+        "phone": t.contains("+") & t.rlike(SENSITIVE["phone"]),
+        "control": t.rlike(SENSITIVE["control"]),
+    }
+
+
 def sensitive_findings(text: str) -> Column:
     """The names of all forms that a text shows."""
-    return reasons({name: F.col(text).rlike(form) for name, form in SENSITIVE.items()})
+    return reasons(sensitive_tests(text))
 
 
 def text_flags(text: str, wanted: str = "A-Za-z", foreign: str = "À-ÖØ-öø-ÿ") -> dict[str, Column]:
