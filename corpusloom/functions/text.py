@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,20 +78,46 @@ def words(c: str | Column) -> Column:
     return F.filter(F.split(_col(c), "[ \\n\\t\\r]+"), lambda w: w != "")
 
 
-def repeated_word_ngrams(c: str | Column, width: int = 6) -> Column:
-    """The share of word n-grams that occur more than once."""
-    from corpusloom.functions.columns import let
+#: Words whose n-grams a task numbers at once, beside those of the last text.
+NGRAM_WORDS = 1 << 20
+
+
+def _repeated_shares(texts: list[list[str]], width: int) -> np.ndarray:
+    """The share of repeated n-grams of each list of words; NaN where there are fewer than ``width``.
+
+    Words are numbered, and so are pairs of neighbouring or overlapping n-grams of half the width, until
+    they are as wide: equal numbers are equal n-grams.
+    """
+    sizes = np.array([len(w) for w in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    ids = pd.factorize(np.array([w for own in texts for w in own], object))[0].astype(np.int64)
+    size = 1
+    while size < width and len(ids):
+        step = min(size, width - size)
+        ids = pd.factorize(ids[: len(ids) - step] * np.int64(len(owner)) + ids[step:])[0].astype(np.int64)
+        size += step
+    first = np.flatnonzero(owner[: len(ids)] == owner[len(owner) - len(ids) :])
+    grams = pd.factorize(owner[first] * np.int64(len(owner) + 1) + ids[first])[0]
+    twin = (np.bincount(grams)[grams] > 1) if len(grams) else np.zeros(0)
+    with np.errstate(invalid="ignore"):
+        return np.bincount(owner[first], twin, len(texts)) / np.bincount(owner[first], minlength=len(texts))
 
-    def share(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(width)), " "))
 
-        def ratio(g: Column) -> Column:
-            twin = F.transform(g, lambda x, i: F.coalesce(F.get(g, i - 1) == x, F.lit(False)) | F.coalesce(F.get(g, i + 1) == x, F.lit(False)))
-            return F.size(F.filter(twin, lambda x: x)) / F.size(g)
+def repeated_word_ngrams(c: str | Column, width: int = 6, short: float | None = 0.0) -> Column:
+    """The share of word n-grams that occur more than once; ``short`` for texts of fewer words, null for null."""
 
-        return F.when(F.size(w) < width, 0.0).otherwise(let(grams, lambda g: let(F.array_sort(g), ratio)))
+    def shares(texts: pd.Series) -> pd.Series:
+        out, held, n = [], [], 0
+        for text in texts:
+            held.append([w for w in re.split("[ \n\t\r]+", text or "") if w])
+            n += len(held[-1])
+            if n >= NGRAM_WORDS:
+                out.append(_repeated_shares(held, width))
+                held, n = [], 0
+        found = np.concatenate([*out, _repeated_shares(held, width)]) if held else np.concatenate(out or [np.zeros(0)])
+        return pd.Series([None if t is None else short if x != x else x for t, x in zip(texts, found.tolist())], dtype=object)
 
-    return let(words(c), share)
+    return F.pandas_udf(shares, "double").asNondeterministic()(_col(c))
 
 
 def sentences(c: str | Column) -> Column:
@@ -224,7 +252,7 @@ _W = "list_filter(string_split_regex(text, '[ \\n\\t\\r]+'), lambda w: w <> '')"
 WITH w AS (SELECT doc_id, {_W} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 5), lambda i: array_to_string(w[i:i + 5], ' '))) AS g FROM w WHERE len(w) >= 6),
 c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL) SELECT doc_id, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 9) AS ratio FROM c GROUP BY doc_id""")
 def _(t):
-    return t.documents.where(F.size(words("text")) >= 6).select("doc_id", F.round(repeated_word_ngrams("text"), 9).alias("ratio"))
+    return t.documents.select("doc_id", F.round(repeated_word_ngrams("text", short=None), 9).alias("ratio")).where("ratio IS NOT NULL")
 
 
 _SENT = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '(^|\n)[ \t]*([0-9]+[.)]|[-*])[ \t]+', '\1', 'g'), '[.!?\n]+'), lambda s: trim(s)), lambda s: s <> '')"

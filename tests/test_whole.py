@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import queries
+from corpusloom.functions import text
 from corpusloom.operators import profile
 from corpusloom.operators.profile import nearest_rank, nearest_ranks
 from corpusloom.operators.quality import SENSITIVE
@@ -125,3 +126,27 @@ def test_nearest_ranks(spark, monkeypatch):
     monkeypatch.setattr(profile, "RANK_SLACK", -20)
     with pytest.raises(Exception, match="doesn't hold its rank"):
         nearest_ranks(df, [], "v", 0.2, "p").collect()
+
+
+def test_ngrams_are_numbers(spark, table, monkeypatch):
+    """Equal numbers are equal n-grams, whatever texts a task holds beside each other; the text isn't split in the query as well."""
+    rng = random.Random(5)
+    texts = [None, "", " \n", *(" ".join(rng.choice("abc") for _ in range(rng.randrange(40))) for _ in range(200))]
+    want = []
+    for t in texts:
+        w = (t or "").split()
+        n = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        want.append(sum(x for x in n.values() if x > 1) / sum(n.values()) if n else None)
+    for most in (1, 50, 1 << 20):
+        out = []
+        for own in _parts_of([(t or "").split() for t in texts], most):
+            out += [None if x != x else x for x in text._repeated_shares(own, 5).tolist()]
+        assert out == want
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    assert [r.r for r in rows.select("i", text.repeated_word_ngrams("t", 5).alias("r")).orderBy("i").collect()] == [None, *(x or 0.0 for x in want[1:])]
+    path = table("documents", [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert "split(" not in queries()["str_09_repeated_ngrams"](spark, path)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _parts_of(lists, most):
+    return [lists[i : i + most] for i in range(0, len(lists), most)]
