@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm._store import Scratch, materialise
 from corpusloom.llm._text import chunks, hash_strings, mix, split_words, texts
 from corpusloom.llm.components import components
+from corpusloom.operators.parts import BLOCK, shown_parts
 from corpusloom.operators.spread import join_spread
 
 #: The order of n-grams is cut into 2**FRAGMENT_BITS fragments.
@@ -23,8 +24,6 @@ CHUNK = 4 << 20
 #: Sets that may be broadcast as a list of three numbers each, 12 MB.
 BROADCAST_IDS = 500_000
 
-#: Bits of an n-gram in its place in the order of rarity, and the largest count there.
-_GRAM_BITS, _MOST_HOLDERS = 44, (1 << 19) - 1
 _NO_ID = -(1 << 63)
 
 
@@ -53,37 +52,16 @@ def shingle_sets(values: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(owner, np.arange(len(n) + 1)), found.view(np.int64)
 
 
-def _spare(n: int, percent: int) -> int:
-    """N-grams of a set of ``n`` that a set linked to it may lack: n - ceil(t n)."""
-    return n - -(-percent * n // 100)
-
-
-def _shown(n: int, percent: int) -> int:
-    """N-grams that a set shows: twice as many as may be lacking, and one."""
-    return min(n, 2 * _spare(n, percent) + 1)
-
-
-def _least_shared(n: Column, percent: int) -> Column:
-    """How many shown n-grams linked sets have in common at least.
-
-    Of the first q n-grams in one order, a set shares all but its spare ones with a set
-    linked to it; the one whose q-th comes first shows them all. The smaller set may be
-    as small as ceil(t n).
-    """
-    small = F.ceil(n * percent / 100 - F.lit(1e-9))
-    return F.greatest(F.lit(1), F.least(small - F.ceil(small * percent / 100 - F.lit(1e-9)) + 1, F.ceil(small * percent / 100 - F.lit(1e-9))))
-
-
 def _summaries(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
             offsets, found = shingle_sets(texts(batch, "text"), k)
-            n = np.diff(offsets)
-            head = np.array([_shown(x, percent) if x else 0 for x in n.tolist()], np.int64)
-            place = np.arange(len(found)) - offsets[:-1].repeat(n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(head)]), pa.int32()), pa.array(found[place < head.repeat(n)]))
-            columns = [batch.column("doc_id"), batch.column("content"), _set_ids(offsets, found), pa.array(n.astype(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "set_id", "n", "head"])
+            ends = offsets.tolist()
+            shown = [shown_parts(found[a:b].view(np.uint64), np.ones(b - a, np.int64), percent / 100) for a, b in zip(ends, ends[1:])]
+            starts = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in shown])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate([x[i] for x in shown] or [np.zeros(0, np.int64)]))) for i in (0, 2)]
+            columns = [batch.column("doc_id"), batch.column("content"), _set_ids(offsets, found), pa.array(np.diff(offsets).astype(np.int64)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "set_id", "n", "parts", "bits"])
 
     return run
 
@@ -133,10 +111,10 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
 
 
 def _could_link(x: str, y: str, percent: int) -> Column:
-    """Whether the sizes and the places of a shared n-gram allow enough overlap."""
+    """Whether the sizes and the bits of a shared part's block allow enough overlap."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    fits = (n * 100 >= m * percent) & (m * 100 >= n * percent)
-    return fits & (F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place")) >= _needed(n, m, percent))
+    near = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) < BLOCK
+    return near & (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
 def _similar_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -162,24 +140,23 @@ def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(rows: DataFrame, total: int, percent: int) -> DataFrame:
-    """Pairs of each n-gram's chosen set, the one of the commonest n-grams, with its other sets."""
-    chosen = rows.groupBy("gram").agg(F.max(F.struct("weight", "set_id", "n", "place", "root")).alias("c"), F.count("*").alias("held"))
-    both = join_spread(rows, chosen, "gram", "held", total, "set_id")
-    both = both.select(*rows.columns, F.col("c.set_id").alias("other"), F.col("c.root").alias("other_root"), F.struct(F.col("c.n"), F.col("c.place")).alias("x"))
-    both = both.withColumn("y", F.struct("n", "place")).where(F.col("root") != F.col("other_root"))
-    both = both.where(_could_link("x", "y", percent))
-    return both.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
+    """Pairs of each part's chosen set, the largest, with its other sets."""
+    chosen = rows.groupBy("part").agg(F.max(F.struct("n", "set_id", "bits")).alias("c"), F.count("*").alias("held"))
+    both = join_spread(rows, chosen, "part", "held", total, "set_id").where(F.col("set_id") != F.col("c.set_id"))
+    both = both.select(F.struct("n", "set_id", "bits").alias("x"), F.col("c").alias("y")).where(_could_link("x", "y", percent))
+    return both.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
 def _rest(rows: DataFrame, total: int, percent: int) -> DataFrame:
-    """All pairs that share an n-gram and may still link, of different components.
+    """All pairs that share a part and may still link, of different components.
 
-    One side are sets outside the n-gram's chosen component, so the sets that already
+    One side are sets outside the part's chosen component, so the sets that already
     form one aren't paired with each other.
     """
-    chosen = rows.groupBy("gram").agg(F.max_by("root", F.struct("weight", "set_id")).alias("main"), F.count("*").alias("held"))
-    outside = join_spread(rows, chosen, "gram", "held", total, "set_id").where(F.col("root") != F.col("main")).select(*rows.columns)
-    pair = outside.alias("x").join(rows.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & _could_link("x", "y", percent))
+    chosen = rows.groupBy("part").agg(F.max_by("root", F.struct("n", "set_id")).alias("main"), F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
+    chosen = chosen.where("low <> high").drop("low", "high")
+    outside = join_spread(rows, chosen, "part", "held", total, "set_id").where(F.col("root") != F.col("main")).select(*rows.columns)
+    pair = outside.alias("x").join(rows.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & _could_link("x", "y", percent))
     return pair.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
@@ -190,19 +167,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
     is at least ``percent`` times the union; component_id is the smallest doc_id that
     links reach, ``root`` a number of the component, and ``content`` a hash of the text. Equal sets are one class from the start. Then:
 
-    1. Each class shows the first n-grams of its set in the order of hashes, a fifth of
-       them where t is 0.9. A class of which other classes show fewer than any linked
-       one would can't link and is done; so shared passages alone don't go further.
-    2. For the others, n-grams are ordered by how many of them hold them, rarest first,
-       and the same is done with the rare ones, which copies of a passage don't share.
-       A number of that count and the n-gram's first bits stands for it; two n-grams of
-       one number only add candidates. Sizes and places of a shared n-gram rule out
-       most pairs.
+    1. Each class cuts its set at the same places into more parts than linked sets may
+       differ in, and shows those that one of them must be equal in (operators/parts.py).
+       Parts that no other class shows are done with, so shared passages alone seldom go
+       further: all of a part has to lie in them.
+    2. Sizes and the bits of a shared part's block rule out most pairs.
     3. Candidate pairs are verified exactly: the order of n-grams is cut into
        2**fragment_bits fragments, a pair's overlap is counted in each apart, and the counts summed.
        A set's sketch, one bit of parity for several n-grams, rules out pairs that
        differ too much before their fragments meet.
-       Pairs aren't listed within a group: every n-gram first links its sets to one of
+       Pairs aren't listed within a group: every part first links its sets to one of
        them, and then only pairs of different components are listed. So no link between
        components is lost.
 
@@ -213,44 +187,38 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
     rows = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    about = materialise(rows.mapInArrow(_summaries(k, percent), "doc_id long, content long, set_id long, n long, head array<long>"), "jaccard-sets")
+    held = Scratch(docs.sparkSession)
+    about = held.keep(rows.mapInArrow(_summaries(k, percent), "doc_id long, content long, set_id long, n long, parts array<long>, bits array<long>"), "jaccard-parts")
     sets = about.where("n > 0")
-    classes = sets.groupBy("set_id", "n").agg(F.first("head").alias("head"))
-    heads = classes.select("set_id", "n", F.explode("head").alias("gram"))
-    shared = heads.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
-    shown = sets.agg(F.sum(F.size("head"))).first()[0] or 0
-    near = join_spread(heads, shared, "gram", "holders", shown, "set_id").groupBy("set_id", "n").agg(F.count("*").alias("shared"))
-    near = near.where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("set_id")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("content"), F.struct("parts", "bits").alias("shown"))).alias("m")
+    classes = sets.groupBy("set_id", "n").agg(least)
+    shown = classes.select("set_id", "n", F.explode(F.arrays_zip("m.shown.parts", "m.shown.bits")).alias("p")).select("set_id", "n", F.col("p.parts").alias("part"), F.col("p.bits").alias("bits"))
+    shown = scratch.keep(shown.withColumn("held", F.count("*").over(Window.partitionBy("part"))).where("held > 1").drop("held"), "jaccard-shown")
     members = sets.groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("content"))).alias("m")).select("set_id", "m.*")
-    near = scratch.keep(near.join(members, "set_id"), "jaccard-near")
-    n_near = near.count()
-    picked = rows.select("id", "content", "text").join(F.broadcast(near) if n_near <= broadcast_ids else near, ["id", "content"]).select("set_id", "text")
-    parts = picked.mapInArrow(_fragments(k, fragment_bits), "set_id long, n long, fragment long, sketch array<long>, grams array<long>")
-    parts = scratch.keep(parts, "jaccard-fragments")
-    if not parts.groupBy("set_id", "fragment").count().where("count > 1").isEmpty():  # rows of one id and text
-        parts = scratch.keep(parts.dropDuplicates(["set_id", "fragment"]), "jaccard-fragments")
-    every = parts.select("set_id", "n", F.explode("grams").alias("gram"))
-    common = every.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
-    total = parts.agg(F.sum(F.size("grams"))).first()[0] or 0
-    place = F.shiftleft(F.least("holders", F.lit(_MOST_HOLDERS)), _GRAM_BITS).bitwiseOR(F.shiftrightunsigned("gram", 64 - _GRAM_BITS))
-    held = join_spread(every, common, "gram", "holders", total, "set_id").groupBy("set_id", "n").agg(F.sort_array(F.collect_list(place)).alias("held"))
-    weight = F.aggregate("held", F.lit(0.0), lambda s, x: s + F.log2(F.shiftright(x, _GRAM_BITS).cast("double"))) / F.col("n")
-    before = F.col("n") - F.size("held")  # n-grams that no other set holds come first
-    last = F.col("n") - F.ceil(F.col("n") * percent / 100 - F.lit(1e-9))
-    early = F.slice("held", F.lit(1), F.greatest(last - before + 1, F.lit(0)).cast("int"))
-    placed = held.select("set_id", "n", weight.alias("weight"), before.alias("before"), F.posexplode(early).alias("i", "gram"))
-    rare = scratch.keep(placed.select("set_id", "n", "weight", "gram", (F.col("before") + F.col("i")).cast("long").alias("place")), "jaccard-places")
-    n_rare = rare.count()
-    sketches = parts.where("sketch IS NOT NULL").select("set_id", "n", "sketch")
-    found = lambda pairs: scratch.keep(_linked(_similar_sketches(pairs, sketches, percent), parts, percent), "jaccard-links")
-    links = found(_stars(rare.withColumn("root", F.col("set_id")), n_rare, percent))
+    members = scratch.keep(members, "jaccard-members")
+    about = materialise(about.drop("parts", "bits"), "jaccard-sets")
+    held.discard()
+    total = shown.count()
+
+    def found(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.keep(pairs, "jaccard-candidates")
+        near = scratch.keep(members.join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id"), "jaccard-near")
+        picked = rows.select("id", "content", "text").join(F.broadcast(near) if near.count() <= broadcast_ids else near, ["id", "content"]).select("set_id", "text")
+        parts = picked.mapInArrow(_fragments(k, fragment_bits), "set_id long, n long, fragment long, sketch array<long>, grams array<long>")
+        parts = scratch.keep(parts, "jaccard-fragments")
+        if not parts.groupBy("set_id", "fragment").count().where("count > 1").isEmpty():  # rows of one id and text
+            parts = scratch.keep(parts.dropDuplicates(["set_id", "fragment"]), "jaccard-fragments")
+        sketches = parts.where("sketch IS NOT NULL").select("set_id", "n", "sketch")
+        return scratch.keep(_linked(_similar_sketches(pairs, sketches, percent), parts, percent), "jaccard-links")
+
+    links = found(_stars(shown, total, percent))
     roots = components(links)
-    rooted = rare.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    links = found(_rest(rooted, n_rare, percent))
+    rooted = shown.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    links = found(_rest(rooted, total, percent))
     if not links.isEmpty():
         roots = components(links.union(roots.select("node", "root")))
     scratch.discard()
-    joined = about.drop("head").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    joined = about.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     worded = joined.where("n > 0")
     least = worded.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
     columns = ["doc_id", "content", F.col("n").alias("n_shingles"), "root"]

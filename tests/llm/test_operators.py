@@ -431,3 +431,22 @@ def test_jaccard_groups_of_near_copies(spark):
     for k, percent in ((3, 90), (5, 80), (2, 85)):
         out = jaccard_join.jaccard_components(df, k, percent, broadcast_ids=-1)
         assert as_set(out, "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard(rows, k, percent))
+
+
+def test_near_copies_are_no_candidates_of_each_other(spark, monkeypatch):
+    """60 near copies take some 60 comparisons, unrelated texts that share a passage of a third none or few, and no table holds all their n-grams."""
+    rng, made = random.Random(11), {}
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:j] + [f"x{i}"] + words[j + 1 :])) for i in range(60) for j in [rng.randrange(200)]]
+    rows += [(100 + i, " ".join([f"p{j}" for j in range(60)] + [f"y{i}_{j}" for j in range(120)])) for i in range(60)]
+    keep = jaccard_join.Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join.Scratch, "keep", counted)
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert as_set(out, "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard(rows, 5, 80))
+    assert made["jaccard-candidates"] <= 400 and made["jaccard-shown"] <= 60 * 196 / 2
