@@ -19,10 +19,15 @@ from corpusloom.operators.spread import join_spread
 
 #: The order of n-grams is cut into 2**FRAGMENT_BITS fragments.
 FRAGMENT_BITS = 3
+#: A set's sketch: numbers of 64 bits, each of an equal share of the hashes.
+SKETCH_BITS = 3
+SKETCH = [f"s{i}" for i in range(1 << SKETCH_BITS)]
 #: Bytes of text whose n-grams a task holds at once.
 CHUNK = 4 << 20
 #: Sets that may be broadcast as a list of three numbers each, 12 MB.
 BROADCAST_IDS = 500_000
+#: Sets of one part that a task compares with all others of it.
+PART_ROWS = 20_000
 
 _NO_ID = -(1 << 63)
 
@@ -60,12 +65,26 @@ def _summaries(k: int, percent: int):
             shown = [shown_parts(found[a:b].view(np.uint64), np.ones(b - a, np.int64), percent / 100) for a, b in zip(ends, ends[1:])]
             starts = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in shown])]), pa.int32())
             lists = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate([x[i] for x in shown] or [np.zeros(0, np.int64)]))) for i in (0, 2)]
-            columns = [batch.column("doc_id"), batch.column("content"), _set_ids(offsets, found), pa.array(np.diff(offsets).astype(np.int64)), *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "set_id", "n", "parts", "bits"])
+            sketch = [pa.array(x) for x in np.ascontiguousarray(_sketches(offsets, found).T)]
+            columns = [batch.column("doc_id"), batch.column("content"), _set_ids(offsets, found), pa.array(np.diff(offsets).astype(np.int64)), *sketch, *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "set_id", "n", *SKETCH, "parts", "bits"])
 
     return run
 
 
+def _sketches(offsets: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Each set's sketch: an n-gram's first bits name a number, the next six turn a bit of it."""
+    grams = found.view(np.uint64)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    piece = (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    turned = np.uint64(1) << (grams >> np.uint64(58 - SKETCH_BITS) & np.uint64(63))
+    sketch = np.zeros((len(offsets) - 1, 1 << SKETCH_BITS), np.uint64)
+    starts = np.flatnonzero(np.diff(owner << SKETCH_BITS | piece, prepend=-1))
+    if len(starts):
+        sketch[owner[starts], piece[starts]] = np.bitwise_xor.reduceat(turned, starts)
+    return sketch.view(np.int64)
+
+
 def _set_ids(offsets: np.ndarray, found: np.ndarray) -> pa.Array:
     """A digest of each set, null for empty ones."""
     ends = offsets.tolist()
@@ -74,11 +93,7 @@ def _set_ids(offsets: np.ndarray, found: np.ndarray) -> pa.Array:
 
 
 def _fragments(k: int, bits: int):
-    """Each wanted set, cut by its n-grams' first ``bits`` bits.
-
-    The next six bits of an n-gram turn a bit of its fragment's parity; the parities of
-    all fragments are the set's sketch, which its first row carries.
-    """
+    """Each wanted set, cut by its n-grams' first ``bits`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
@@ -94,13 +109,7 @@ def _fragments(k: int, bits: int):
             ends = np.append(starts, len(grams)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams))
             ids = batch.column("set_id").take(pa.array(rows))
-            turned = np.uint64(1) << (grams.view(np.uint64) >> np.uint64(58 - bits) & np.uint64(63))
-            parity = np.zeros((len(n), 1 << bits), np.int64)
-            if len(starts):
-                parity[rows, piece[starts]] = np.bitwise_xor.reduceat(turned, starts).view(np.int64)
-            first = np.diff(rows, prepend=-1) > 0
-            sketch = pa.array([own.tolist() if x else None for x, own in zip(first.tolist(), parity[rows])], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n[rows].astype(np.int64)), pa.array(piece[starts]), sketch, lists], names=["set_id", "n", "fragment", "sketch", "grams"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n[rows].astype(np.int64)), pa.array(piece[starts]), lists], names=["set_id", "n", "fragment", "grams"])
 
     return run
 
@@ -117,17 +126,22 @@ def _could_link(x: str, y: str, percent: int) -> Column:
     return near & (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
-def _similar_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) without those whose sketches differ in too many bits to link.
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Whether the sketches differ in no more bits than n-grams that linked sets don't share.
 
     Only an n-gram that one of the sets lacks can turn a bit of one sketch alone, so
     linked sets differ in at most n + m - 2 ceil(t (n + m) / (1 + t)) bits.
     """
-    left = sketches.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    right = sketches.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    spare = F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), percent)
-    return pairs.join(left, "a").join(right, "b").where(differ <= spare).select("a", "b")
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(f"{x}.{SKETCH[0]}").bitwiseXOR(F.col(f"{y}.{SKETCH[0]}"))))
+    return differ <= n + m - 2 * _needed(n, m, percent)
+
+
+def _similar_sketches(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) without those whose sketches differ in too many bits to link."""
+    sketches = members.select("set_id", "n", *SKETCH)
+    both = pairs.alias("p").join(sketches.alias("x"), F.col("p.a") == F.col("x.set_id")).join(sketches.alias("y"), (F.col("p.b") == F.col("y.set_id")) & _alike("x", "y", percent))
+    return both.select("p.a", "p.b")
 
 
 def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
@@ -147,20 +161,26 @@ def _stars(rows: DataFrame, total: int, percent: int) -> DataFrame:
     return both.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
-def _rest(rows: DataFrame, total: int, percent: int) -> DataFrame:
-    """All pairs that share a part and may still link, of different components.
+def _rest(rows: DataFrame, members: DataFrame, total: int, percent: int, part_rows: int) -> DataFrame:
+    """All pairs that share a part, are of different components and have sketches near enough to link.
 
     One side are sets outside the part's chosen component, so the sets that already
-    form one aren't paired with each other.
+    form one aren't paired with each other. Sketches are compared where the two meet: of
+    a large group just below the threshold no pairs are listed but those that pass. A
+    part's outside sets are dealt to tasks by ``part_rows``, its others repeated for each.
     """
     chosen = rows.groupBy("part").agg(F.max_by("root", F.struct("n", "set_id")).alias("main"), F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
-    chosen = chosen.where("low <> high").drop("low", "high")
-    outside = join_spread(rows, chosen, "part", "held", total, "set_id").where(F.col("root") != F.col("main")).select(*rows.columns)
-    pair = outside.alias("x").join(rows.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & _could_link("x", "y", percent))
+    chosen = chosen.where("low <> high").select("part", "main", "held", F.ceil(F.col("held") / part_rows).cast("long").alias("cuts"))
+    open_ = join_spread(rows, chosen, "part", "held", total, "set_id").join(members.select("set_id", *SKETCH), "set_id")
+    columns = ["part", "set_id", "root", "n", "bits", *SKETCH]
+    outside = open_.where("root <> main").select(*columns, F.pmod(F.xxhash64("set_id"), "cuts").alias("cut"))
+    others = open_.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
+    meet = (F.col("x.part") == F.col("y.part")) & (F.col("x.cut") == F.col("y.cut")) & (F.col("x.root") != F.col("y.root"))
+    pair = outside.alias("x").join(others.alias("y"), meet & _could_link("x", "y", percent) & _alike("x", "y", percent))
     return pair.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_bits: int = FRAGMENT_BITS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_bits: int = FRAGMENT_BITS, broadcast_ids: int = BROADCAST_IDS, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, content, n_shingles, root, component_id) for each row of ``docs`` (doc_id, text).
 
     Two rows link when 100 times the intersection of their sets of ``k``-word shingles
@@ -171,11 +191,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
        differ in, and shows those that one of them must be equal in (operators/parts.py).
        Parts that no other class shows are done with, so shared passages alone seldom go
        further: all of a part has to lie in them.
-    2. Sizes and the bits of a shared part's block rule out most pairs.
+    2. Sizes, the bits of a shared part's block and the sets' sketches, one bit of
+       parity for several n-grams, rule out most pairs before they are listed.
     3. Candidate pairs are verified exactly: the order of n-grams is cut into
        2**fragment_bits fragments, a pair's overlap is counted in each apart, and the counts summed.
-       A set's sketch, one bit of parity for several n-grams, rules out pairs that
-       differ too much before their fragments meet.
        Pairs aren't listed within a group: every part first links its sets to one of
        them, and then only pairs of different components are listed. So no link between
        components is lost.
@@ -188,33 +207,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
     scratch = Scratch(docs.sparkSession)
     rows = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
     held = Scratch(docs.sparkSession)
-    about = held.keep(rows.mapInArrow(_summaries(k, percent), "doc_id long, content long, set_id long, n long, parts array<long>, bits array<long>"), "jaccard-parts")
+    about = held.keep(rows.mapInArrow(_summaries(k, percent), f"doc_id long, content long, set_id long, n long, {', '.join(f'{c} long' for c in SKETCH)}, parts array<long>, bits array<long>"), "jaccard-parts")
     sets = about.where("n > 0")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("content"), F.struct("parts", "bits").alias("shown"))).alias("m")
     classes = sets.groupBy("set_id", "n").agg(least)
     shown = classes.select("set_id", "n", F.explode(F.arrays_zip("m.shown.parts", "m.shown.bits")).alias("p")).select("set_id", "n", F.col("p.parts").alias("part"), F.col("p.bits").alias("bits"))
     shown = scratch.keep(shown.withColumn("held", F.count("*").over(Window.partitionBy("part"))).where("held > 1").drop("held"), "jaccard-shown")
-    members = sets.groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("content"))).alias("m")).select("set_id", "m.*")
+    members = sets.groupBy("set_id", "n").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "content", *SKETCH)).alias("m")).select("set_id", "n", "m.*")
     members = scratch.keep(members, "jaccard-members")
-    about = materialise(about.drop("parts", "bits"), "jaccard-sets")
+    about = materialise(about.drop("parts", "bits", *SKETCH), "jaccard-sets")
     held.discard()
     total = shown.count()
 
     def found(pairs: DataFrame) -> DataFrame:
         pairs = scratch.keep(pairs, "jaccard-candidates")
-        near = scratch.keep(members.join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id"), "jaccard-near")
+        near = scratch.keep(members.select("set_id", "id", "content").join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id"), "jaccard-near")
         picked = rows.select("id", "content", "text").join(F.broadcast(near) if near.count() <= broadcast_ids else near, ["id", "content"]).select("set_id", "text")
-        parts = picked.mapInArrow(_fragments(k, fragment_bits), "set_id long, n long, fragment long, sketch array<long>, grams array<long>")
+        parts = picked.mapInArrow(_fragments(k, fragment_bits), "set_id long, n long, fragment long, grams array<long>")
         parts = scratch.keep(parts, "jaccard-fragments")
         if not parts.groupBy("set_id", "fragment").count().where("count > 1").isEmpty():  # rows of one id and text
             parts = scratch.keep(parts.dropDuplicates(["set_id", "fragment"]), "jaccard-fragments")
-        sketches = parts.where("sketch IS NOT NULL").select("set_id", "n", "sketch")
-        return scratch.keep(_linked(_similar_sketches(pairs, sketches, percent), parts, percent), "jaccard-links")
+        return scratch.keep(_linked(pairs, parts, percent), "jaccard-links")
 
-    links = found(_stars(shown, total, percent))
+    links = found(_similar_sketches(_stars(shown, total, percent), members, percent))
     roots = components(links)
     rooted = shown.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    links = found(_rest(rooted, total, percent))
+    links = found(_rest(rooted, members, total, percent, part_rows))
     if not links.isEmpty():
         roots = components(links.union(roots.select("node", "root")))
     scratch.discard()
