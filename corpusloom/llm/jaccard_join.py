@@ -28,6 +28,8 @@ CHUNK = 4 << 20
 BROADCAST_IDS = 500_000
 #: Sets of one part that a task compares with all others of it.
 PART_ROWS = 20_000
+#: Sets of a part that one round of links compares with all others of it, and such rounds.
+CENTRES, ROUNDS = 8, 2
 
 _NO_ID = -(1 << 63)
 
@@ -161,7 +163,30 @@ def _stars(rows: DataFrame, total: int, percent: int) -> DataFrame:
     return both.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
-def _rest(rows: DataFrame, members: DataFrame, total: int, percent: int, part_rows: int) -> DataFrame:
+def _open(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` of parts that sets of several components show, with ``main`` and ``held``: the part's largest set's component, and its number of rows."""
+    chosen = rows.groupBy("part").agg(F.max_by("root", F.struct("n", "set_id")).alias("main"), F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return join_spread(rows, chosen.where("low <> high").drop("low", "high"), "part", "held", total, "set_id")
+
+
+def _could_join(x: str, y: str, percent: int) -> Column:
+    return (F.col(f"{x}.root") != F.col(f"{y}.root")) & _could_link(x, y, percent) & _alike(x, y, percent)
+
+
+def _more_stars(rows: DataFrame, total: int, percent: int, turn: int) -> DataFrame:
+    """Pairs of a few sets of each part, any outside its chosen component, with its sets of other components.
+
+    Components that many links tie are joined by these, so those links needn't be listed.
+    """
+    own = F.struct("set_id", "root", "n", "bits", *SKETCH)
+    centres = [F.min_by(own, F.xxhash64("set_id", F.lit(turn * CENTRES + i))) for i in range(CENTRES)]
+    chosen = rows.where("root <> main").groupBy("part").agg(F.array_distinct(F.array(*centres)).alias("c"), F.max("held").alias("held"))
+    chosen = chosen.select("part", "held", F.explode("c").alias("y"))
+    both = join_spread(rows.select("part", F.col("set_id").alias("by"), own.alias("x")), chosen, "part", "held", total, "by").where(_could_join("x", "y", percent))
+    return both.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+
+
+def _rest(rows: DataFrame, percent: int, part_rows: int) -> DataFrame:
     """All pairs that share a part, are of different components and have sketches near enough to link.
 
     One side are sets outside the part's chosen component, so the sets that already
@@ -169,14 +194,12 @@ def _rest(rows: DataFrame, members: DataFrame, total: int, percent: int, part_ro
     a large group just below the threshold no pairs are listed but those that pass. A
     part's outside sets are dealt to tasks by ``part_rows``, its others repeated for each.
     """
-    chosen = rows.groupBy("part").agg(F.max_by("root", F.struct("n", "set_id")).alias("main"), F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
-    chosen = chosen.where("low <> high").select("part", "main", "held", F.ceil(F.col("held") / part_rows).cast("long").alias("cuts"))
-    open_ = join_spread(rows, chosen, "part", "held", total, "set_id").join(members.select("set_id", *SKETCH), "set_id")
-    columns = ["part", "set_id", "root", "n", "bits", *SKETCH]
-    outside = open_.where("root <> main").select(*columns, F.pmod(F.xxhash64("set_id"), "cuts").alias("cut"))
-    others = open_.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
-    meet = (F.col("x.part") == F.col("y.part")) & (F.col("x.cut") == F.col("y.cut")) & (F.col("x.root") != F.col("y.root"))
-    pair = outside.alias("x").join(others.alias("y"), meet & _could_link("x", "y", percent) & _alike("x", "y", percent))
+    cuts = F.ceil(F.col("held") / part_rows).cast("long")
+    columns = ["part", "set_id", "root", "main", "n", "bits", *SKETCH]
+    outside = rows.where("root <> main").select(*columns, F.pmod(F.xxhash64("set_id"), cuts).alias("cut"))
+    others = rows.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1)).alias("cut"))
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.set_id") < F.col("y.set_id"))
+    pair = outside.alias("x").join(others.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.cut") == F.col("y.cut")) & once & _could_join("x", "y", percent))
     return pair.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
@@ -196,7 +219,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
     3. Candidate pairs are verified exactly: the order of n-grams is cut into
        2**fragment_bits fragments, a pair's overlap is counted in each apart, and the counts summed.
        Pairs aren't listed within a group: every part first links its sets to one of
-       them, and then only pairs of different components are listed. So no link between
+       them, twice links those of different components to a few more, and then only
+       pairs of components that are still different are listed. So no link between
        components is lost.
 
     A null or empty text has no shingle and is a component of its own. Rows of one
@@ -231,10 +255,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
 
     links = found(_similar_sketches(_stars(shown, total, percent), members, percent))
     roots = components(links)
-    rooted = shown.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    links = found(_rest(rooted, members, total, percent, part_rows))
-    if not links.isEmpty():
-        roots = components(links.union(roots.select("node", "root")))
+    left = shown
+    for turn in range(ROUNDS + 1):
+        rooted = left.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        opened = _open(rooted, total)
+        opened = scratch.keep(opened if turn else opened.join(members.select("set_id", *SKETCH), "set_id"), "jaccard-open")
+        if opened.isEmpty():
+            break
+        links = found(_more_stars(opened, total, percent, turn) if turn < ROUNDS else _rest(opened, percent, part_rows))
+        if not links.isEmpty():
+            roots = components(links.union(roots.select("node", "root")))
+        left = opened.drop("root", "main", "held")
     scratch.discard()
     joined = about.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     worded = joined.where("n > 0")
