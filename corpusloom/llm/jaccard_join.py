@@ -28,8 +28,10 @@ CHUNK = 4 << 20
 BROADCAST_IDS = 500_000
 #: Sets of one part that a task compares with all others of it.
 PART_ROWS = 20_000
-#: Sets of a part that one round of links compares with all others of it, and such rounds.
+#: Sets of a large part that one round of links compares with all others of it, and such rounds.
 CENTRES, ROUNDS = 8, 2
+#: Sets that make a part a large one; pairs within smaller ones are few.
+LARGE = 64
 
 _NO_ID = -(1 << 63)
 
@@ -174,7 +176,7 @@ def _could_join(x: str, y: str, percent: int) -> Column:
 
 
 def _more_stars(rows: DataFrame, total: int, percent: int, turn: int) -> DataFrame:
-    """Pairs of a few sets of each part, any outside its chosen component, with its sets of other components.
+    """Pairs of a few sets of each large part, any outside its chosen component, with its sets of other components.
 
     Components that many links tie are joined by these, so those links needn't be listed.
     """
@@ -219,8 +221,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
     3. Candidate pairs are verified exactly: the order of n-grams is cut into
        2**fragment_bits fragments, a pair's overlap is counted in each apart, and the counts summed.
        Pairs aren't listed within a group: every part first links its sets to one of
-       them, twice links those of different components to a few more, and then only
-       pairs of components that are still different are listed. So no link between
+       them, large ones twice link those of different components to a few more, and then
+       only pairs of components that are still different are listed. So no link between
        components is lost.
 
     A null or empty text has no shingle and is a component of its own. Rows of one
@@ -236,7 +238,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("content"), F.struct("parts", "bits").alias("shown"))).alias("m")
     classes = sets.groupBy("set_id", "n").agg(least)
     shown = classes.select("set_id", "n", F.explode(F.arrays_zip("m.shown.parts", "m.shown.bits")).alias("p")).select("set_id", "n", F.col("p.parts").alias("part"), F.col("p.bits").alias("bits"))
-    shown = scratch.keep(shown.withColumn("held", F.count("*").over(Window.partitionBy("part"))).where("held > 1").drop("held"), "jaccard-shown")
+    shown = scratch.keep(shown.withColumn("held", F.count("*").over(Window.partitionBy("part"))).where("held > 1"), "jaccard-shown")
     members = sets.groupBy("set_id", "n").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "content", *SKETCH)).alias("m")).select("set_id", "n", "m.*")
     members = scratch.keep(members, "jaccard-members")
     about = materialise(about.drop("parts", "bits", *SKETCH), "jaccard-sets")
@@ -253,19 +255,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, fragment_
             parts = scratch.keep(parts.dropDuplicates(["set_id", "fragment"]), "jaccard-fragments")
         return scratch.keep(_linked(pairs, parts, percent), "jaccard-links")
 
-    links = found(_similar_sketches(_stars(shown, total, percent), members, percent))
+    links = found(_similar_sketches(_stars(shown.drop("held"), total, percent), members, percent))
     roots = components(links)
-    left = shown
-    for turn in range(ROUNDS + 1):
-        rooted = left.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        opened = _open(rooted, total)
-        opened = scratch.keep(opened if turn else opened.join(members.select("set_id", *SKETCH), "set_id"), "jaccard-open")
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return _open(rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), total)
+
+    sketches = members.select("set_id", *SKETCH)
+    large = shown.where(F.col("held") >= LARGE).drop("held")
+    for turn in range(ROUNDS):
+        opened = scratch.keep(rooted(large) if turn else rooted(large).join(sketches, "set_id"), "jaccard-open")
         if opened.isEmpty():
             break
-        links = found(_more_stars(opened, total, percent, turn) if turn < ROUNDS else _rest(opened, percent, part_rows))
+        links = found(_more_stars(opened, total, percent, turn))
         if not links.isEmpty():
             roots = components(links.union(roots.select("node", "root")))
-        left = opened.drop("root", "main", "held")
+        large = opened.drop("root", "main", "held")
+    links = found(_rest(rooted(shown.drop("held")).join(sketches, "set_id"), percent, part_rows))
+    if not links.isEmpty():
+        roots = components(links.union(roots.select("node", "root")))
     scratch.discard()
     joined = about.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     worded = joined.where("n > 0")
