@@ -32,6 +32,13 @@ def rarity(sizes: np.ndarray) -> np.ndarray:
     return 1 + np.rint(16 * np.log2(max(int(sizes.max()), 1) / np.maximum(sizes, 1))).astype(np.int64)
 
 
+def first_of_runs(values: np.ndarray) -> np.ndarray:
+    """Places at which runs of equal values begin."""
+    starts = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=starts[1:])
+    return np.flatnonzero(starts)
+
+
 def differences(total: int, least: float) -> int:
     """The most hashes that similar sets of ``total`` hashes together don't share, or one more by rounding."""
     return math.floor(total * (1 - least) / (1 + least) + 1e-6)
@@ -66,7 +73,7 @@ def shown_parts(hashes: np.ndarray, rare: np.ndarray, least: float) -> tuple[np.
         shown = differences(n + (math.floor(n / least + 1e-9) if n <= last else last), least) + 1
         p = math.ceil(SPARE_PARTS * differences(last + math.floor(last / least + 1e-9), least)) + 1
         piece = ((hashes >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        starts = first_of_runs(piece)
         weight, digest = np.zeros(p, np.int64), np.arange(p, dtype=np.uint64) + np.uint64(j << 40)
         with np.errstate(over="ignore"):
             digest *= _FACTOR
@@ -75,8 +82,9 @@ def shown_parts(hashes: np.ndarray, rare: np.ndarray, least: float) -> tuple[np.
         digest ^= digest >> np.uint64(32)
         weight[piece[starts]] = np.add.reduceat(rare, starts)
         blocks = np.zeros(-(-p // BLOCK), np.uint64)
-        starts = np.flatnonzero(np.diff(piece // BLOCK, prepend=-1))
-        blocks[piece[starts] // BLOCK] = np.bitwise_xor.reduceat(turned, starts)
+        block = piece[starts] // BLOCK
+        opens = first_of_runs(block)
+        blocks[block[opens]] = np.bitwise_xor.reduceat(turned, starts[opens])
         first = np.lexsort((digest, -weight))[:shown]
         found.append(digest[first])
         places.append(np.arange(shown))
