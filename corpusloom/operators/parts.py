@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -15,9 +16,9 @@ SPARE_PARTS = 1.1
 BLOCK = 8
 
 #: Sizes of sets at which classes begin, each half as large again as the one before.
-_STARTS = [1]
-while _STARTS[-1] < 1 << 40:
-    _STARTS.append(max(_STARTS[-1] + 1, _STARTS[-1] * 3 // 2))
+STARTS = [1]
+while STARTS[-1] < 1 << 40:
+    STARTS.append(max(STARTS[-1] + 1, STARTS[-1] * 3 // 2))
 
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -64,10 +65,34 @@ def shown_parts(hashes: np.ndarray, rare: np.ndarray, least: float) -> tuple[np.
     only those count. A block's bits are turned by one hash each; where two sets' differ
     in BLOCK bits or more, so do the blocks.
     """
-    n, found, places, bits = len(hashes), [], [], []
+    found, places, bits = [], [], []
+    for _, first, digests, blocks in class_parts(hashes, rare, least):
+        found.append(digests)
+        places.append(np.arange(len(first)))
+        bits.append(blocks[first // BLOCK])
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found).view(np.int64), np.concatenate(places), np.concatenate(bits).view(np.int64)
+
+
+def most_parts(j: int, least: float) -> int:
+    """The most parts that a set shows in a class of sizes."""
+    last = STARTS[j + 1] - 1
+    return differences(last + math.floor(last / least + 1e-9), least) + 1
+
+
+def blocks_of(j: int, least: float) -> int:
+    """The blocks of a class of sizes."""
+    last = STARTS[j + 1] - 1
+    return -(-(math.ceil(SPARE_PARTS * differences(last + math.floor(last / least + 1e-9), least)) + 1) // BLOCK)
+
+
+def class_parts(hashes: np.ndarray, rare: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each class in which a set shows parts (see shown_parts): its number, the parts shown by their numbers and their digests, rarest first, and the bits of all blocks."""
+    n = len(hashes)
     turned = np.uint64(1) << (hashes & np.uint64(63))
-    for j in range(bisect_right(_STARTS, n) - 1, -1, -1):
-        last = _STARTS[j + 1] - 1
+    for j in range(bisect_right(STARTS, n) - 1, -1, -1):
+        last = STARTS[j + 1] - 1
         if last < math.ceil(least * n - 1e-9):
             break
         shown = differences(n + (math.floor(n / least + 1e-9) if n <= last else last), least) + 1
@@ -86,9 +111,4 @@ def shown_parts(hashes: np.ndarray, rare: np.ndarray, least: float) -> tuple[np.
         opens = first_of_runs(block)
         blocks[block[opens]] = np.bitwise_xor.reduceat(turned, starts[opens])
         first = np.lexsort((digest, -weight))[:shown]
-        found.append(digest[first])
-        places.append(np.arange(shown))
-        bits.append(blocks[first // BLOCK])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found).view(np.int64), np.concatenate(places), np.concatenate(bits).view(np.int64)
+        yield j, first, digest[first], blocks
